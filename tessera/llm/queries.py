@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, pii, piece_bpe
-from tessera.llm.common import read_table
+from tessera.llm import chat, decontaminate, language, minhash, pii, piece_bpe, quality, topk, toxicity
+from tessera.llm.common import held_out_bucket, read_table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +30,42 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = held_out_bucket("doc_id", 3) == 1
+    scored = toxicity.classify(docs, docs.filter(~held_out), labels.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = held_out_bucket("doc_id", 4) == 2
+    found = language.identify(docs, docs.filter(~held_out).select("text", "lang"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "switches")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii,
-    "op2_decontaminate": op2_decontaminate,
-    "op4_piece_bpe": op4_piece_bpe,
+    f.__name__: f
+    for f in (op1_pii, op2_decontaminate, op3_chat, op4_piece_bpe, op5_topk, op6_quality, op7_toxicity, op8_language, op10_minhash)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
