@@ -262,14 +262,14 @@ WITH RECURSIVE w AS (
     ELSE list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END AS shingles
   FROM w
 ), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
-), both AS (
+), links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n
   HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
 ), reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM s
   UNION
-  SELECT r.doc_id, l.b FROM reach AS r JOIN both AS l ON r.other = l.a
+  SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON r.other = l.a
 ), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN c ON s.doc_id = c.doc_id
