@@ -20,9 +20,11 @@ import gc
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -213,18 +215,22 @@ class PieceBpe:
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def known(self, chunk: str) -> tuple[int, bytes, bytes]:
-        """(number of ids, ids in decimal, decoded bytes) of a chunk."""
+    def known(self, chunk: str) -> tuple[int, bytes, bytes, bytes]:
+        """(number of ids, ids in decimal, decoded bytes, ids as 32-bit integers) of a chunk."""
         got = self.cache.new.get(chunk) or self.cache.get(chunk)
         if got is None:
             ids = self.word(chunk)
-            got = (len(ids), ",".join(map(str, ids)).encode(), b"".join([self.bytes[i] for i in ids]))
+            got = (len(ids), ",".join(map(str, ids)).encode(), b"".join([self.bytes[i] for i in ids]), array("i", ids).tobytes())
             if len(chunk) <= LONG:
                 self.cache.put(chunk, got)
         return got
 
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        return b"".join([self.known(c)[3] for c in self.chunks(text or "")])
+
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for c in self.chunks(text or "") for i in self.known(c)[1].split(b",")]
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self._text(b"".join([self.bytes[i] for i in ids]))
@@ -260,7 +266,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
         for batch in batches:
-            ids = pa.array([bpe.encode(t) for t in text_strings(batch.column(1))], pa.list_(pa.int32()))
+            packed = [bpe.packed(t) for t in text_strings(batch.column(1))]
+            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")

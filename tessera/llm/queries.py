@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, minhash, pii, piece_bpe, quality, topk, toxicity
+from tessera.llm import chat, decontaminate, language, minhash, pii, piece_bpe, quality, token_file, topk, toxicity
 from tessera.llm.common import held_out_bucket, read_table
 
 
@@ -60,12 +60,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "switches")
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_chat, op4_piece_bpe, op5_topk, op6_quality, op7_toxicity, op8_language, op10_minhash)
+    for f in (op1_pii, op2_decontaminate, op3_chat, op4_piece_bpe, op5_topk, op6_quality, op7_toxicity, op8_language, op9_token_file, op10_minhash)
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
