@@ -1,0 +1 @@
+"""Registered queries. Importing this package registers all of them."""
