@@ -1,6 +1,6 @@
 """Imports every module of queries, which registers them."""
 
-from tessera.plans import agile_queries, audit_queries, store_queries  # noqa: F401
+from tessera.plans import agile_queries, audit_queries, content_queries, store_queries  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
