@@ -5,11 +5,14 @@ shingles, the second, shifted by k, gives coordinate k as the least of its value
 ``ROWS`` coordinates become bucket keys; documents that share a bucket are compared on their full
 shingle sets, and links (Jaccard at least ``similarity``) become components.
 
-Plan. Documents with equal sets are one node. A bucket is compared with one of its members (its pivot)
-first; only nodes that share a bucket and still lie in different components are then compared with each
-other, so a group of any number of copies costs a number of comparisons in proportion to its size. No
-text is joined but those of documents that share a bucket. Large pivots are salted. Components are
-found by contracting the edge table round by round in the shared folder; nothing is collected.
+Plan. Documents with equal sets are one node. A bucket's nodes are compared with one of them (its pivot)
+first. What a comparison finds is kept as the difference from the pivot (a bit for each of its shingles,
+and the others), a fraction of a set's size. Where nodes around a pivot still lie in different components
+they are compared with each other, in blocks of bounded size, from those differences: intersections of two
+blocks are one matrix product, and only links that join two components leave the task. So no pair is a row
+of any table, and every pair of nodes that shares a bucket is decided on full sets. No text is joined but
+those of documents that share a bucket. Large pivots are salted. Components are found by contracting the
+edge table round by round in the shared folder; nothing is collected.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-6; a pair at 0.9
 with 1e-13.
@@ -36,6 +39,8 @@ from tessera.llm.common import cut, drop_cut, text_bytes
 BANDS, ROWS = 40, 6
 #: Members that one copy of a pivot's set is compared with.
 SALT = 64
+#: Nodes of a block around a pivot.
+AROUND = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -115,15 +120,8 @@ def scan(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough.
+    """Each (a, b) of ``pairs``, and each a with itself: whether their full sets are near, and b's difference from a.
 
     Each set goes through one shuffle to the pivots ``a`` that it is compared with; a pivot with many
     members is sent to one task for each ``SALT`` of them.
@@ -157,17 +155,106 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, pe
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, own = None, None
         for batch in batches:
-            a, b = [], []
-            for node, pivot, _, is_member, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            rows: list[tuple] = []
+            for node, pivot, salt, is_member, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 other = np.frombuffer(data, np.uint64)
                 if not is_member:
                     current, own = pivot, other
-                elif pivot == current and linked(own, other, percent):
-                    a.append(min(node, pivot))
-                    b.append(max(node, pivot))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    if salt:
+                        continue
+                elif pivot != current:
+                    continue
+                shared = np.isin(own, other, assume_unique=True)
+                both = int(shared.sum())
+                near = 100 * both >= percent * (len(own) + len(other) - both)
+                beyond = other[~np.isin(other, own, assume_unique=True)] if both < len(other) else other[:0]
+                rows.append((pivot, node, near, len(other), np.packbits(shared).tobytes(), beyond.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()))],
+                ["pivot", "node", "near", "n", "mask", "beyond"],
+            )
+
+    return dealt.mapInArrow(compare, "pivot long, node long, near boolean, n long, mask binary, beyond binary")
+
+
+def _shared_beyond(beyond: list[np.ndarray], out: np.ndarray, few: int = 6) -> None:
+    """Adds to ``out`` how many shingles beyond the pivot's each two rows share."""
+    size = [len(x) for x in beyond]
+    if not sum(size):
+        return
+    owner = np.repeat(np.arange(len(beyond)), size)
+    _, column, count = np.unique(np.concatenate(beyond), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, begin = owner[order], np.concatenate([[0], np.cumsum(count)[:-1]])
+    for f in range(2, few + 1):
+        rows = owner[begin[count == f][:, None] + np.arange(f)]
+        for i in range(f):
+            for j in range(f):
+                if i != j:
+                    np.add.at(out, (rows[:, i], rows[:, j]), 1)
+    many = np.flatnonzero(count > few)
+    for at in range(0, len(many), 1024):
+        x = np.zeros((len(beyond), min(1024, len(many) - at)), np.float32)
+        for c, k in enumerate(many[at : at + 1024]):
+            x[owner[begin[k] : begin[k] + count[k]], c] = 1
+        out += (x @ x.T).astype(out.dtype)
+
+
+def joining_links(node: list[int], component: list[int], n: list[int], mask: list[bytes], beyond: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links among the rows of two blocks that join different components, no more than it takes to join them."""
+    bits = np.unpackbits(np.frombuffer(b"".join(mask), np.uint8).reshape(len(node), -1), axis=1).astype(np.float32)
+    both = (bits @ bits.T).astype(np.int32)
+    _shared_beyond([np.frombuffer(x, np.uint64) for x in beyond], both)
+    size = np.array(n)
+    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    part = np.array(component)
+    near &= part[:, None] != part[None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near))):
+        a, b = find(component[i]), find(component[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def compare_around(pivots: DataFrame, percent: int, block: int = AROUND) -> DataFrame:
+    """(a, b) links of nodes around one pivot that lie in different components: (pivot, node, component, n, mask, beyond)."""
+    blocks = cut(pivots.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "near-blocks")
+    dealt = (
+        pivots.join(blocks, "pivot")
+        .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        .select("pivot", "i", "j", "node", "component", "n", "mask", "beyond")
+        .repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
 
-    return dealt.mapInArrow(compare, "a long, b long")
+        def out() -> pa.RecordBatch:
+            links = joining_links(*map(list, zip(*rows)), percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for pivot, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (pivot, i, j) != key:
+                    if rows:
+                        yield out()
+                    key, rows = (pivot, i, j), []
+                rows.append(row)
+        if rows:
+            yield out()
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,21 +298,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     mates = cut(buckets.join(pivots, "band"), "near-mates")
     drop_cut(buckets)
     stars = cut(mates.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    edges = cut(verify(docs, nodes, stars, shingle, percent), "near-links")
+    drop_cut(mates)
+    around = cut(verify(docs, nodes, stars, shingle, percent), "near-around")
+    edges = around.filter("near and pivot <> node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
     found = components(edges)
-    # Nodes of one bucket that are in different components by now are compared with each other.
-    placed = cut(mates.join(found, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "near-placed")
-    split = cut(placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("band"), "near-split")
-    open_ = cut(placed.join(split, "band"), "near-open")
-    left, right = open_.alias("l"), open_.alias("r")
-    rest = (
-        left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-                  & (F.lit(100) * F.least("l.n_shingles", "r.n_shingles") >= F.lit(percent) * F.greatest("l.n_shingles", "r.n_shingles")))
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    if not open_.isEmpty():
-        more = cut(verify(docs, nodes, rest, shingle, percent), "near-links")
+    # Nodes around one pivot that are in different components by now are compared with each other.
+    placed = around.select("pivot", "node").join(found, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("component"))
+    placed = cut(placed, "near-placed")
+    split = placed.groupBy("pivot").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("pivot")
+    apart = cut(around.join(cut(split, "near-split"), "pivot", "left_semi").join(placed, ["pivot", "node"]), "near-apart")
+    more = cut(compare_around(apart, percent), "near-links")
+    if not more.isEmpty():
         found = components(edges.union(more))
     return _labelled(scanned, nodes, found)
 
