@@ -187,7 +187,7 @@ def document_logits(net: Network, table: Table, docs: list[list[str]]) -> np.nda
     return out
 
 
-def _fit_steps(net: Network, slots: np.ndarray, picked: np.ndarray, target: np.ndarray, steps: int, state: dict, rng, batch: int = 128, rate: float = 0.01) -> None:
+def _fit_steps(net: Network, slots: np.ndarray, picked: np.ndarray, target: np.ndarray, steps: int, state: dict, rng, learned: dict[str, np.ndarray], batch: int = 128, rate: float = 0.01) -> None:
     """Adam over windows of word types, as many toxic as clean in each batch."""
     one, zero = np.flatnonzero(target == 1), np.flatnonzero(target == 0)
     for _ in range(steps):
@@ -203,9 +203,10 @@ def _fit_steps(net: Network, slots: np.ndarray, picked: np.ndarray, target: np.n
         chars = slots[types][:, :-1]
         flat = chars.reshape(-1)
         g["chars"] = np.stack([np.bincount(flat, np.repeat(dtypes[:, c], chars.shape[1]), minlength=(1 << BITS) + 1) for c in range(CHAR_DIM)], axis=1)
-        g["chars"][-1] = 0
         g["words"] = np.zeros_like(net.p["words"])
         np.add.at(g["words"], slots[types][:, -1], dtypes[:, CHAR_DIM:])
+        for name, use in learned.items():
+            g[name] *= use[:, None]
         state["step"] += 1
         t = state["step"]
         for name, grad in g.items():
@@ -215,6 +216,16 @@ def _fit_steps(net: Network, slots: np.ndarray, picked: np.ndarray, target: np.n
             net.p[name] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
 
+def _evidence(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How strongly each slot speaks for class 1 (log-likelihood ratio), and which slots tell the classes apart."""
+    p0, p1, p = seen[0] / n[0], seen[1] / n[1], seen.sum(axis=0) / n.sum()
+    ratio = seen[1] * np.log((p1 + 1e-9) / (p + 1e-9)) + (n[1] - seen[1]) * np.log((1 - p1 + 1e-9) / (1 - p + 1e-9))
+    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
+    useful = (seen.sum(axis=0) >= 3) & (np.abs(z) >= 4)
+    useful[-1] = False
+    return np.where(p1 > 3 * p0, ratio, 0.0), useful
+
+
 def train(texts: list[str], labels: list[int], seed: int = 3, steps: tuple[int, int] = (220, 180)) -> Network:
     """A calibrated network from labelled texts."""
     net = Network.fresh(seed)
@@ -233,16 +244,19 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: tuple[int,
         if len(own) > 1:
             fitted[own[1]] = False
 
-    # How over-represented a type's most telling n-gram is in toxic documents.
-    seen = np.zeros((2, (1 << BITS) + 1))
+    # In how many documents of each class each n-gram and each word stands: what is as frequent in both is not
+    # learned from (its rows stay zero), which keeps a small sample from being learned by heart.
+    gram_seen, word_seen = np.zeros((2, (1 << BITS) + 1)), np.zeros((2, (1 << WORD_BITS) + 1))
     for d, y, use in zip(ids, label, fitted):
         if use and len(d):
-            seen[y, np.unique(slots[np.unique(d)][:, :-1])] += 1
+            own = slots[np.unique(d)]
+            gram_seen[y, np.unique(own[:, :-1])] += 1
+            word_seen[y, np.unique(own[:, -1])] += 1
     n = np.array([(fitted & (label == c)).sum() for c in (0, 1)])
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    odds[seen[1] < max(2, 0.004 * n[1])] = 0
-    odds[-1] = 0
-    telling = odds[slots[:, :-1]].max(axis=1)
+    evidence, useful = zip(*(_evidence(seen, n) for seen in (gram_seen, word_seen)))
+    evidence[0][-1] = 0
+    telling = evidence[0][slots[:, :-1]].max(axis=1)
+    learned = {"chars": useful[0], "words": useful[1]}
 
     def pick(score_of) -> tuple[np.ndarray, np.ndarray]:
         out, target = [], []
@@ -256,14 +270,14 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: tuple[int,
                 out.append(w[np.argmax(score)])
                 target.append(1)
             else:
-                for j in {int(np.argmax(score)), *map(int, rng.integers(0, len(w), 2))}:
+                for j in {int(np.argmax(score)), *map(int, rng.integers(0, len(w), 3))}:
                     out.append(w[j])
                     target.append(0)
         return np.array(out), np.array(target)
 
     state: dict = {"step": 0}
     picked, target = pick(lambda i, w: np.where(w >= 0, telling[np.maximum(w, 0)], -9).max(axis=1))
-    _fit_steps(net, slots, picked, target, steps[0], state, rng)
+    _fit_steps(net, slots, picked, target, steps[0], state, rng, learned)
 
     def all_logits() -> list[np.ndarray]:
         products = np.concatenate([net.embed(slots[i : i + 8192]) for i in range(0, len(slots), 8192)]) @ net.p["input"] + net.p["bias"]
@@ -272,14 +286,14 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: tuple[int,
 
     z = all_logits()
     again, target_again = pick(lambda i, w: z[i])
-    _fit_steps(net, slots, np.concatenate([picked, again]), np.concatenate([target, target_again]), steps[1], state, rng, rate=0.005)
+    _fit_steps(net, slots, np.concatenate([picked, again]), np.concatenate([target, target_again]), steps[1], state, rng, learned, rate=0.005)
     top = np.array([x.max() for x in all_logits()])
     _calibrate(net, top[~fitted], label[~fitted])
     return net
 
 
 def _calibrate(net: Network, z: np.ndarray, y: np.ndarray) -> None:
-    """The score 0.7 falls where held-back documents are told apart best, in the middle of the gap."""
+    """The score 0.7 falls where held-back documents are told apart best, in the gap."""
     order = np.argsort(-z)
     z, y = z[order], y[order]
     right = np.concatenate([[0], np.cumsum(np.where(y == 1, 1, -1))])
@@ -287,7 +301,7 @@ def _calibrate(net: Network, z: np.ndarray, y: np.ndarray) -> None:
     first, last = int(best[0]), int(best[-1])
     high = z[first - 1] if first else z[0] + 1
     low = z[last] if last < len(z) else z[-1] - 1
-    cut = (high + low) / 2
+    cut = 0.6 * high + 0.4 * low
     net.slope = float(np.clip(6 / max(1e-3, z[y == 1].mean() - z[y == 0].mean()), 0.3, 3)) if (y == 1).any() and (y == 0).any() else 1.0
     net.shift = float(np.log(0.7 / 0.3) - net.slope * cut)
     net.trained = True
