@@ -240,8 +240,8 @@ def sanitise(docs: DataFrame, *, window: int = 8, disclosure: float = 0.9, min_s
     )
     size = per_doc.agg(F.coalesce(F.sum(F.size("_flagged")), F.lit(0)).alias("n")).first()["n"]
     small = F.broadcast(per_doc) if size <= 50_000 else per_doc
-    columns = docs.columns
-    joined = docs.join(small, "doc_id", "left")
+    hidden = "_flagged" + "_" * sum(c.startswith("_flagged") for c in docs.columns)  # a name that no column has
+    joined = docs.join(small.withColumnRenamed("_flagged", hidden), "doc_id", "left")
     at = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +253,7 @@ def sanitise(docs: DataFrame, *, window: int = 8, disclosure: float = 0.9, min_s
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
 
-    kept = joined.drop("_flagged")
-    return joined.mapInArrow(run, kept.schema).select(*columns)
+    return joined.mapInArrow(run, joined.drop(hidden).schema).select(*(f"`{c}`" for c in docs.columns))
 
 
 def masked(text: str, flags: list[dict], window: int) -> str:
