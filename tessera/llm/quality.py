@@ -35,8 +35,10 @@ COMMON = frozenset(
     "der die und das ist von zu den mit sich auf für ein nicht "
     "el los las por se del con para lo como más su".split()
 )
-_SYMBOLS = "#$%&*|<>{}[]~^@=\\"
-_DROP_SYMBOLS = str.maketrans("", "", _SYMBOLS)
+_SYMBOLS = b"#$%&*|<>{}[]~^@=\\"
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters of ASCII, and all bytes of what is beyond it.
+_LETTERS = _CAPITALS + _CAPITALS.lower() + bytes(range(128, 256))
 
 HEURISTICS = ("capitals", "exclaims", "symbols", "separators", "repeats", "word_length", "common_words", "letters", "distinct")
 
@@ -47,27 +49,30 @@ def votes(text: str) -> tuple[int, ...]:
     n = len(w)
     if not n:
         return (0,) * len(HEURISTICS)
-    size = len(text)
-    letters = sum(map(str.isalpha, text)) or 1
-    capitals = sum(map(str.isupper, text)) / letters
+    data = text.encode()
+    size = len(data)
+    rest = len(data.translate(None, _LETTERS))
+    letters = size - rest or 1
+    capitals = (size - len(data.translate(None, _CAPITALS))) / letters
     exclaims = text.count("!!") / n
-    symbols = (size - len(text.translate(_DROP_SYMBOLS))) / size
+    symbols = (size - len(data.translate(None, _SYMBOLS))) / size
     separators = (text.count(" | ") + text.count(" - ") + text.count(" > ")) / n
     repeats = sum(map(str.__eq__, w, w[1:])) / n
-    mean = (size - text.count(" ")) / n
+    mean = (len(text) - text.count(" ")) / n
     common = sum(map(COMMON.__contains__, w)) / n
     distinct = len(set(w)) / n
     alpha = (letters + n) / size
+    some, more = n > 8, n > 20
     return (
-        -1 if capitals > 0.22 else 1 if capitals < 0.08 else 0,
-        -1 if exclaims > 0.05 else 0,
-        -1 if symbols > 0.03 else 1 if symbols < 0.004 else 0,
-        -1 if separators > 0.06 else 0,
-        -1 if repeats > 0.12 and n > 8 else 1 if repeats < 0.04 and n > 20 else 0,
-        -1 if not 2.2 < mean < 14 else 1 if 3.5 < mean < 10 else 0,
-        (1 if common > 0.12 else 0) if n > 20 else 0,
-        -1 if alpha < 0.72 else 1 if alpha > 0.93 else 0,
-        -1 if n > 60 and distinct < 0.12 else 1 if 20 < n < 800 and distinct > 0.5 else 0,
+        -1 if capitals > 0.22 and some else 1,
+        -1 if exclaims > 0.05 and some else 1,
+        -1 if symbols > 0.03 and some else 1 if symbols < 0.01 else 0,
+        -1 if separators > 0.06 and some else 1,
+        (-1 if repeats > 0.12 else 1 if repeats < 0.06 else 0) if some else 0,
+        (-1 if not 2.2 < mean < 14 else 1) if more else 0,
+        (-1 if common < 0.01 else 1 if common > 0.08 else 0) if more else 0,
+        (-1 if alpha < 0.72 else 1) if size > 300 else 0,
+        -1 if 60 < n < 3000 and distinct < 0.12 else 1 if more and distinct > 0.2 else 0,
     )
 
 
@@ -94,39 +99,42 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """P(good) and, by class and heuristic, the probability of each vote (bad, none, good)."""
+    """P(good) and, by class and heuristic, the probability of a good vote where the heuristic votes."""
 
     prior: float
-    table: np.ndarray
+    good: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """P(good | votes) of vote codes."""
-        m = self.table.shape[1]
-        digits = (patterns[:, None] // 3 ** np.arange(m - 1, -1, -1)[None, :]) % 3
-        logs = np.log(self.table)[:, np.arange(m)[None, :], digits].sum(axis=2)
+        """P(good | votes) of vote codes; no vote says nothing."""
+        votes = _digits(patterns)
+        logs = np.stack([np.where(votes == 2, np.log(g), np.where(votes == 0, np.log(1 - g), 0.0)).sum(axis=1) for g in self.good])
         logs += np.log([[1 - self.prior], [self.prior]])
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
     def accuracy(self) -> dict[str, float]:
-        """How often a heuristic that votes is right."""
-        bad, good = self.table
-        right = (1 - self.prior) * bad[:, 0] + self.prior * good[:, 2]
-        wrong = (1 - self.prior) * bad[:, 2] + self.prior * good[:, 0]
-        return dict(zip(HEURISTICS, right / (right + wrong)))
+        """How often a vote of each heuristic is right."""
+        return dict(zip(HEURISTICS, (1 - self.prior) * (1 - self.good[0]) + self.prior * self.good[1]))
+
+
+def _digits(patterns: np.ndarray) -> np.ndarray:
+    """Votes by code: 0 bad, 1 none, 2 good."""
+    m = len(HEURISTICS)
+    return (np.asarray(patterns, np.int64).reshape(-1, 1) // 3 ** np.arange(m - 1, -1, -1)[None, :]) % 3
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
-    """Expectation-maximisation from votes that are taken as 70 % right to begin with."""
+    """Expectation-maximisation. To begin with a bad vote is strong evidence and a good one weak: bad documents
+    are bad in one way and look good to the heuristics of all others."""
     m = len(HEURISTICS)
-    model = LabelModel(0.8, np.stack([np.tile([0.35, 0.5, 0.15], (m, 1)), np.tile([0.02, 0.5, 0.48], (m, 1))]))
-    digits = (patterns[:, None] // 3 ** np.arange(m - 1, -1, -1)[None, :]) % 3
+    model = LabelModel(0.8, np.stack([np.full(m, 0.6), np.full(m, 0.98)]))
+    votes = _digits(patterns)
     for _ in range(rounds if len(patterns) else 0):
-        good = model.posterior(patterns)
-        for c, share in enumerate((counts * (1 - good), counts * good)):
-            for vote in range(3):
-                model.table[c, :, vote] = ((digits == vote) * share[:, None]).sum(axis=0) + 0.5
-            model.table[c] /= model.table[c].sum(axis=1, keepdims=True)
-        model.prior = float(np.clip((counts * good).sum() / counts.sum(), 0.02, 0.98))
+        p = model.posterior(patterns)
+        for c, share in enumerate((counts * (1 - p), counts * p)):
+            voted = ((votes != 1) * share[:, None]).sum(axis=0)
+            model.good[c] = (((votes == 2) * share[:, None]).sum(axis=0) + (1, 2)[c]) / (voted + 2 + c * 0.02)
+        model.good = np.clip(model.good, 1e-4, 1 - 1e-4)
+        model.prior = float(np.clip((counts * p).sum() / counts.sum(), 0.02, 0.98))
     return model
 
 
