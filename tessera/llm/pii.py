@@ -211,7 +211,7 @@ def disclosing_terms(scanned: DataFrame, counts: DataFrame, *, disclosure: float
 def find_spans(docs: DataFrame, *, window: int = 8, disclosure: float = 0.9, min_support: int = 3) -> DataFrame:
     """One row a document: counts, base spans and the spans of disclosing terms near its entities."""
     scanned = cut(scan_spans(docs, window).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-    flagged = disclosing_terms(scanned, term_counts(docs), disclosure=disclosure, min_support=min_support)
+    flagged = disclosing_terms(scanned, cut(term_counts(docs), "pii-counts"), disclosure=disclosure, min_support=min_support)
     terms = (
         scanned.select("row", F.explode("context").alias("c")).select("row", "c.entity", "c.term", "c.start", "c.end")
         .join(flagged, ["entity", "term"])
@@ -231,7 +231,7 @@ def sanitise(docs: DataFrame, *, window: int = 8, disclosure: float = 0.9, min_s
     terms of a document are attached by doc_id and looked up in its contexts again.
     """
     scanned = cut(scan_spans(docs, window), "pii-scan")
-    flagged = disclosing_terms(scanned, term_counts(docs), disclosure=disclosure, min_support=min_support)
+    flagged = disclosing_terms(scanned, cut(term_counts(docs), "pii-counts"), disclosure=disclosure, min_support=min_support)
     per_doc = cut(
         scanned.select("doc_id", F.explode("context").alias("c")).select("doc_id", "c.entity", "c.term").distinct()
         .join(flagged, ["entity", "term"])
