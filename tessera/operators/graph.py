@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import resolved_path, slug
+from tessera.operators.ranks import beside, placed
 
 
 def expand_levels(nodes: DataFrame, most: int = 64) -> DataFrame:
@@ -36,12 +37,11 @@ def pre_order(tree: DataFrame, titles: DataFrame) -> DataFrame:
     steps = tree.select("id", "depth", F.posexplode("path").alias("at", "node")).join(titles.select(F.col("id").alias("node"), "position", "title"), "node")
     key = F.concat(F.lpad(F.coalesce(F.col("position").cast("string"), F.lit("~")), 12, "0"), F.lit("\u0001"), "title", F.lit("\u0001"), F.lpad(F.col("node").cast("string"), 20, "0"))
     keys = steps.groupBy("id", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", key.alias("k")))), lambda x: x["k"]), "\u0002").alias("key"))
-    return keys.withColumn("place", F.row_number().over(Window.orderBy("key"))).drop("key")
+    return placed(keys, "key").drop("key")
 
 
 def neighbours(order: DataFrame) -> DataFrame:
-    w = Window.orderBy("place")
-    return order.select("id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("next"))
+    return beside(order, "place", "id")
 
 
 def prune_by_label(pages: DataFrame, labels: DataFrame, excluded: str, root: object = None) -> DataFrame:

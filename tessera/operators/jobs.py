@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import placed, running_sum
+
 TERMINAL = ("succeeded", "failed", "cancelled")
 
 
 def fair_order(jobs: DataFrame) -> DataFrame:
     """Queued jobs with their place: by priority, then one of each group in turn, groups by their oldest job.
 
-    Rounds are ranked inside a group; the place itself is a global rank of the queue, which is what is asked for.
+    Rounds are ranked inside a group; the place in the whole queue comes from range partitions.
     """
     inside = Window.partitionBy("priority", "group_key").orderBy("enqueued_at", "job_id")
     whole = Window.partitionBy("priority", "group_key")
     rank = F.when(F.col("priority") == "interactive", 0).otherwise(1)
     head = F.min(F.struct("enqueued_at", "job_id")).over(whole)
     turns = jobs.withColumn("turn", F.row_number().over(inside)).withColumn("head", head).withColumn("rank", rank)
-    return turns.withColumn("place", F.row_number().over(Window.orderBy("rank", "turn", "head", "group_key", "job_id"))).drop("head", "rank")
+    return placed(turns, "rank", "turn", "head", "group_key", "job_id").drop("head", "rank")
 
 
 def newest_places(jobs: DataFrame, newest: int) -> DataFrame:
@@ -46,9 +48,8 @@ def retention(jobs: DataFrame, as_of: str, *, newest: int = 100) -> DataFrame:
 
 def evict(items: DataFrame, need: int) -> DataFrame:
     """The items to evict, by rank and age, until ``need`` bytes are free; the one that crosses the line is taken too."""
-    order = Window.orderBy("rank", "eligible_at", "ref").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("bytes").over(order)
-    return items.filter("bytes > 0").withColumn("freed", total).filter(F.col("freed") - F.col("bytes") < need)
+    summed = running_sum(items.filter("bytes > 0"), "bytes", "rank", "eligible_at", "ref", name="freed")
+    return summed.filter(F.col("freed") - F.col("bytes") < need)
 
 
 def badge(jobs: DataFrame) -> DataFrame:

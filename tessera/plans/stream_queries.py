@@ -161,3 +161,22 @@ def dat11_log_since(s, d):
     from tessera.functions.times import relative_period
 
     return v.table(s, d, "events").filter("event_id % 10 = 0").select("event_id", relative_period(F.lit("45m"), F.col("ts").cast("timestamp"), minutes=True).alias("since"))
+
+
+@query("SELECT page_id, upper(title) AS title FROM v_pages WHERE page_id % 2 = 0")
+def udf02_renderers(s, d):
+    from tessera.functions.extensions import Extensions
+
+    x = Extensions()
+    x.renderer("page-list")(lambda df: None)
+    x.renderer("page-list")(lambda df: df.filter("page_id % 2 = 0").select("page_id", F.upper("title").alias("title")))
+    return x.render("Page-List", v.pages(s, d))
+
+
+@query("SELECT s_suppkey, concat('a-', s_suppkey) AS slug FROM supplier")
+def udf04_sql_helpers(s, d):
+    from tessera.functions.extensions import register_helpers
+
+    register_helpers(s)
+    v.table(s, d, "supplier").createOrReplaceTempView("extension_suppliers")
+    return s.sql("SELECT s_suppkey, heading_slug(concat('A ', s_suppkey)) AS slug FROM extension_suppliers")

@@ -131,3 +131,45 @@ def test_upsert_keeps_creation(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, t string, made int")
     new = spark.createDataFrame([(2, "B", 9), (3, "c", 9)], "id long, t string, made int")
     assert {tuple(r) for r in store.upsert(old, new, ["id"], keep=["made"]).collect()} == {(1, "a", 1), (2, "B", 1), (3, "c", 9)}
+
+
+def test_places_and_sums_over_partitions(spark):
+    from tessera.operators import ranks
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), (F.col("id") % 5).alias("v")).repartition(7)
+    assert all(r["place"] == r["k"] + 1 for r in ranks.placed(rows, "k").collect())
+    total = 0
+    for r in sorted(ranks.running_sum(rows, "v", F.desc("k")).collect(), key=lambda r: -r["k"]):
+        total += r["v"]
+        assert r["total"] == total
+    empty = rows.limit(0)
+    assert ranks.placed(empty, "k").count() == 0 and ranks.running_sum(empty, "v", "k").count() == 0
+    near = {r["k"]: (r["previous"], r["next"]) for r in ranks.beside(ranks.placed(rows, "k"), "place", "k").collect()}
+    assert near[0] == (None, 1) and near[999] == (998, None) and near[5] == (4, 6)
+
+
+def test_extensions(spark):
+    from tessera.functions.extensions import Extensions, register_helpers
+
+    x, seen = Extensions(), []
+    x.before.append(lambda name, df: seen.append(name))
+
+    @x.renderer("List")
+    def passes(df):
+        return None
+
+    @x.renderer("list")
+    def fails(df):
+        raise ValueError("no")
+
+    @x.renderer("list")
+    def answers(df):
+        return df.filter("id > 1")
+
+    @x.renderer("list")
+    def late(df):
+        return df.limit(0)
+
+    assert x.render("LIST", spark.range(4)).count() == 2 and x.render("other", spark.range(4)).count() == 4
+    assert seen == ["LIST", "other"] and len(x.notes) == 1
+    assert "fnv1a" in register_helpers(spark) and spark.sql("select fnv1a('a') as h").first()["h"] == "e40c292c"
