@@ -9,8 +9,8 @@ be decoded alone. An id is coded by up to three predictions:
   decodes alike);
 * order 0: adaptive frequencies of id classes, in two digits, and the place in the class.
 
-All blocks of a segment are coded side by side, one array operation for all of them: ``low`` and ``range``
-are arrays, and a block that has nothing to code takes a step that changes nothing.
+All blocks of a segment are coded side by side: ``low`` and ``range``
+are arrays, and each decision is one array operation over the blocks that have it to make.
 
 Plan: texts are range-partitioned by doc_id and sorted, tokenised and coded in the task that writes a
 partition's segments (Parquet rows: documents, lengths, coded blocks); offsets of partitions are one number
@@ -24,10 +24,13 @@ numbers; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -44,41 +47,52 @@ ONE = 1 << 12
 ADD, MOST = 24, 1 << 13
 ESCAPE = 255
 
+#: A comma or stop after a letter or digit that ends a word.
+_CLOSING = re.compile(rb"(?<=[a-z0-9])([,.])(?=[\x20\n])")
+
 #: First id of each class: classes widen with the cube of their number, as ids are ranked by frequency.
 _BOUNDS = np.maximum.accumulate(np.round((np.arange(ESCAPE + 1) / ESCAPE) ** 3 * 65536).astype(np.int64) + 0)
 for _k in range(1, ESCAPE + 1):
     _BOUNDS[_k] = max(_BOUNDS[_k], _BOUNDS[_k - 1] + 1)
 _CLASS_OF = (np.searchsorted(_BOUNDS, np.arange(65536), side="right") - 1).astype(np.int64)
 _WIDTH = np.append(np.diff(_BOUNDS), 1)
-_STRETCH = np.round(256 * np.log((np.arange(ONE) + 0.5) / (ONE - np.arange(ONE) - 0.5))).astype(np.int64)
+_STRETCH = np.round(256 * np.log((np.arange(ONE) + 0.5) / (ONE - np.arange(ONE) - 0.5))).astype(np.int32)
 _SQUASH = np.clip(np.round(ONE / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 32, ONE - 32).astype(np.int64)
-_STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.int32) * ADD
+_STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.int16) * np.int16(ADD)
+
+
+def _shares(span: np.ndarray, total: np.ndarray | None) -> np.ndarray:
+    """Width of one count: whole numbers below 2^33, so the quotient of doubles rounds down exactly."""
+    return span >> 12 if total is None else (span / total).astype(np.int64)
 
 
 class _Encoder:
     """Range encoders of all blocks. Words may hold a carry until :meth:`finish`."""
 
-    def __init__(self, n: int, ids: np.ndarray):
-        self.ids = ids
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 1 << 32, np.uint64)
-        self.words, self.at = np.zeros((n, ids.shape[1] * 6 + 4), np.uint32), np.zeros(n, np.int64)
-
-    def take(self, wanted: np.ndarray, start: np.ndarray, freq: np.ndarray, total) -> None:
-        r = self.range // total
-        self.low += r * start
-        self.range = r * freq
-        due = np.flatnonzero(self.range < (1 << 16))
+    def __init__(self, n: int, longest: int):
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
+        self.words, self.at = np.zeros((n, longest * 6 + 4), np.uint32), np.zeros(n, np.int64)
+
+    def take(self, own: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | None) -> None:
+        """Code one value in the blocks ``own``; no total means ``ONE``."""
+        span = self.range[own]
+        r = _shares(span, total)
+        low = self.low[own] + r * start
+        span = r * freq
+        due = np.flatnonzero(span < (1 << 16))
         if len(due):
-            low = self.low[due]
-            self.words[due, self.at[due]] = low >> np.uint64(16)
-            self.at[due] += 1
-            self.low[due] = (low & np.uint64(0xFFFF)) << np.uint64(16)
-            self.range[due] <<= np.uint64(16)
+            blocks, carried = own[due], low[due]
+            at = self.at[blocks]
+            self.words[blocks, at] = carried >> 16
+            self.at[blocks] = at + 1
+            low[due] = (carried & 0xFFFF) << 16
+            span[due] <<= 16
+        self.low[own], self.range[own] = low, span
 
     def finish(self) -> list[bytes]:
         n = np.arange(len(self.at))
         for shift, mask in ((16, 0x1FFFF), (0, 0xFFFF)):
-            self.words[n, self.at] = (self.low >> np.uint64(shift)) & np.uint64(mask)
+            self.words[n, self.at] = (self.low >> shift) & mask
             self.at += 1
         carry = np.zeros(len(self.at), np.uint32)
         for i in range(int(self.at.max(initial=0)) - 1, -1, -1):
@@ -89,69 +103,70 @@ class _Encoder:
 
 
 class _Decoder:
-    def __init__(self, data: list[bytes], steps: int):
+    def __init__(self, data: list[bytes]):
         n = len(data)
         longest = max((len(d) // 2 for d in data), default=0) + 3
-        self.words = np.zeros((n, longest), np.uint64)
+        self.words = np.zeros((n, longest), np.int64)
         for i, d in enumerate(data):
             self.words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.code = (self.words[:, 0] << np.uint64(16)) | self.words[:, 1]
-        self.range, self.at = np.full(n, 1 << 32, np.uint64), np.full(n, 2, np.int64)
+        self.code = (self.words[:, 0] << 16) | self.words[:, 1]
+        self.range, self.at = np.full(n, (1 << 32) - 1, np.int64), np.full(n, 2, np.int64)
 
-    def place(self, total) -> np.ndarray:
-        self.r = self.range // total
-        return np.minimum(self.code // self.r, total - np.uint64(1)).astype(np.int64)
+    def place(self, own: np.ndarray, total: np.ndarray | None) -> np.ndarray:
+        """Where the coded values of the blocks ``own`` lie, counted from 0 to ``total``."""
+        self.r = _shares(self.range[own], total)
+        return np.minimum((self.code[own] / self.r).astype(np.int64), (ONE if total is None else total) - 1)
 
-    def done(self, start: np.ndarray, freq: np.ndarray) -> None:
-        self.code -= self.r * start
-        self.range = self.r * freq
-        due = np.flatnonzero(self.range < (1 << 16))
+    def done(self, own: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        code, span = self.code[own] - self.r * start, self.r * freq
+        due = np.flatnonzero(span < (1 << 16))
         if len(due):
-            at = np.minimum(self.at[due], self.words.shape[1] - 1)
-            self.code[due] = (self.code[due] << np.uint64(16)) | self.words[due, at]
-            self.at[due] += 1
-            self.range[due] <<= np.uint64(16)
+            blocks = own[due]
+            at = self.at[blocks]
+            code[due] = (code[due] << 16) | self.words[blocks, np.minimum(at, self.words.shape[1] - 1)]
+            self.at[blocks] = at + 1
+            span[due] <<= 16
+        self.code[own], self.range[own] = code, span
 
 
 class _Order:
     """Predictions of one order: the id that last followed a context, and how often it has held."""
 
     def __init__(self, n: int, slots: int):
-        self.n, self.slots = n, slots
+        self.slots = slots
         self.base = np.arange(n, dtype=np.int64) * slots
         self.id = np.zeros(n * slots, np.uint32)
         self.record = np.zeros(n * slots, np.uint8)  # 0: not seen; 1 + hits in a row
-        self.rate = np.full((n, RECORDS), ONE // 3, np.int64)
-        self.all = np.full(n, ONE // 3, np.int64)
-        self.weight = np.full((2, n), 40_000, np.int64)
-        self.lanes = np.arange(n)
-
-    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted id, whether the context was seen)."""
-        self.slot = self.base + (context % np.uint64(self.slots)).astype(np.int64)
+        self.rate = np.full(n * RECORDS, ONE // 3, np.int32)
+        self.all = np.full(n, ONE // 3, np.int32)
+        self.weight = np.full((2, n), 40_000, np.int32)
+
+    def look(self, context: np.ndarray) -> np.ndarray:
+        """The predicted ids; ``record`` is 0 where the context was not seen."""
+        self.slot = self.base + (context & np.int64(self.slots - 1))
         self.seen = self.record[self.slot]
-        return self.id[self.slot], self.seen > 0
-
-    def chance(self) -> np.ndarray:
-        """Probability, of ``ONE``, that the prediction holds."""
-        self.kind = np.maximum(self.seen, 1).astype(np.int64) - 1
-        self.p = self.rate[self.lanes, self.kind]
-        self.s1, self.s2 = _STRETCH[self.p], _STRETCH[self.all]
-        x = (self.weight[0] * self.s1 + self.weight[1] * self.s2) >> 16
+        self.predicted = self.id[self.slot].astype(np.int64)
+        return self.predicted
+
+    def chance(self, own: np.ndarray) -> np.ndarray:
+        """Probability, of ``ONE``, that the prediction holds in each of the blocks ``own``."""
+        self.kind = own * RECORDS + self.seen[own] - 1
+        self.p, self.q = self.rate[self.kind], self.all[own]
+        self.s1, self.s2 = _STRETCH[self.p], _STRETCH[self.q]
+        x = (self.weight[0, own].astype(np.int64) * self.s1 + self.weight[1, own].astype(np.int64) * self.s2) >> 16
         self.mixed = _SQUASH[np.clip(x + 2048, 0, 4095)]
         return self.mixed
 
-    def learn_rate(self, asked: np.ndarray, hit: np.ndarray) -> None:
-        """After a decision in the blocks ``asked``."""
-        want = hit.astype(np.int64) << 12
-        error = np.where(asked, want - self.mixed, 0)
-        self.weight[0] += (self.s1 * error) >> 10
-        self.weight[1] += (self.s2 * error) >> 10
-        self.rate[self.lanes, self.kind] = np.clip(self.p + np.where(asked, (want - self.p) >> 4, 0), 16, ONE - 16)
-        self.all = np.clip(self.all + np.where(asked, (want - self.all) >> 5, 0), 16, ONE - 16)
-
-    def learn_id(self, ids: np.ndarray, predicted: np.ndarray) -> None:
-        same = (self.seen > 0) & (predicted == ids)
+    def learn_rate(self, own: np.ndarray, hit: np.ndarray) -> None:
+        want = hit.astype(np.int32) << 12
+        error = want - self.mixed.astype(np.int32)
+        self.weight[0, own] += (self.s1 * error) >> 10
+        self.weight[1, own] += (self.s2 * error) >> 10
+        self.rate[self.kind] = np.clip(self.p + ((want - self.p) >> 4), 16, ONE - 16)
+        self.all[own] = np.clip(self.q + ((want - self.q) >> 5), 16, ONE - 16)
+
+    def learn_id(self, ids: np.ndarray) -> None:
+        same = (self.predicted == ids) & (self.seen > 0)
         self.record[self.slot] = np.where(same, np.minimum(self.seen + 1, RECORDS), 1)
         self.id[self.slot] = ids
 
@@ -161,114 +176,115 @@ class _Digit:
 
     def __init__(self, n: int, contexts: int):
         self.contexts = contexts
-        self.base = np.arange(n, dtype=np.int64) * contexts
-        self.rows = np.tile(np.arange(1, 17, dtype=np.int32), (n * contexts, 1))
+        self.rows = np.tile(np.arange(1, 17, dtype=np.int16), (n * contexts, 1))
 
-    def row(self, context) -> np.ndarray:
-        self.at = self.base + context
+    def row(self, own: np.ndarray, context) -> np.ndarray:
+        self.at = own * self.contexts + context
         self.now = self.rows[self.at]
         return self.now
 
-    def learn(self, value: np.ndarray, used: np.ndarray) -> None:
+    def learn(self, value: np.ndarray) -> None:
         now = self.now + _STEP[value]
         over = np.flatnonzero(now[:, 15] > MOST)
         if len(over):
-            part = np.diff(now[over], axis=1, prepend=0)
+            part = np.diff(now[over], axis=1, prepend=np.int16(0))
             now[over] = np.cumsum((part + 1) >> 1, axis=1)
-        if used.all():
-            self.rows[self.at] = now
-        else:
-            self.rows[self.at[used]] = now[used]
+        self.rows[self.at] = now
 
 
-def _code(n: int, lengths: np.ndarray, coder, ids: np.ndarray | None) -> np.ndarray:
+def _code(lengths: np.ndarray, coder, ids: np.ndarray | None) -> np.ndarray:
     """Run the model over all blocks: with ``ids`` it drives an encoder, else it fills in what a decoder finds."""
-    longest = int(lengths.max(initial=0))
+    n, longest = len(lengths), int(lengths.max(initial=0))
     encoding = ids is not None
     out = ids if encoding else np.zeros((n, longest), np.int64)
     two, one = _Order(n, SLOTS2), _Order(n, SLOTS1)
     high, low = _Digit(n, 1), _Digit(n, 16)
-    before, earlier = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    lanes = np.arange(n)
-    u1 = np.uint64(1)
+    before, earlier = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def binary(asked: np.ndarray, p: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-        p = p.astype(np.uint64)
-        total = np.where(asked, np.uint64(ONE), u1)
+    def binary(order: _Order, own: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+        """Whether the order's prediction holds, in the blocks ``own``."""
+        p = order.chance(own)
         if not encoding:
-            hit = asked & (coder.place(total) < p.astype(np.int64))
-        start = np.where(asked & ~hit, p, np.uint64(0))
-        freq = np.where(asked, np.where(hit, p, np.uint64(ONE) - p), u1)
+            hit = coder.place(own, None) < p
+        start, freq = np.where(hit, 0, p), np.where(hit, p, ONE - p)
         if encoding:
-            coder.take(asked, start, freq, total)
+            coder.take(own, start, freq, None)
         else:
-            coder.done(start, freq)
+            coder.done(own, start, freq)
+        order.learn_rate(own, hit)
         return hit
 
-    def digit(model: _Digit, context, asked: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        row = model.row(context)
-        total = np.where(asked, row[:, 15], 1).astype(np.uint64)
+    def digit(model: _Digit, own: np.ndarray, context, value: np.ndarray | None) -> np.ndarray:
+        row = model.row(own, context)
+        total = row[:, 15].astype(np.int64)
         if not encoding:
-            value = np.where(asked, (row <= coder.place(total)[:, None].astype(np.int32)).sum(axis=1), 0)
-        end = row[lanes, value]
-        begin = np.where(value > 0, row[lanes, value - 1], 0)
-        start, freq = np.where(asked, begin, 0).astype(np.uint64), np.where(asked, end - begin, 1).astype(np.uint64)
+            value = (row <= coder.place(own, total).astype(np.int16)[:, None]).sum(axis=1)
+        at = np.arange(len(own)) * 16 + value
+        flat = row.reshape(-1)
+        begin = np.where(value > 0, flat[at - 1], 0).astype(np.int64)
+        freq = flat[at] - begin
         if encoding:
-            coder.take(asked, start, freq, total)
+            coder.take(own, begin, freq, total)
         else:
-            coder.done(start, freq)
-        model.learn(value, asked)
+            coder.done(own, begin, freq)
+        model.learn(value)
         return value
 
-    def plain(total: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        total = total.astype(np.uint64)
+    def plain(own: np.ndarray, total: np.ndarray, value: np.ndarray | None) -> np.ndarray:
         if not encoding:
-            value = coder.place(total)
-        start = value.astype(np.uint64)
+            value = coder.place(own, total)
         if encoding:
-            coder.take(None, start, np.ones(n, np.uint64), total)
+            coder.take(own, value, np.int64(1), total)
         else:
-            coder.done(start, np.ones(n, np.uint64))
+            coder.done(own, value, np.int64(1))
         return value
 
     for t in range(longest):
+        x = np.ascontiguousarray(out[:, t]) if encoding else None
         alive = t < lengths
-        x = out[:, t] if encoding else None
-        id2, seen2 = two.look((before * np.uint64(0x9E3779B1) + earlier * np.uint64(0x85EBCA6B)) >> np.uint64(11))
-        id1, seen1 = one.look((before * np.uint64(0x9E3779B1)) >> np.uint64(9))
-        asked = seen2 & alive
-        hit2 = binary(asked, two.chance(), asked & (id2 == x) if encoding else None) & asked
-        two.learn_rate(asked, hit2)
-        ask1 = seen1 & alive & ~hit2 & ~(seen2 & (id1 == id2))
-        hit1 = binary(ask1, one.chance(), ask1 & (id1 == x) if encoding else None) & ask1
-        one.learn_rate(ask1, hit1)
-        rest = alive & ~hit2 & ~hit1
-        if encoding:
-            c = np.where(x < 65536, _CLASS_OF[np.minimum(x, 65535)], ESCAPE)
-            c = np.where(rest, c, 0)
-            h = digit(high, 0, rest, c >> 4)
-            digit(low, h, rest, c & 15)
-            plain(np.where(rest & (c != ESCAPE), _WIDTH[c], 1), np.where(rest & (c != ESCAPE), x - _BOUNDS[c], 0))
-            if (escape := rest & (c == ESCAPE)).any():
+        mixed = before * 0x9E3779B1
+        id2, id1 = two.look((mixed + earlier * 0x85EBCA6B) >> 11), one.look(mixed >> 9)
+        now = x if encoding else np.zeros(n, np.int64)
+        rest = alive.copy()
+        own = np.flatnonzero((two.seen > 0) & alive)
+        if len(own):
+            hits = own[binary(two, own, id2[own] == x[own] if encoding else None)]
+            rest[hits] = False
+            if not encoding:
+                now[hits] = id2[hits]
+        own = np.flatnonzero((one.seen > 0) & rest & ~((two.seen > 0) & (id1 == id2)))
+        if len(own):
+            hits = own[binary(one, own, id1[own] == x[own] if encoding else None)]
+            rest[hits] = False
+            if not encoding:
+                now[hits] = id1[hits]
+        own = np.flatnonzero(rest)
+        if len(own):
+            if encoding:
+                v = x[own]
+                c = np.where(v < 65536, _CLASS_OF[np.minimum(v, 65535)], ESCAPE)
+                digit(high, own, 0, c >> 4)
+                digit(low, own, c >> 4, c & 15)
+            else:
+                h = digit(high, own, 0, None)
+                c = h * 16 + digit(low, own, h, None)
+            known = c != ESCAPE
+            inside, place = (own, c) if known.all() else (own[known], c[known])
+            found = plain(inside, _WIDTH[place], x[inside] - _BOUNDS[place] if encoding else None)
+            if not encoding:
+                now[inside] = found + _BOUNDS[place]
+            if len(inside) < len(own):
+                beyond = own[~known]
+                whole = np.full(len(beyond), 1 << 16, np.int64)
                 for shift in (16, 0):
-                    plain(np.where(escape, 1 << 16, 1), np.where(escape, (x >> shift) & 0xFFFF, 0))
-            now = x
-        else:
-            h = digit(high, 0, rest, None)
-            c = h * 16 + digit(low, h, rest, None)
-            c = np.where(rest, c, 0)
-            now = _BOUNDS[c] + plain(np.where(rest & (c != ESCAPE), _WIDTH[c], 1), None)
-            if (escape := rest & (c == ESCAPE)).any():
-                raw = np.zeros(n, np.int64)
-                for _ in range(2):
-                    raw = (raw << 16) | plain(np.where(escape, 1 << 16, 1), None)
-                now = np.where(escape, raw, now)
-            now = np.where(hit2, id2, np.where(hit1, id1, now)).astype(np.int64)
-            now = np.where(alive, now, 0)
+                    found = plain(beyond, whole, (x[beyond] >> shift) & 0xFFFF if encoding else None)
+                    if not encoding:
+                        now[beyond] |= found << shift
+        if not encoding:
             out[:, t] = now
-        two.learn_id(now.astype(np.uint32), id2)
-        one.learn_id(now.astype(np.uint32), id1)
-        earlier, before = before, now.astype(np.uint64)
+        two.learn_id(now)
+        one.learn_id(now)
+        earlier, before = before, now
     return out
 
 
@@ -283,9 +299,9 @@ def encode_ids(ids: np.ndarray) -> bytes:
         lengths[-1] = len(ids) - (n - 1) * BLOCK
     if n == 1:
         grid = grid[:, : lengths[0]]
-    coder = _Encoder(n, grid)
+    coder = _Encoder(n, grid.shape[1])
     if n:
-        _code(n, lengths, coder, grid)
+        _code(lengths, coder, grid)
     coded = coder.finish() if n else []
     sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(n)]
     head = struct.pack("<5sI", MAGIC, n) + b"".join(struct.pack("<III", k, len(d), s) for k, d, s in zip(lengths.tolist(), coded, sums))
@@ -305,7 +321,7 @@ def decode_ids(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     lengths = np.array([h[0] for h in heads])
-    grid = _code(n, lengths, _Decoder(coded, int(lengths.max())), None)
+    grid = _code(lengths, _Decoder(coded), None)
     out = grid[np.arange(grid.shape[1])[None, :] < lengths[:, None]].astype("<u4")
     begin = 0
     for i, (k, _, total) in enumerate(heads):
@@ -321,7 +337,7 @@ class Tokens:
     White space separates words in the tokenizer's own rules, so a text's ids are its words' ids in turn.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -334,54 +350,47 @@ class Tokens:
         self.offset, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n = self.used = 0
 
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if self.n == len(self.offset):
-            self.offset, self.size = np.concatenate([self.offset, self.offset]), np.concatenate([self.size, self.size])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.offset[self.n], self.size[self.n] = self.used, len(ids)
-        self.at[word] = self.n
-        self.n += 1
-        self.used += len(ids)
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        """Words in small letters without a closing comma or stop are encoded; others are made from those."""
-        made, plain = [], set()
-        for w in fresh:
-            core, tail = w, b""
-            if w.isascii() and b"<|" not in w:
-                core = w.lower()
-                if len(core) > 1 and core[-1:] in b",." and core[-2:-1].isalpha():
-                    core, tail = core[:-1], core[-1:]
-            if core != w:
-                made.append((w, core, tail))
-                plain |= {x for x in (core, tail) if x and x not in self.at and x not in fresh}
-            else:
-                plain.add(w)
-        order = sorted(plain)
-        for word, found in zip(order, self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False) if order else ()):
-            self._add(word, found.ids)
-        for w, core, tail in sorted(made, key=lambda m: len(m[0])):
-            parts = [self._of(core), *([self._of(tail)] if tail else [])]
-            self._add(w, [int(i) for p in parts for i in p])
-
-    def _of(self, word: bytes) -> np.ndarray:
-        if word not in self.at:
-            self._learn({word})
-        i = self.at[word]
-        return self.ids[self.offset[i] : self.offset[i] + self.size[i]]
+    def _learn(self, fresh: list[bytes]) -> None:
+        for begin in range(0, len(fresh), 20_000):
+            part = fresh[begin : begin + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            total, end = int(size.sum()), self.n + len(part)
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while end > len(self.offset):
+                self.offset, self.size = np.concatenate([self.offset, self.offset]), np.concatenate([self.size, self.size])
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+            self.offset[self.n : end] = self.used + np.cumsum(size) - size
+            self.size[self.n : end] = size
+            self.at.update(zip(part, range(self.n, end)))
+            self.n, self.used = end, self.used + total
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """The words of a text in small letters, with a closing comma or stop as a word of its own.
+
+        Neither changes the ids: the tokenizer puts letters and signs into different pieces and lower-cases
+        all; only where lower-casing could change how marks combine, or a special token could arise, the
+        text's words stay as they are.
+        """
+        if b"<|" in text:
+            return text.split()
+        low = text.lower()
+        if not text.isascii() and not (is_normalized("NFC", text.decode()) and is_normalized("NFC", low.decode())):
+            return text.split()
+        return _CLOSING.sub(rb" \1", low).split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has)."""
         if self.n > self.most:
             self._clear()
-        split = [t.split() for t in texts]
+        split = [self._words(t) for t in texts]
         at = self.at
         fresh = {w for s in split for w in s if w not in at}
         if fresh:
-            self._learn(fresh)
-        rows = np.fromiter((at[w] for s in split for w in s), np.int64, sum(map(len, split)))
+            self._learn(sorted(fresh))
+        rows = np.fromiter(map(at.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         size = self.size[rows]
         ends = np.cumsum(size)
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offset[rows] - (ends - size), size)
