@@ -24,8 +24,9 @@ def points(rows: DataFrame, x: Column, y: Column) -> DataFrame:
 def label_grid(values: DataFrame) -> DataFrame:
     """Every label of every series; what is missing is 0 and marked."""
     labels, series = values.select("label").distinct(), values.select("series").distinct()
-    # Labels and series are a chart's axes (at most 2000 and 64): their grid is the wanted result.
-    grid = labels.join(F.broadcast(series.limit(64)))
+    # The grid is the wanted result, so its size is labels x series whatever their number; neither side is cut
+    # and none is forced into a broadcast.
+    grid = labels.crossJoin(series)
     return grid.join(values, ["label", "series"], "left").withColumn("missing", F.col("value").isNull()).withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

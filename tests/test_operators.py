@@ -173,3 +173,9 @@ def test_extensions(spark):
     assert x.render("LIST", spark.range(4)).count() == 2 and x.render("other", spark.range(4)).count() == 4
     assert seen == ["LIST", "other"] and len(x.notes) == 1
     assert "fnv1a" in register_helpers(spark) and spark.sql("select fnv1a('a') as h").first()["h"] == "e40c292c"
+
+
+def test_label_grid_keeps_every_series(spark):
+    values = spark.createDataFrame([(i % 3, f"s{i:03}", float(i)) for i in range(1, 101)], "label int, series string, value double")
+    got = {(r["label"], r["series"]): (r["value"], r["missing"]) for r in charts.label_grid(values).collect()}
+    assert got == {(k, f"s{i:03}"): (float(i), False) if i % 3 == k else (0.0, True) for i in range(1, 101) for k in range(3)}
