@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from oracle import assert_same, connect
@@ -42,3 +43,26 @@ def test_many_lengths_use_many_buckets(spark):
     rows = [(i, [r.gauss(0, 1) * (1 + i % 40) for _ in range(4)]) for i in range(700)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=4, block=7)
     assert sorted(map(tuple, got.collect())) == plain(rows)
+
+
+@pytest.mark.parametrize("cell, block", [(8192, 2048), (8, 5)])
+@pytest.mark.parametrize("size", [1e6, 1e12, 1e30, 1e160, 1e307])
+def test_long_vectors_take_part(spark, size, cell, block):
+    r = random.Random(7)
+    rows = [(i, [r.gauss(0, 1) * (size if i % 7 == 0 else 1) for _ in range(6)]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(8)] + [(2000, [size, 0.0, 0.0, 0.0, 0.0, 1.0]), (2001, [size, 0.0, 0.0, 0.0, 0.0, 2.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=cell, block=block)
+    want = exact_plain(rows)
+    assert sorted(map(tuple, got.collect())) == [(q, n, i, s if -(2**63) <= s < 2**63 else None) for q, n, i, s in want]
+    assert any(i % 7 == 0 and i for _, _, i, _ in want)
+
+
+def exact_plain(rows, k=5, every=50):
+    """As plain(), in whole numbers: 256 * x may be beyond the doubles."""
+    data = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+    out = []
+    for q, v in data:
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in data if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
