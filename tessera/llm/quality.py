@@ -138,42 +138,52 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> La
     return model
 
 
-_SHAPES: dict[str, int] = {}
+#: Characters of a piece of a token, and marks of a shape; a longer token has more pieces, more marks make more shapes.
+PIECE, MARKS = 48, 12
+_SHAPES: dict[str, tuple[int, ...]] = {}
 
 
-def _shape(word: str) -> int:
-    """The slot of a word's shape: runs of capitals, small letters and digits as one mark each, signs as they are."""
+def _slot(shape: str) -> int:
+    slot = 7
+    for ch in shape:
+        slot = (slot * 131 + ord(ch)) & 0x7FFFFFFF
+    return slot * 2654435761 % (1 << 32) >> 20
+
+
+def _shapes(piece: str) -> tuple[int, ...]:
+    """The slots of a piece's shapes: runs of capitals, small letters and digits as one mark each, signs as they are."""
     out = ""
-    for ch in word[:48]:
+    for ch in piece:
         mark = "X" if ch.isupper() else "x" if ch.isalpha() else "9" if ch.isdigit() else ch
         if mark != out[-1:]:
             out += mark
-    slot = 7
-    for ch in out[:12]:
-        slot = (slot * 131 + ord(ch)) & 0x7FFFFFFF
-    return slot * 2654435761 % (1 << 32) >> 20
+    return tuple(_slot(out[i : i + MARKS]) for i in range(0, len(out), MARKS))
 
 
 def features(text: str) -> np.ndarray:
-    """Square roots of the shares of token shapes, of neighbouring shapes and of repeated tokens, in hashed slots."""
+    """Square roots of the shares of token shapes, of neighbouring shapes and of repeated tokens, in hashed slots.
+
+    Every character counts: a token longer than ``PIECE`` goes in piece by piece.
+    """
     w = text.split()
     out = np.zeros(SLOTS, np.float32)
     if not w:
         return out
-    if len(_SHAPES) > 300_000:
-        _SHAPES.clear()
-    shapes = []
+    shapes: list[int] = []
     for x in w:
-        s = _SHAPES.get(x)
-        if s is None:
-            s = _SHAPES[x] = _shape(x)
-        shapes.append(s)
+        for piece in (x,) if len(x) <= PIECE else (x[i : i + PIECE] for i in range(0, len(x), PIECE)):
+            s = _SHAPES.get(piece)
+            if s is None:
+                if len(_SHAPES) > 300_000:
+                    _SHAPES.clear()
+                s = _SHAPES[piece] = _shapes(piece)
+            shapes += s
     a = np.array(shapes, np.int64)
     out += np.bincount(a, minlength=SLOTS)
     if len(a) > 1:
         out += np.bincount((a[:-1] * 31 + a[1:] * 17 + 5) % SLOTS, minlength=SLOTS)
         out[1] += 3 * sum(map(str.__eq__, w, w[1:]))
-    return np.sqrt(out / len(w))
+    return np.sqrt(out / len(a))
 
 
 @dataclass

@@ -24,6 +24,17 @@ def test_quality_on_odd_rows(spark, odd_docs, no_docs):
     assert quality.classify(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
 
 
+def test_quality_reads_whole_tokens():
+    clean = "word" * 12
+    junk = "{x}|$9~=" * 40
+    assert not np.array_equal(quality.features(clean + clean * 40), quality.features(clean + junk))
+    for text in (clean * 20, "a1" * 60):  # long, and many marks
+        for at in range(len(text)):
+            assert not np.array_equal(quality.features(text[:at] + "$" + text[at + 1 :]), quality.features(text))
+    learned = quality.fit_scorer(np.stack([quality.features(f"{clean} {i}" if i % 2 else f"{junk} {i}") for i in range(60)]), np.arange(60) % 2.0)
+    assert learned.score(clean * 40) > 0.5 > learned.score(clean + junk * 40)
+
+
 def test_label_model_finds_the_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.85
