@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,18 +101,16 @@ def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) ->
     marked = sorted((s, e, k) for k in KINDS for s, e in spans[k])
     if not marked:
         return []
-    reach, rows = 24 * window, []
+    runs, rows = [m.span() for m in _TERM.finditer(text)], []
     for start, end, kind in marked:
         entity = entity_key(kind, text[start:end])
-        left = [m.span() for m in _TERM.finditer(text, max(0, start - reach), start)]
-        if left and left[0][0] == start - reach > 0 and text[start - reach - 1].isalpha():
-            left = left[1:]
-        right = []
-        for m in _TERM.finditer(text, end, min(len(text), end + reach)):
-            right.append(m.span())
-            if len(right) == window:
-                break
-        near = left[-window:] + right
+        # The words before and after, however far; of a word that touches the span, the part outside it.
+        at = bisect_left(runs, (start,))
+        left = [(s, min(e, start)) for s, e in runs[max(0, at - window - 1) : at]]
+        at = bisect_right(runs, end, key=lambda x: x[1])
+        right = [(max(s, end), e) for s, e in runs[at : at + window + 1]]
+        left, right = ([x for x in side if x[1] - x[0] >= 3] for side in (left, right))
+        near = left[-window:] + right[:window]
         clear = [x for x in near if not any(x[0] < e and s < x[1] for s, e, _ in marked)]
         words = [text[s:e].lower() for s, e in clear]
         passage = int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
@@ -228,9 +227,10 @@ def sanitise(docs: DataFrame, *, window: int = 8, disclosure: float = 0.9, min_s
     """``docs`` with entities masked and disclosing terms generalised or removed in ``text``.
 
     The text goes through no shuffle unless the table of disclosing terms outgrows a broadcast: the
-    terms of a document are attached by doc_id and looked up in its contexts again.
+    terms of a text are attached by its hash, so that a null doc_id has them too, and looked up in its
+    contexts again; what texts of one hash share are pairs of entity and term, which hold for the whole corpus.
     """
-    scanned = cut(scan_spans(docs, window), "pii-scan")
+    scanned = cut(scan_spans(docs.select(F.xxhash64("text").alias("doc_id"), "text"), window), "pii-scan")
     flagged = disclosing_terms(scanned, cut(term_counts(docs), "pii-counts"), disclosure=disclosure, min_support=min_support)
     per_doc = cut(
         scanned.select("doc_id", F.explode("context").alias("c")).select("doc_id", "c.entity", "c.term").distinct()
@@ -241,7 +241,8 @@ def sanitise(docs: DataFrame, *, window: int = 8, disclosure: float = 0.9, min_s
     size = per_doc.agg(F.coalesce(F.sum(F.size("_flagged")), F.lit(0)).alias("n")).first()["n"]
     small = F.broadcast(per_doc) if size <= 50_000 else per_doc
     hidden = "_flagged" + "_" * sum(c.startswith("_flagged") for c in docs.columns)  # a name that no column has
-    joined = docs.join(small.withColumnRenamed("_flagged", hidden), "doc_id", "left")
+    small = small.select(F.col("doc_id").alias(hidden + "_of"), F.col("_flagged").alias(hidden))
+    joined = docs.join(small, F.xxhash64(docs["text"]) == F.col(hidden + "_of"), "left").drop(hidden + "_of")
     at = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

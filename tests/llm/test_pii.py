@@ -76,3 +76,28 @@ def test_sanitise(spark, odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[9] == "mail [EMAIL] or [PHONE] or 10.0.0.300 and [CARD]!" and texts[0] is None and texts[1] == ""
     assert pii.sanitise(no_docs).count() == 0 and pii.find_spans(no_docs).count() == 0
+
+
+def test_words_within_the_window_however_far():
+    text = "zorblax " + "12 " * 200 + "bob@example.com" + " 7" * 300 + " " + "q" * 300 + " end"
+    got = {(t, s, e) for _, t, _, s, e in pii.contexts(text, pii.base_spans(text), 8)}
+    assert got == {(t, text.index(t), text.index(t) + len(t)) for t in ("zorblax", "q" * 300, "end")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abé@. 1+_", max_size=80), st.integers(1, 3))
+def test_contexts_are_the_nearest_words(text, window):
+    spans = pii.base_spans(text)
+    marked = [x for k in pii.KINDS for x in spans[k]]
+    want = set()
+    for s, e in marked:
+        near = [m.span() for m in pii._TERM.finditer(text, 0, s)][-window:] + [m.span() for m in pii._TERM.finditer(text, e)][:window]
+        want |= {(a, b) for a, b in near if not any(a < y and x < b for x, y in marked)}
+    assert {(s, e) for *_, s, e in pii.contexts(text, spans, window)} == want
+
+
+def test_sanitise_without_doc_ids(spark):
+    docs = docs_with_an_entity(spark)
+    nameless = docs.selectExpr("cast(null as bigint) as doc_id", "text")
+    assert sorted(r["text"] for r in pii.sanitise(nameless).collect()) == sorted(r["text"] for r in pii.sanitise(docs).collect())
+    assert not any("zorblax" in r["text"] for r in pii.sanitise(nameless).collect())
