@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import texts
-from tessera.operators import charts, graph, search
+from tessera.operators import charts, graph, ranks, search
 from tessera.plans import views as v
 from tessera.plans.register import query
 
@@ -114,13 +114,13 @@ def srt12_versions(s, d):
 @query("SELECT page_id, row_number() OVER (ORDER BY page_id) AS place FROM v_pages")
 def srt01_natural_order(s, d):
     title = F.concat(F.lit("Page "), F.col("page_id").cast("string"))
-    return v.pages(s, d).select("page_id", F.row_number().over(Window.orderBy(texts.natural_key(title))).alias("place"))
+    return ranks.placed(v.pages(s, d).select("page_id"), texts.natural_key(title)).select("page_id", "place")
 
 
 @query("SELECT count(*) = count(*) FILTER (a = b) AS same FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS a, row_number() OVER (ORDER BY page_id DESC) AS b FROM v_pages)")
 def srt02_same_order(s, d):
-    a, b = F.row_number().over(Window.orderBy("page_id")), F.row_number().over(Window.orderBy(F.desc("page_id")))
-    return v.pages(s, d).select(a.alias("a"), b.alias("b")).agg((F.count(F.lit(1)) == F.count_if(F.col("a") == F.col("b"))).alias("same"))
+    rows = ranks.placed(ranks.placed(v.pages(s, d).select("page_id"), "page_id", name="a"), F.desc("page_id"), name="b")
+    return rows.agg((F.count(F.lit(1)) == F.count_if(F.col("a") == F.col("b"))).alias("same"))
 
 
 @query("SELECT source_page_id, target_path, CASE WHEN link_type <> 'external' OR target_path IS NULL OR target_path = 'not a url' THEN 'unprovable' WHEN starts_with(target_path, 'https://host1.') THEN 'same' ELSE 'cross' END AS verdict FROM v_links")

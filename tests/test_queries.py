@@ -18,3 +18,8 @@ def test_query(spark, small, con, name):
         assert_same(df, con, catalog.ORACLE_SQL[name])
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["srt01_natural_order", "srt02_same_order"])
+def test_places_without_a_window_over_the_table(spark, small, name):
+    assert "Window" not in catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
