@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,24 @@ def text_strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(column: pa.Array, size: int = 32 << 20) -> Iterator[pa.Array]:
+    """The texts of a column, nulls as empty ones, in runs of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield pc.fill_null(column.slice(begin, end - begin), "")
+        begin = end
+
+
+def distinct_words(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of texts that are split into lists, the place among them of each word, and the first word of each text."""
+    words = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64), bounds - bounds[0]
+
+
 def held_out_bucket(doc_id: str, modulus: int):
     """crc32 of the decimal doc_id, modulo ``modulus``; a null id is the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

@@ -1,28 +1,31 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
 Ids are cut into blocks of ``BLOCK``; each block starts from the same state, carries its own CRC-32 and can
-be decoded alone. An id is coded by up to three predictions:
+be decoded alone. Three predictions share the range of one coding step:
 
-* order 2: the id that last followed the two ids before, order 1: the id that last followed the one before.
-  Whether a prediction holds is one binary decision, whose probability mixes the hit rate of predictions
-  with that record and the overall hit rate by weights that learn (in whole numbers, so that every machine
-  decodes alike);
-* order 0: adaptive frequencies of id classes, in two digits, and the place in the class.
+* order 2: the id that last followed the two ids before, order 1: the id that last followed the one before;
+* order 0: adaptive frequencies of id classes, renewed as a block goes on, and the place in the class.
 
-All blocks of a segment are coded side by side: ``low`` and ``range``
-are arrays, and each decision is one array operation over the blocks that have it to make.
+The shares of the orders are mixed by weights that learn, for each record of the two predictions (how often
+either has held, and whether both name one id), how often each was right. All arithmetic is on whole numbers
+or on doubles that hold them exactly, so that every machine decodes alike.
+
+All blocks of a segment are coded side by side: ``low`` and ``range`` are arrays, and each step is a
+fixed number of array operations over the blocks.
 
 Plan: texts are range-partitioned by doc_id and sorted, tokenised and coded in the task that writes a
 partition's segments (Parquet rows: documents, lengths, coded blocks); offsets of partitions are one number
 a partition. Reading decodes segments in parallel and checks each block's sum.
 
-Defined cases: a null text is empty (its end id is still written); equal doc_ids are ordered by a hash of
-their texts; null doc_ids come first; an empty table writes no segment; ids may be any unsigned 32-bit
-numbers; further columns are ignored.
+Defined cases: a null text is empty (its end id is still written); a very long text goes through whole and
+may cross blocks and segments' sizes; equal doc_ids are ordered by a hash of their texts; null doc_ids come
+first; an empty table writes no segment; ids may be any unsigned 32-bit numbers; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import struct
@@ -30,373 +33,372 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, text_bytes
-
-BLOCK, SEGMENT = 512, 1 << 21
-MAGIC = b"TIDS\x01"
-SLOTS2, SLOTS1, RECORDS = 512, 256, 4
-ONE = 1 << 12
-ADD, MOST = 24, 1 << 13
-ESCAPE = 255
-
-#: A comma or stop after a letter or digit that ends a word.
-_CLOSING = re.compile(rb"(?<=[a-z0-9])([,.])(?=[\x20\n])")
-
-#: First id of each class: classes widen with the cube of their number, as ids are ranked by frequency.
-_BOUNDS = np.maximum.accumulate(np.round((np.arange(ESCAPE + 1) / ESCAPE) ** 3 * 65536).astype(np.int64) + 0)
-for _k in range(1, ESCAPE + 1):
-    _BOUNDS[_k] = max(_BOUNDS[_k], _BOUNDS[_k - 1] + 1)
-_CLASS_OF = (np.searchsorted(_BOUNDS, np.arange(65536), side="right") - 1).astype(np.int64)
-_WIDTH = np.append(np.diff(_BOUNDS), 1)
-_STRETCH = np.round(256 * np.log((np.arange(ONE) + 0.5) / (ONE - np.arange(ONE) - 0.5))).astype(np.int32)
-_SQUASH = np.clip(np.round(ONE / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 32, ONE - 32).astype(np.int64)
-_STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.int16) * np.int16(ADD)
-
-
-def _shares(span: np.ndarray, total: np.ndarray | None) -> np.ndarray:
-    """Width of one count: whole numbers below 2^33, so the quotient of doubles rounds down exactly."""
-    return span >> 12 if total is None else (span / total).astype(np.int64)
+from tessera.llm.common import distinct_words, shared_dir, slices
+
+BLOCK, SEGMENT = 2048, 1 << 23
+MAGIC = b"TIDS\x02"
+#: Slots of remembered followers, for two ids and for one.
+SLOTS = 256
+ONE_BITS = 12
+ONE = 1 << ONE_BITS
+#: The most that orders 2 and 1 get of ``ONE``; order 0 has the rest.
+FOLLOWERS = 3840
+CLASSES, ESCAPE, SHARE_BITS = 128, 127, 10
+SHARES = 1 << SHARE_BITS
+#: Places of a block before which weights and class frequencies are renewed.
+RENEWED = (16, 48, 96, 160, 256, *range(384, BLOCK, 256))
+#: A range is kept from 2^30 to below 2^62; words have 32 bits.
+LEAST, MASK = 1 << 30, (1 << 30) - 1
+
+#: Binary logarithm of the ids in each class: classes widen, as ids are ranked by frequency.
+_SHIFT = np.repeat(np.array([5, 7, 10, 13, 0]), [64, 32, 24, 7, 1])
+_FIRST = np.concatenate([[0], np.cumsum(1 << _SHIFT[:ESCAPE])])
+BEYOND = int(_FIRST[ESCAPE])
+_CLASS_OF = np.append(np.repeat(np.arange(ESCAPE), 1 << _SHIFT[:ESCAPE]), ESCAPE).astype(np.uint8)
+
+# What is known of two followers: their records (0: not seen, 1: seen, 3: has held since) and whether they are one id.
+_KIND = np.arange(32)
+_RECORD2, _RECORD1, _AGREE = (_KIND >> 2) & 3, _KIND & 3, _KIND >> 4
+_USES2 = _RECORD2 > 0
+_USES1 = (_RECORD1 > 0) & ~((_AGREE > 0) & _USES2)
 
 
 class _Encoder:
     """Range encoders of all blocks. Words may hold a carry until :meth:`finish`."""
 
-    def __init__(self, n: int, longest: int):
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
-        self.words, self.at = np.zeros((n, longest * 6 + 4), np.uint32), np.zeros(n, np.int64)
-
-    def take(self, own: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | None) -> None:
-        """Code one value in the blocks ``own``; no total means ``ONE``."""
-        span = self.range[own]
-        r = _shares(span, total)
-        low = self.low[own] + r * start
-        span = r * freq
-        due = np.flatnonzero(span < (1 << 16))
-        if len(due):
-            blocks, carried = own[due], low[due]
-            at = self.at[blocks]
-            self.words[blocks, at] = carried >> 16
-            self.at[blocks] = at + 1
-            low[due] = (carried & 0xFFFF) << 16
-            span[due] <<= 16
-        self.low[own], self.range[own] = low, span
+    def __init__(self, n: int, longest: int, beyond: bool):
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 62) - 1, np.int64)
+        self.width = longest * (2 if beyond else 1) + 8
+        self.words, self.at = np.zeros(n * self.width, np.int64), np.arange(n) * self.width
+
+    def settle(self) -> None:
+        due = np.flatnonzero(self.range < LEAST)
+        low, at = self.low.take(due), self.at.take(due)
+        self.words[at] = low >> 30
+        self.at[due] = at + 1
+        self.low[due] = (low & MASK) << 32
+        self.range[due] = self.range.take(due) << 32
+
+    def raw(self, own: np.ndarray, value: np.ndarray) -> None:
+        """32 bits as they are."""
+        for part in (value >> 16, value & 0xFFFF):
+            r = self.range[own] >> 16
+            self.low[own] += r * part
+            self.range[own] = r
+            self.settle()
 
     def finish(self) -> list[bytes]:
-        n = np.arange(len(self.at))
-        for shift, mask in ((16, 0x1FFFF), (0, 0xFFFF)):
-            self.words[n, self.at] = (self.low >> shift) & mask
+        for word in (self.low >> 30, (self.low & MASK) << 2):
+            self.words[self.at] = word
             self.at += 1
-        carry = np.zeros(len(self.at), np.uint32)
-        for i in range(int(self.at.max(initial=0)) - 1, -1, -1):
-            w = self.words[:, i] + carry
-            carry = w >> np.uint32(16)
-            self.words[:, i] = w & np.uint32(0xFFFF)
-        return [w[:k].astype("<u2").tobytes() for w, k in zip(self.words, self.at)]
+        size = self.at - np.arange(len(self.at)) * self.width
+        words = np.ascontiguousarray(self.words.reshape(-1, self.width)[:, : size.max(initial=0)].T)
+        carry = np.zeros(len(self.at), np.int64)
+        for i in range(len(words) - 1, -1, -1):
+            words[i] += carry
+            carry = words[i] >> 32
+        out = np.ascontiguousarray(words.T.astype("<u4"))
+        return [w[:k].tobytes() for w, k in zip(out, size)]
 
 
 class _Decoder:
     def __init__(self, data: list[bytes]):
         n = len(data)
-        longest = max((len(d) // 2 for d in data), default=0) + 3
-        self.words = np.zeros((n, longest), np.int64)
+        width = max((len(d) // 4 for d in data), default=0) + 3
+        words = np.zeros((n, width), np.uint32)
         for i, d in enumerate(data):
-            self.words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.code = (self.words[:, 0] << 16) | self.words[:, 1]
-        self.range, self.at = np.full(n, (1 << 32) - 1, np.int64), np.full(n, 2, np.int64)
-
-    def place(self, own: np.ndarray, total: np.ndarray | None) -> np.ndarray:
-        """Where the coded values of the blocks ``own`` lie, counted from 0 to ``total``."""
-        self.r = _shares(self.range[own], total)
-        return np.minimum((self.code[own] / self.r).astype(np.int64), (ONE if total is None else total) - 1)
-
-    def done(self, own: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        code, span = self.code[own] - self.r * start, self.r * freq
-        due = np.flatnonzero(span < (1 << 16))
-        if len(due):
-            blocks = own[due]
-            at = self.at[blocks]
-            code[due] = (code[due] << 16) | self.words[blocks, np.minimum(at, self.words.shape[1] - 1)]
-            self.at[blocks] = at + 1
-            span[due] <<= 16
-        self.code[own], self.range[own] = code, span
-
-
-class _Order:
-    """Predictions of one order: the id that last followed a context, and how often it has held."""
-
-    def __init__(self, n: int, slots: int):
-        self.slots = slots
-        self.base = np.arange(n, dtype=np.int64) * slots
-        self.id = np.zeros(n * slots, np.uint32)
-        self.record = np.zeros(n * slots, np.uint8)  # 0: not seen; 1 + hits in a row
-        self.rate = np.full(n * RECORDS, ONE // 3, np.int32)
-        self.all = np.full(n, ONE // 3, np.int32)
-        self.weight = np.full((2, n), 40_000, np.int32)
-
-    def look(self, context: np.ndarray) -> np.ndarray:
-        """The predicted ids; ``record`` is 0 where the context was not seen."""
-        self.slot = self.base + (context & np.int64(self.slots - 1))
-        self.seen = self.record[self.slot]
-        self.predicted = self.id[self.slot].astype(np.int64)
-        return self.predicted
-
-    def chance(self, own: np.ndarray) -> np.ndarray:
-        """Probability, of ``ONE``, that the prediction holds in each of the blocks ``own``."""
-        self.kind = own * RECORDS + self.seen[own] - 1
-        self.p, self.q = self.rate[self.kind], self.all[own]
-        self.s1, self.s2 = _STRETCH[self.p], _STRETCH[self.q]
-        x = (self.weight[0, own].astype(np.int64) * self.s1 + self.weight[1, own].astype(np.int64) * self.s2) >> 16
-        self.mixed = _SQUASH[np.clip(x + 2048, 0, 4095)]
-        return self.mixed
-
-    def learn_rate(self, own: np.ndarray, hit: np.ndarray) -> None:
-        want = hit.astype(np.int32) << 12
-        error = want - self.mixed.astype(np.int32)
-        self.weight[0, own] += (self.s1 * error) >> 10
-        self.weight[1, own] += (self.s2 * error) >> 10
-        self.rate[self.kind] = np.clip(self.p + ((want - self.p) >> 4), 16, ONE - 16)
-        self.all[own] = np.clip(self.q + ((want - self.q) >> 5), 16, ONE - 16)
-
-    def learn_id(self, ids: np.ndarray) -> None:
-        same = (self.predicted == ids) & (self.seen > 0)
-        self.record[self.slot] = np.where(same, np.minimum(self.seen + 1, RECORDS), 1)
-        self.id[self.slot] = ids
-
-
-class _Digit:
-    """Adaptive cumulative frequencies of one of 16 values, by context."""
-
-    def __init__(self, n: int, contexts: int):
-        self.contexts = contexts
-        self.rows = np.tile(np.arange(1, 17, dtype=np.int16), (n * contexts, 1))
-
-    def row(self, own: np.ndarray, context) -> np.ndarray:
-        self.at = own * self.contexts + context
-        self.now = self.rows[self.at]
-        return self.now
-
-    def learn(self, value: np.ndarray) -> None:
-        now = self.now + _STEP[value]
-        over = np.flatnonzero(now[:, 15] > MOST)
-        if len(over):
-            part = np.diff(now[over], axis=1, prepend=np.int16(0))
-            now[over] = np.cumsum((part + 1) >> 1, axis=1)
-        self.rows[self.at] = now
-
-
-def _code(lengths: np.ndarray, coder, ids: np.ndarray | None) -> np.ndarray:
-    """Run the model over all blocks: with ``ids`` it drives an encoder, else it fills in what a decoder finds."""
-    n, longest = len(lengths), int(lengths.max(initial=0))
-    encoding = ids is not None
-    out = ids if encoding else np.zeros((n, longest), np.int64)
-    two, one = _Order(n, SLOTS2), _Order(n, SLOTS1)
-    high, low = _Digit(n, 1), _Digit(n, 16)
-    before, earlier = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def binary(order: _Order, own: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-        """Whether the order's prediction holds, in the blocks ``own``."""
-        p = order.chance(own)
-        if not encoding:
-            hit = coder.place(own, None) < p
-        start, freq = np.where(hit, 0, p), np.where(hit, p, ONE - p)
-        if encoding:
-            coder.take(own, start, freq, None)
-        else:
-            coder.done(own, start, freq)
-        order.learn_rate(own, hit)
-        return hit
-
-    def digit(model: _Digit, own: np.ndarray, context, value: np.ndarray | None) -> np.ndarray:
-        row = model.row(own, context)
-        total = row[:, 15].astype(np.int64)
-        if not encoding:
-            value = (row <= coder.place(own, total).astype(np.int16)[:, None]).sum(axis=1)
-        at = np.arange(len(own)) * 16 + value
-        flat = row.reshape(-1)
-        begin = np.where(value > 0, flat[at - 1], 0).astype(np.int64)
-        freq = flat[at] - begin
-        if encoding:
-            coder.take(own, begin, freq, total)
-        else:
-            coder.done(own, begin, freq)
-        model.learn(value)
+            words[i, : len(d) // 4] = np.frombuffer(d, "<u4")
+        self.words = words.reshape(-1)
+        # 62 bits are 30 of a second word after 32 of the first; what is left of it comes with the third.
+        self.code = (words[:, 0].astype(np.int64) << 30) | (words[:, 1] >> 2)
+        self.at, self.last = np.arange(n) * width + 1, np.arange(1, n + 1) * width - 2
+        self.range = np.full(n, (1 << 62) - 1, np.int64)
+
+    def settle(self) -> None:
+        due = np.flatnonzero(self.range < LEAST)
+        at = np.minimum(self.at.take(due), self.last.take(due))  # damaged data may ask for more
+        low = (self.words.take(at).astype(np.int64) & 3) << 30
+        self.code[due] = (self.code.take(due) << 32) | low | (self.words.take(at + 1) >> 2)
+        self.at[due] = at + 1
+        self.range[due] = self.range.take(due) << 32
+
+    def raw(self, own: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(own), np.int64)
+        for _ in range(2):
+            r = self.range[own] >> 16
+            part = np.minimum(self.code[own] // r, 0xFFFF)
+            self.code[own] -= r * part
+            self.range[own] = r
+            self.settle()
+            value = (value << 16) | part
         return value
 
-    def plain(own: np.ndarray, total: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        if not encoding:
-            value = coder.place(own, total)
-        if encoding:
-            coder.take(own, value, np.int64(1), total)
-        else:
-            coder.done(own, value, np.int64(1))
-        return value
 
+class _Mixer:
+    """What a block has learnt up to the last renewal: weights of orders 2 and 1, and frequencies of classes (order 0)."""
+
+    def __init__(self, n: int, encoding: bool):
+        self.n, self.encoding = n, encoding
+        self.outcomes = np.zeros((n, 32, 4), np.int64)
+        self.seen = np.ones((n, CLASSES), np.int64)
+        self.of_block = np.arange(n) * CLASSES
+        self.renew()
+
+    def learn(self, kinds: list[np.ndarray], hits: list[np.ndarray], ids: np.ndarray) -> None:
+        """``kinds`` (block and kind) and ``hits`` (2, 1 or 0: the order that named the id) of each place since, and its ids."""
+        at = np.stack(kinds, axis=1)  # block by block, so that counting stays in the cache
+        at <<= 2
+        at += np.stack(hits, axis=1)
+        self.outcomes += np.bincount(at.reshape(-1), minlength=self.outcomes.size).reshape(self.outcomes.shape)
+        at = _CLASS_OF.take(np.minimum(np.ascontiguousarray(ids.T), np.uint32(BEYOND))).astype(np.int64)
+        at += self.of_block[:, None]
+        self.seen += 4 * np.bincount(at.reshape(-1), minlength=self.seen.size).reshape(self.seen.shape)
+        self.renew()
+
+    def renew(self) -> None:
+        total = 2 * self.outcomes.sum(axis=2) + 4
+        share2 = (2 * self.outcomes[:, :, 2] + 1) * FOLLOWERS // total * _USES2
+        share1 = (2 * self.outcomes[:, :, 1] + 1) * FOLLOWERS // total * _USES1
+        self.weights = ((share2 << 16) | (share2 + share1)).reshape(-1)
+        scale = (SHARES - CLASSES) / self.seen.sum(axis=1)
+        freq = (self.seen * scale[:, None]).astype(np.int32) + 1
+        freq[:, 0] += SHARES - freq.sum(axis=1, dtype=np.int32)
+        start = np.cumsum(freq, axis=1, dtype=np.int32) - freq
+        self.classes = ((start << 16) | freq).reshape(-1)
+        if not self.encoding:
+            self.at_share = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), self.n), freq.reshape(-1))
+
+
+def _code(n: int, longest: int, bits: int, coder, ids: np.ndarray | None) -> np.ndarray:
+    """Run the model over all blocks, one row of ids a place: with ``ids`` it drives an encoder, else it fills in what a decoder finds."""
+    encoding = ids is not None
+    out = ids if encoding else np.zeros((longest, n), np.uint32)
+    mixer = _Mixer(n, encoding)
+    # The id that last followed one id (row 0) or two (row 1), and its record: 4 * id + record.
+    followers = np.zeros((2, n * SLOTS), np.int32 if bits <= 29 else np.int64)
+    one, two = followers
+    slots, of_kind, of_class = np.arange(n) * SLOTS, np.arange(n) * 32, np.arange(n) * CLASSES
+    before = earlier = np.zeros(n, np.int64)
+    kinds, hits, since = [], [], 0
     for t in range(longest):
-        x = np.ascontiguousarray(out[:, t]) if encoding else None
-        alive = t < lengths
+        if t in RENEWED:
+            mixer.learn(kinds, hits, out[since:t])
+            kinds, hits, since = [], [], t
         mixed = before * 0x9E3779B1
-        id2, id1 = two.look((mixed + earlier * 0x85EBCA6B) >> 11), one.look(mixed >> 9)
-        now = x if encoding else np.zeros(n, np.int64)
-        rest = alive.copy()
-        own = np.flatnonzero((two.seen > 0) & alive)
-        if len(own):
-            hits = own[binary(two, own, id2[own] == x[own] if encoding else None)]
-            rest[hits] = False
-            if not encoding:
-                now[hits] = id2[hits]
-        own = np.flatnonzero((one.seen > 0) & rest & ~((two.seen > 0) & (id1 == id2)))
-        if len(own):
-            hits = own[binary(one, own, id1[own] == x[own] if encoding else None)]
-            rest[hits] = False
-            if not encoding:
-                now[hits] = id1[hits]
-        own = np.flatnonzero(rest)
-        if len(own):
-            if encoding:
-                v = x[own]
-                c = np.where(v < 65536, _CLASS_OF[np.minimum(v, 65535)], ESCAPE)
-                digit(high, own, 0, c >> 4)
-                digit(low, own, c >> 4, c & 15)
-            else:
-                h = digit(high, own, 0, None)
-                c = h * 16 + digit(low, own, h, None)
-            known = c != ESCAPE
-            inside, place = (own, c) if known.all() else (own[known], c[known])
-            found = plain(inside, _WIDTH[place], x[inside] - _BOUNDS[place] if encoding else None)
-            if not encoding:
-                now[inside] = found + _BOUNDS[place]
-            if len(inside) < len(own):
-                beyond = own[~known]
-                whole = np.full(len(beyond), 1 << 16, np.int64)
-                for shift in (16, 0):
-                    found = plain(beyond, whole, (x[beyond] >> shift) & 0xFFFF if encoding else None)
-                    if not encoding:
-                        now[beyond] |= found << shift
+        slot1 = ((mixed >> 12) & (SLOTS - 1)) + slots
+        slot2 = (((mixed + earlier * 0x85EBCA6B) >> 13) & (SLOTS - 1)) + slots
+        follows1, follows2 = one.take(slot1), two.take(slot2)
+        id1, id2 = follows1 >> 2, follows2 >> 2
+        kind = ((follows2 & 3) << 2) | (follows1 & 3) | ((id1 == id2) << np.int8(4))
+        kind = kind + of_kind
+        weights = mixer.weights.take(kind)
+        r = coder.range >> ONE_BITS
+        end2, end1 = r * (weights >> 16), r * (weights & 0xFFFF)
+        if encoding:
+            now = ids[t].astype(np.int64)
+            hit2 = (now == id2) & (end2 > 0)
+            hit = hit2 | ((now == id1) & (end1 > end2))
+        else:
+            hit2, hit = coder.code < end2, coder.code < end1
+            now = np.where(hit2, id2, id1).astype(np.int64)
+        begin = np.where(hit, end2, end1)
+        begin[hit2] = 0
+        span = np.where(hit, end1, r << ONE_BITS)
+        np.copyto(span, end2, where=hit2)
+        span -= begin
+        rest = np.flatnonzero(~hit)
+        r = span.take(rest) >> SHARE_BITS
+        if encoding:
+            coder.low += begin
+            value = now.take(rest)
+            c = _CLASS_OF.take(np.minimum(value, BEYOND))
+            known = mixer.classes.take(of_class.take(rest) + c)
+            inner = (r * (known & 0xFFFF)) >> _SHIFT.take(c)
+            value -= _FIRST.take(c)
+            if bits > 16:
+                value[c == ESCAPE] = 0
+            coder.low[rest] += r * (known >> 16) + inner * value
+        else:
+            coder.code -= begin
+            code = coder.code.take(rest)
+            share = np.minimum(code // r, SHARES - 1)
+            row = of_class.take(rest)
+            c = mixer.at_share.take((row << (SHARE_BITS - 7)) + share)
+            known = mixer.classes.take(row + c)
+            shift = _SHIFT.take(c)
+            inner = (r * (known & 0xFFFF)) >> shift
+            code -= r * (known >> 16)
+            value = np.minimum(code // inner, (1 << shift) - 1)
+            coder.code[rest] = code - inner * value
+            now[rest] = _FIRST.take(c) + value
+        span[rest] = inner
+        coder.range = span
+        coder.settle()
+        if bits > 16:
+            beyond = rest[c == ESCAPE]
+            if len(beyond):
+                if encoding:
+                    coder.raw(beyond, now[beyond])
+                else:
+                    now[beyond] = coder.raw(beyond)
         if not encoding:
-            out[:, t] = now
-        two.learn_id(now)
-        one.learn_id(now)
+            out[t] = now
+        kinds.append(kind)
+        hits.append(hit.view(np.int8) + hit2.view(np.int8))
+        # A follower that held is marked so, another takes its place.
+        fresh = ((now << 2) | 1).astype(followers.dtype)
+        two[slot2] = np.where(hit2, follows2 | 2, fresh)
+        one[slot1] = np.where((now == id1) & ((follows1 & 3) > 0), follows1 | 2, fresh)
         earlier, before = before, now
     return out
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """The coded blocks of a run of ids."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids).astype(np.uint32)
     n = -(-len(ids) // BLOCK)
-    grid = np.zeros((n, BLOCK), np.int64)
-    grid.reshape(-1)[: len(ids)] = ids
+    longest = min(BLOCK, len(ids))
+    bits = int(ids.max(initial=0)).bit_length()
     lengths = np.full(n, BLOCK)
+    coded = []
     if n:
         lengths[-1] = len(ids) - (n - 1) * BLOCK
-    if n == 1:
-        grid = grid[:, : lengths[0]]
-    coder = _Encoder(n, grid.shape[1])
-    if n:
-        _code(lengths, coder, grid)
-    coded = coder.finish() if n else []
-    sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(n)]
-    head = struct.pack("<5sI", MAGIC, n) + b"".join(struct.pack("<III", k, len(d), s) for k, d, s in zip(lengths.tolist(), coded, sums))
+        grid = np.zeros(n * longest, np.uint32)  # the last block is filled up
+        grid[: len(ids)] = ids
+        coder = _Encoder(n, longest, bits > 16)
+        _code(n, longest, bits, coder, np.ascontiguousarray(grid.reshape(n, longest).T))
+        coded = coder.finish()
+    sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4", copy=False).tobytes()) for i in range(n)]
+    head = struct.pack("<5sII", MAGIC, n, bits) + b"".join(struct.pack("<III", k, len(d), s) for k, d, s in zip(lengths.tolist(), coded, sums))
     return head + b"".join(coded)
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """The ids of :func:`encode_ids`; each block's sum is checked."""
-    magic, n = struct.unpack_from("<5sI", data)
+    magic, n, bits = struct.unpack_from("<5sII", data)
     if magic != MAGIC:
         raise ValueError("not a token-id segment")
-    heads = [struct.unpack_from("<III", data, 9 + 12 * i) for i in range(n)]
-    at, coded = 9 + 12 * n, []
+    heads = [struct.unpack_from("<III", data, 13 + 12 * i) for i in range(n)]
+    at, coded = 13 + 12 * n, []
     for _, size, _ in heads:
         coded.append(data[at : at + size])
         at += size
     if not n:
         return np.zeros(0, np.uint32)
-    lengths = np.array([h[0] for h in heads])
-    grid = _code(lengths, _Decoder(coded), None)
-    out = grid[np.arange(grid.shape[1])[None, :] < lengths[:, None]].astype("<u4")
-    begin = 0
+    longest = BLOCK if n > 1 else heads[0][0]
+    grid = np.ascontiguousarray(_code(n, longest, bits, _Decoder(coded), None).T).astype("<u4", copy=False)
     for i, (k, _, total) in enumerate(heads):
-        if zlib.crc32(out[begin : begin + k].tobytes()) != total:
+        if zlib.crc32(grid[i, :k].tobytes()) != total:
             raise ValueError(f"block {i} is damaged")
-        begin += k
-    return out
+    return grid.reshape(-1)[: sum(h[0] for h in heads)]
+
+
+#: Fixed values of the byte-level format: the sign of each byte, itself where it can be seen, and else the next above 255.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+#: Words whose small letters and normal form are plain: ASCII signs, digits and the letters of Latin-1.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _pattern(file: dict) -> regex.Pattern | None:
+    """The pattern that cuts words into pieces, if the tokenizer lower-cases and maps bytes and does nothing more."""
+    kinds = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"] or file.get("post_processor"):
+        return None
+    return regex.compile(cuts[0]["pattern"]["Regex"])
 
 
 class Tokens:
     """Ids of texts by a tokenizer file: each distinct word is encoded once while the bounded table holds it.
 
-    White space separates words in the tokenizer's own rules, so a text's ids are its words' ids in turn.
+    White space separates words in the tokenizer's own rules, so a text's ids are its words' ids in turn. Words of
+    Latin letters, digits and ASCII signs are cut by the tokenizer file's own pattern and go to the library's merge
+    model piece by piece; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        with open(path) as f:
+            self.pieces = _pattern(json.load(f))
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.offset, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n = self.used = 0
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        for begin in range(0, len(fresh), 20_000):
-            part = fresh[begin : begin + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            total, end = int(size.sum()), self.n + len(part)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while end > len(self.offset):
-                self.offset, self.size = np.concatenate([self.offset, self.offset]), np.concatenate([self.size, self.size])
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            self.offset[self.n : end] = self.used + np.cumsum(size) - size
-            self.size[self.n : end] = size
-            self.at.update(zip(part, range(self.n, end)))
-            self.n, self.used = end, self.used + total
-
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        """The words of a text in small letters, with a closing comma or stop as a word of its own.
-
-        Neither changes the ids: the tokenizer puts letters and signs into different pieces and lower-cases
-        all; only where lower-casing could change how marks combine, or a special token could arise, the
-        text's words stay as they are.
-        """
-        if b"<|" in text:
-            return text.split()
-        low = text.lower()
-        if not text.isascii() and not (is_normalized("NFC", text.decode()) and is_normalized("NFC", low.decode())):
-            return text.split()
-        return _CLOSING.sub(rb" \1", low).split()
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+
+    def _cut(self, word: str) -> list[str]:
+        """The pieces of a plain word in small letters."""
+        if word.isalpha():
+            return [word]
+        if not word[-1].isalnum() and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pieces.findall(word)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Put words into the table, and the pieces that words share."""
+        found: dict[str, list[int]] = {}
+        for w in fresh if self.pieces else ():
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                ids: list[int] = []
+                for p in self._cut(w.lower()):
+                    if (part := found.get(p)) is None:
+                        part = found[p] = self._known(p) if p in self.at else self._merged(p)
+                    ids += part
+                found[w] = ids
+        other = [w for w in fresh if w not in found]
+        found |= zip(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
+        found = {w: ids for w, ids in found.items() if w not in self.at}
+        size = np.fromiter(map(len, found.values()), np.int64, len(found))
+        total, end = int(size.sum()), self.n + len(found)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while end > len(self.offset):
+            self.offset, self.size = np.concatenate([self.offset, self.offset]), np.concatenate([self.size, self.size])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found.values()), np.uint32, total)
+        self.offset[self.n : end] = self.used + np.cumsum(size) - size
+        self.size[self.n : end] = size
+        self.at.update(zip(found, range(self.n, end)))
+        self.n, self.used = end, self.used + total
+
+    def _known(self, word: str) -> list[int]:
+        row = self.at[word]
+        return self.ids[self.offset[row] : self.offset[row] + self.size[row]].tolist()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has)."""
         if self.n > self.most:
             self._clear()
-        split = [self._words(t) for t in texts]
-        at = self.at
-        fresh = {w for s in split for w in s if w not in at}
-        if fresh:
-            self._learn(sorted(fresh))
-        rows = np.fromiter(map(at.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        size = self.size[rows]
-        ends = np.cumsum(size)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offset[rows] - (ends - size), size)
-        bounds = np.cumsum([len(s) for s in split])
-        total = np.concatenate([[0], ends])[bounds] if len(ends) else np.zeros(len(texts), np.int64)
-        return self.ids[place], np.diff(total, prepend=0)
+        words, places, bounds = distinct_words(pc.ascii_split_whitespace(texts))
+        rows = np.fromiter((self.at.get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(rows < 0)
+        for begin in range(0, len(fresh), 20_000):
+            part = [words[i] for i in fresh[begin : begin + 20_000]]
+            self._learn(part)
+            rows[fresh[begin : begin + 20_000]] = [self.at[w] for w in part]
+        offset, size = self.offset[rows].take(places), self.size[rows].take(places)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(offset - ends[:-1], size)
+        at += np.arange(len(at))
+        return self.ids.take(at), np.diff(ends[bounds])
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -405,6 +407,8 @@ _TOKENS: dict[str, Tokens] = {}
 def tokens(path: str) -> Tokens:
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 100)  # the table holds no cycles
     return _TOKENS[path]
 
 
@@ -432,11 +436,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 1) -> Non
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts, keys = text_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for begin in range(0, len(texts), 256):
-                found, sizes = encoder.encode(texts[begin : begin + 256])
-                for key, x in zip(keys[begin : begin + 256], np.split(found, np.cumsum(sizes)[:-1])):
-                    doc_ids.append(key)
+            keys = iter(batch.column(0).to_pylist())
+            for texts in slices(batch.column(1)):
+                found, sizes = encoder.encode(texts)
+                for x in np.split(found, np.cumsum(sizes)[:-1]):
+                    doc_ids.append(next(keys))
                     lengths.append(len(x) + 1)
                     ids += [x, np.array([end_id], np.uint32)]
                     held += len(x) + 1
