@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 
+#: Signs such as superscripts and fractions: numbers to the pattern's classes, but not decimal digits, and no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
 #: Words are runs of letters; a longer run goes on as a further word.
-WORD = re.compile(r"[^\W\d_]{1,24}")
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]{{1,24}}")
 
 
 def words(text: str) -> list[str]:

@@ -7,11 +7,13 @@ one before it is replaced by its next shorter prefix piece, and a bitfield remem
 which no way leads on. Compatibility is decided by re-merging and remembered.
 
 Words are independent (no piece holds the space mark after another character), so each task encodes each
-distinct word once while its bounded cache holds it. Runs of spaces are merged on their own: their pieces
-all have the same, lowest score, which makes them the last merges.
+distinct word once while its bounded cache holds it: column functions split a batch's texts into words and
+tell which are different, and join what is known of each. Runs of spaces go on their own: their pieces all
+have the same, lowest score, which makes them the last merges.
 
 Defined cases: null text is empty and gives no ids; decoding no ids gives the empty text; unknown
-characters become their UTF-8 bytes' ids; further columns are ignored; repeated rows stay repeated.
+characters become their UTF-8 bytes' ids; further columns are ignored; repeated rows stay repeated; very
+long texts and runs of spaces take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import text_strings
+from tessera.llm.common import distinct_words, slices
 
 SPACE = "▁"
 #: Fixed values of the model file format: field numbers of a piece and its types.
@@ -118,8 +121,11 @@ class PieceBpe:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         alive = set(reached)
+        #: Pieces of spaces only, by length: the first of a run of so many spaces.
+        self.spaces = [SPACE * max((k for k in range(1, n + 1) if SPACE * k in self.score), default=1) for n in range(1, 1 + max(len(p) for p in self.score if set(p) == {SPACE}))]
+        alive |= set(self.spaces)
         #: The next shorter piece that begins a piece.
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in alive), None) for p in reached}
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in alive), None) for p in alive}
         self.fits: dict[tuple[str, str], bool] = {}
         self.joined = {p[i : i + 2] for p in reached for i in range(len(p) - 1)}
         self.parts: Recent = Recent(CACHE // 4)
@@ -154,6 +160,15 @@ class PieceBpe:
             start = end - len(p) + 1
             if longest[start] is None or len(longest[start]) < len(p):
                 longest[start] = p
+        return self._search(text, longest)
+
+    def run(self, marks: int) -> list[str]:
+        """The pieces of a run of spaces."""
+        most = len(self.spaces)
+        return self._search(SPACE * marks, [self.spaces[min(most, marks - at) - 1] for at in range(marks)])
+
+    def _search(self, text: str, longest: list[str | None]) -> list[str]:
+        """The compatible pieces of a text, from the longest that begins at each place."""
         failed = bytearray(len(text) + 1)
         out: list[str] = []
         at, piece = 0, longest[0]
@@ -184,7 +199,7 @@ class PieceBpe:
             if marks and pieces[0] == SPACE:
                 del pieces[0]
                 marks += 1
-        ids = [self.id[p] for p in self.merge(SPACE * marks)] if marks else []
+        ids = [self.id[p] for p in self.run(marks)] if marks else []
         known = self.id
         for p in pieces:
             if p in known:
@@ -240,12 +255,40 @@ class PieceBpe:
         """Decoded bytes without the dummy prefix's space."""
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Count and hash of the ids, and hash of the text that they decode to."""
-        got = [self.known(c) for c in self.chunks(text)]
-        ids = hashlib.sha256(b",".join([x[1] for x in got])).hexdigest()
-        text = self._text(b"".join([x[2] for x in got]))
-        return sum([x[0] for x in got]), ids, hashlib.sha256(text.encode()).hexdigest()
+    def found(self, texts: pa.Array) -> tuple[list[tuple[int, bytes, bytes, bytes]], np.ndarray, np.ndarray]:
+        """What is known of the different chunks of texts, the place among them of each chunk, and the first chunk of each text.
+
+        Words are what spaces divide; only where spaces stand together or at an end, or a text holds the
+        space mark itself, chunks are cut by the pattern.
+        """
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ | $|  |{SPACE}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        if not odd.any():
+            words, places, bounds = distinct_words(lists)
+            return [self.known(SPACE + w) for w in words], places, bounds
+        words, places, bounds = distinct_words(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " "))
+        known = [self.known(SPACE + w) for w in words]
+        parts, sizes = np.split(places, bounds[1:-1]), np.diff(bounds)
+        for i in np.flatnonzero(odd):
+            chunks = self.chunks(texts[i].as_py())
+            parts[i], sizes[i] = np.arange(len(known), len(known) + len(chunks)), len(chunks)
+            known += map(self.known, chunks)
+        return known, np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """Counts and hashes of the ids, and hashes of the texts that they decode to."""
+        known, places, bounds = self.found(texts)
+        at, offsets = pa.array(places), pa.array(bounds.astype(np.int32))
+
+        def joined(k: int, by: bytes) -> list[bytes]:
+            if texts.nbytes > 1 << 27:  # one very long text: its result may outgrow a column of this kind
+                return [by.join([known[i][k] for i in places[a:b].tolist()]) for a, b in zip(bounds, bounds[1:])]
+            return pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([x[k] for x in known], pa.binary()).take(at)), by).to_pylist()
+
+        ends = np.concatenate([[0], np.cumsum(np.array([x[0] for x in known], np.int64)[places])])
+        ids = [hashlib.sha256(x).hexdigest() for x in joined(1, b",")]
+        decoded = [hashlib.sha256(self._text(x).encode()).hexdigest() for x in joined(2, b"")]
+        return np.diff(ends[bounds]), ids, decoded
 
 
 _MODELS: dict[str, PieceBpe] = {}
@@ -266,10 +309,14 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
         for batch in batches:
-            packed = [bpe.packed(t) for t in text_strings(batch.column(1))]
-            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            begin = 0
+            for texts in slices(batch.column(1)):
+                known, places, bounds = bpe.found(texts)
+                ends = np.concatenate([[0], np.cumsum(np.array([x[0] for x in known], np.int64)[places])])
+                packed = b"".join([known[i][3] for i in places.tolist()])
+                ids = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(np.frombuffer(packed, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), ids], ["doc_id", "ids"])
+                begin += len(texts)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -292,11 +339,14 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
         for batch in batches:
-            n, ids, texts = zip(*map(bpe.digest, text_strings(batch.column(1))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            begin = 0
+            for texts in slices(batch.column(1)):
+                n, ids, decoded = bpe.digests(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+                begin += len(texts)
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -77,7 +77,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     out["email"] = _emails(text)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out["ip"].append(m.span())
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:

@@ -18,6 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"),
         F.array_join(F.concat(F.filter(F.array("base"), lambda b: b != ""), terms), ",").alias("spans"),
+        (sum((F.col(f"n_{k}") for k in pii.KINDS), F.size("terms"))).cast("long").alias("n_spans"),
     )
 
 

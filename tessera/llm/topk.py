@@ -35,7 +35,8 @@ from tessera.llm.common import cut
 
 #: Vectors of a cell, queries of a block, and vectors of the head that gives the first bounds.
 CELL, BLOCK, HEAD = 8192, 2048, 1024
-BUCKETS_MOST = 1024
+#: Buckets of lengths: at least and at most, whatever the table's size.
+BUCKETS_LEAST, BUCKETS_MOST = 16, 1024
 #: Local cosine thresholds from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.75
 
@@ -179,6 +180,12 @@ def search_cell(q_ids, q, q_len, bound, ids, c, c_len, k: int, unit: float = 1.0
                 yield int(q_ids[i]), int(ids[keep][j]), int(s[j])
 
 
+def bucket_marks(data: DataFrame, n: int, cell: int) -> list[float]:
+    """The lengths at which buckets begin, longest first: about equally many of the ``n`` vectors in each."""
+    wanted = min(BUCKETS_MOST, max(BUCKETS_LEAST, n // (8 * cell)))
+    return sorted(set(data.approxQuantile("length", [i / wanted for i in range(1, wanted)], 0.5 / wanted)), reverse=True)
+
+
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other vectors of each vector whose id is divisible by ``every``."""
     spark, unit = vectors.sparkSession, unit_of(scale)
@@ -191,8 +198,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
         return asks.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
 
     # Buckets by length, longest first; their bounds are a few numbers, found approximately: any bounds are right.
-    wanted = min(BUCKETS_MOST, max(1, n // (8 * cell)))
-    marks = sorted({x for x in data.approxQuantile("length", [i / wanted for i in range(1, wanted)], 0.5 / wanted)} if wanted > 1 else set(), reverse=True)
+    marks = bucket_marks(data, n, cell)
     bucket = F.lit(len(marks))
     for i in reversed(range(len(marks))):
         bucket = F.when(F.col("length") >= marks[i], i).otherwise(bucket)

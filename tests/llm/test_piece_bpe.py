@@ -1,11 +1,12 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import piece_bpe, queries
+from tessera.llm import common, piece_bpe, queries
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -19,6 +20,24 @@ def test_same_ids_and_text_as_the_library(text):
     assert bpe.encode(text) == ids and bpe.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_runs_of_spaces():
+    bpe = piece_bpe.model(PATH)
+    for n in [*range(1, 200), 1000, 4001, 200_000]:
+        for text in (" " * n, "a" + " " * n + "the", " " * n + "日") if n < 5000 else (" " * n,):
+            assert bpe.encode(text) == LIBRARY.encode(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="  \nab▁é.", max_size=30)), max_size=8))
+def test_columns_of_texts(texts):
+    bpe = piece_bpe.model(PATH)
+    column = pa.array(texts, pa.string())
+    ids = [LIBRARY.encode(t or "") for t in texts]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = [tuple(zip(n.tolist(), i, d)) for n, i, d in map(bpe.digests, common.slices(column, 40))]
+    assert sum(got, ()) == tuple((len(x), sha(",".join(map(str, x))), sha(LIBRARY.decode(x))) for x in ids)
+
+
 def test_query(spark, odd_docs, odd_rows, tmp_path):
     odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op4_piece_bpe(spark, str(tmp_path)).collect())

@@ -12,6 +12,15 @@ def test_against_sql(spark, medium):
     assert_same(queries.op5_topk(spark, medium), connect(medium), topk.ORACLE_SQL)
 
 
+def test_buckets_of_lengths_at_every_size(spark, medium):
+    for path in (medium, medium.replace("0.01", "0.001")):
+        data = topk.scaled(spark.read.parquet(f"{path}/embeddings.parquet"), 256)
+        marks = topk.bucket_marks(data, data.count(), topk.CELL)
+        assert len(marks) > 4
+        held = [data.filter(f"length >= {m}").count() for m in marks]
+        assert held == sorted(held) and len(set(held)) == len(held)
+
+
 def plain(rows, k=5, every=50):
     data = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
