@@ -20,7 +20,8 @@ with 1e-13.
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of
 fewer words than a shingle is one shingle; a null doc_id stands alone (component null, kept); repeated
 rows stay, in one group; rows that share a doc_id but not a text are grouped by their own texts; empty
-tables give empty results.
+tables give empty results; a very long text is one set of as many hashes as it has shingles. Texts of one doc_id
+are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key and band keys of each document."""
+    """doc_id, n_shingles, set_key, band keys and text hash of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,26 +113,28 @@ def scan(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 keys.append(set_key(s))
                 buckets.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), batch.column(2)],
+                ["doc_id", "n_shingles", "set_key", "bands", "text_hash"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, text_hash long")
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Each (a, b) of ``pairs``, and each a with itself: whether their full sets are near, and b's difference from a.
 
     Each set goes through one shuffle to the pivots ``a`` that it is compared with; a pivot with many
-    members is sent to one task for each ``SALT`` of them.
+    members is sent to one task for each ``SALT`` of them. Of repeated rows one text is read: copies
+    are dropped in their tasks, before the shuffle that joins texts with roles.
     """
     pairs = cut(pairs, "near-pairs")
     salts = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")), "near-salts")
     member = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), F.lit(1).alias("member"))
     pivot = salts.select(F.col("a").alias("node"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    roles = cut(member.unionByName(pivot), "near-roles").join(nodes.select("node", F.col("doc_id").alias("id"), "set_key"), "node")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(roles, "id").select("text", "node", "pivot", "salt", "member", "set_key")
+    roles = cut(member.unionByName(pivot), "near-roles").join(nodes.select("node", F.col("doc_id").alias("id"), "text_hash", "set_key"), "node")
+    once = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text").filter("id is not null").dropDuplicates(["id", "text_hash"])
+    texts = once.join(roles, ["id", "text_hash"]).select("text", "node", "pivot", "salt", "member", "set_key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes, key = None, None, None
@@ -284,10 +287,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
+    return _grouped(docs, shingle, percent, bands, rows).drop("text_hash", "component")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     scanned = cut(scan(docs, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()), "near-scan")
     least = (
         scanned.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "row")).alias("first")).select("set_key", "first.doc_id", F.col("first.row").alias("node"))
+        .agg(F.min(F.struct("doc_id", "row", "text_hash")).alias("first")).select("set_key", "first.doc_id", "first.text_hash", F.col("first.row").alias("node"))
     )
     nodes = cut(least, "near-nodes")
     buckets = cut(
@@ -316,12 +323,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 def _labelled(scanned: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = cut(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-ids")
-    of_set = cut(placed.join(ids, "component").select("set_key", "component_id"), "near-sets")
+    of_set = cut(placed.join(ids, "component").select("set_key", "component_id", "component"), "near-sets")
     return (
-        scanned.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
+        scanned.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
         .join(of_set, "set_key", "left")
         .select(
-            "doc_id", "n_shingles",
+            "doc_id", "text_hash", "n_shingles", "component",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -329,10 +336,26 @@ def _labelled(scanned: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFra
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; repeated rows become one."""
-    groups = near_duplicates(docs, shingle=shingle, percent=percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    dropped = cut(groups.filter("not kept").select("doc_id"), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """``docs`` with one document of each near-duplicate group; repeated rows become one.
+
+    Only rows whose doc_id and text repeat are gathered (the one with the least hash of all its columns stays);
+    all others are kept or dropped where they are read, by joins with keys of a few bytes.
+    """
+    groups = cut(_grouped(docs, shingle, percent), "near-groups")
+    least = groups.filter("kept and component is not null and doc_id is not null")  # more than one where near texts share a doc_id
+    first = least.groupBy("component").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).filter("first <> last")
+    later = least.join(first, "component").filter("text_hash <> first")
+    dropped = cut(groups.filter("not kept").select("doc_id", "text_hash").union(later.select("doc_id", "text_hash")).distinct(), "near-dropped")
+    counted = groups.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_hash")
+    repeated = cut(counted, "near-repeated")
+
+    text_hash = F.xxhash64(docs["text"])
+    match = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"]) & (text_hash == keys["text_hash"])
+    alone = docs.join(dropped.union(repeated), match(dropped), "left_anti")
+    copies = docs.join(repeated.join(dropped, [repeated["doc_id"].eqNullSafe(dropped["doc_id"]), repeated["text_hash"] == dropped["text_hash"]], "left_anti"), match(repeated), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = copies.groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(row, F.xxhash64(row)).alias("kept_row")).select("kept_row.*")
+    return alone.unionByName(one).select(*(f"`{c}`" for c in docs.columns))
 
 
 #: The same rows by comparing all sets, for two-word shingles.

@@ -54,6 +54,23 @@ def test_variants_of_one_text_against_all_pairs(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == plain(rows, 2)
 
 
+def test_many_repeated_rows(spark):
+    r = random.Random(11)
+    base = [f"w{r.randrange(5000)}" for _ in range(60)]
+    rows = [(7, " ".join(base))] * 500
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randrange(1, 12)):
+            w[r.randrange(len(w))] = f"x{r.randrange(2000)}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(7, " ".join(base[:30] + ["other"] * 30))] * 20 + [(8, " ".join(base) + " end"), (9, "plain"), (9, "plain"), (9, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, shingle=2).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == plain(rows, 2)
+    kept = sorted((x["doc_id"], x["text"]) for x in minhash.deduplicate(docs, shingle=2).collect() if x["doc_id"] < 100)
+    assert kept == sorted(set(rows[:1]) | set(rows[540:541]) | {(9, "plain"), (9, "other")})
+
+
 def test_small_blocks_lose_nothing():
     r = random.Random(7)
     pivot = np.unique(np.array([r.getrandbits(63) for _ in range(80)], np.uint64))
