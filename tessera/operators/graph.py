@@ -8,28 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import resolved_path, slug
-from tessera.operators.ranks import beside, placed
+from tessera.operators.ranks import beside, placed, saved
 
 
-def expand_levels(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(id, root, depth, path): each node's chain from its root, level by level.
+def expand_levels(nodes: DataFrame) -> DataFrame:
+    """(id, root, depth, path): each node's chain from its root, level by level, however deep.
 
-    A level is one join of the frontier with its children, so the work follows the depth of the tree. A node
-    that is met again on its own path is a cycle and is not followed.
+    A level is one join of the frontier with its children, so the work follows the depth of the tree; each
+    level is checkpointed, so plans do not grow with it. A node without a parent, or whose parent is not
+    among the nodes, is a root. A node that is met again on its own path is a cycle and is not followed.
     """
-    level = nodes.filter("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out = [level]
-    children = nodes.filter("parent_id is not null").select(F.col("id").alias("child"), "parent_id")
-    for _ in range(most):
-        level = (
+    ids = nodes.select(F.col("id").alias("known"))
+    children = saved(nodes.filter("parent_id is not null").select(F.col("id").alias("child"), "parent_id"))
+    orphans = children.join(ids, F.col("parent_id") == F.col("known"), "left_anti").select(F.col("child").alias("id"))
+    roots = nodes.filter("parent_id is null").select("id").unionByName(orphans)
+    level = saved(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path")))
+    out = []
+    while not level.isEmpty():
+        out.append(level)
+        level = saved(
             level.join(children, level["id"] == children["parent_id"]).filter(~F.array_contains("path", F.col("child")))
             .select(F.col("child").alias("id"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
         )
-        level = level.persist()
-        if level.isEmpty():
-            break
-        out.append(level)
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out, level)
 
 
 def pre_order(tree: DataFrame, titles: DataFrame) -> DataFrame:
@@ -76,23 +77,38 @@ def unique_slugs(names: DataFrame, key: str = "id", name: str = "name") -> DataF
 
 
 def related_pages(pages: DataFrame, links: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
-    """(page_id, related, score, rank): 100 for a link to a page, 75 for one from it, 20 for each shared label, 10 for the same parent.
+    """(page_id, related, score, rank): 100 for a link to a page, 75 for one from it, 20 for any shared label, 10 for
+    the same parent (two pages without one also have the same), 5 for the same root; ties by title, then id.
 
-    Scores are sums over edges, so pages without any edge never meet. A label's or a parent's pages meet
-    through their own key only.
+    Pages of a label, a parent or a root never all meet. Whoever owes its score to what a group shares is behind
+    every member of the group with a lesser title; so the first ``top`` others of each group (label, parent, root,
+    label and parent, label and root) and the linked pages are all that can be among the best, and only these
+    are scored.
     """
-    out = links.filter("target_page_id is not null and source_page_id <> target_page_id").select(F.col("source_page_id").alias("a"), F.col("target_page_id").alias("b")).distinct()
-    l1, l2 = labels.select(F.col("page_id").alias("a"), "label").distinct(), labels.select(F.col("page_id").alias("b"), "label").distinct()
-    p1, p2 = pages.select(F.col("page_id").alias("a"), "parent_id"), pages.select(F.col("page_id").alias("b"), "parent_id")
-    parts = (
-        out.withColumn("s", F.lit(100)), out.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(75).alias("s")),
-        l1.join(l2, "label").filter("a <> b").select("a", "b", F.lit(20).alias("s")),
-        p1.join(p2, "parent_id").filter("a <> b").select("a", "b", F.lit(10).alias("s")),
+    root = F.coalesce(F.try_element_at("ancestors", F.lit(-1)), F.col("page_id"))
+    placed_pages = pages.select(F.col("page_id").alias("id"), "title", "parent_id", root.alias("root"))
+    tagged = labels.select(F.col("page_id").alias("id"), "label").distinct()
+    at = placed_pages.join(tagged, "id", "left")
+    keys = (("label",), ("parent_id",), ("root",), ("label", "parent_id"), ("label", "root"))
+    members = at.select(
+        "id", "title",
+        F.explode(F.array(*(F.when(F.col("label").isNotNull() if "label" in k else F.lit(True), F.concat_ws("\u0001", F.lit(str(n)), *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in k))) for n, k in enumerate(keys)))).alias("key"),
+    ).filter("key is not null").distinct()
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("title", "id"))).filter(F.col("n") <= top + 1)
+    near = members.select(F.col("id").alias("a"), "key").join(first.select(F.col("id").alias("b"), "key"), "key").select("a", "b")
+    out = links.filter("target_page_id is not null").select(F.col("source_page_id").alias("a"), F.col("target_page_id").alias("b")).distinct()
+    back = out.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    linked = out.withColumn("s", F.lit(100)).unionByName(back.withColumn("s", F.lit(75))).unionByName(near.withColumn("s", F.lit(0)))
+    pairs = linked.filter("a <> b").distinct().groupBy("a", "b").agg(F.sum("s").alias("s"))
+    known = placed_pages.join(tagged.groupBy("id").agg(F.collect_set("label").alias("labels")), "id", "left")
+    side = lambda x: known.select(*(F.col(c).alias(c if c == x else f"{x}_{c}") if c != "id" else F.col("id").alias(x) for c in known.columns))
+    score = (
+        F.col("s") + F.when(F.arrays_overlap("a_labels", "b_labels"), 20).otherwise(0)
+        + F.when(F.col("a_parent_id").eqNullSafe(F.col("b_parent_id")), 10).otherwise(0) + F.when(F.col("a_root") == F.col("b_root"), 5).otherwise(0)
     )
-    scored = reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("s").alias("score"))
-    known = pages.select(F.col("page_id").alias("b"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return scored.join(known, "b", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= top).select(F.col("a").alias("page_id"), F.col("b").alias("related"), "score", "rank")
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("score", score).filter("score > 0")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b_title", "b"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(F.col("a").alias("page_id"), F.col("b").alias("related"), "score", "rank")
 
 
 def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 _ROW = (1 << 33) - 1
 
 
-def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` in order, with ``_part`` and ``_row`` (from 0) of each row."""
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: later steps neither compute it again nor plan it again."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    tagged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
+def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in order, with ``_part`` and ``_row`` (from 0) of each row."""
+    tagged = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     return tagged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit(_ROW))).drop("_at")
 
 

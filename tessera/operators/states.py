@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.texts import slug
+from tessera.operators.ranks import saved
+
 #: The states a job may go to from each state.
 TRANSITIONS = {
     "queued": ("running", "cancelled"), "running": ("waiting", "succeeded", "failed", "cancelled", "queued"),
@@ -43,48 +48,74 @@ def job_timings(jobs: DataFrame) -> DataFrame:
     )
 
 
-def critical_path(jobs: DataFrame, needs: DataFrame, most: int = 64) -> DataFrame:
-    """(run_id, at, job): from each run's last job to end, back along the latest-ending job it needs."""
+def critical_path(jobs: DataFrame, needs: DataFrame) -> DataFrame:
+    """(run_id, at, job): from each run's last job to end, back along the latest-ending job it needs, to the first."""
     last = jobs.groupBy("run_id").agg(F.max_by("job", F.struct("ended", "job")).alias("job")).withColumn("at", F.lit(0)).withColumn("path", F.array("job"))
     ends = jobs.select("run_id", F.col("job").alias("needs"), "ended")
-    latest = needs.join(ends, ["run_id", "needs"]).groupBy("run_id", "job").agg(F.max_by("needs", F.struct("ended", "needs")).alias("parent")).persist()
-    out, level = last, last
-    for _ in range(most):
-        level = (
+    latest = saved(needs.join(ends, ["run_id", "needs"]).groupBy("run_id", "job").agg(F.max_by("needs", F.struct("ended", "needs")).alias("parent")))
+    level = saved(last)
+    out = []
+    while not level.isEmpty():
+        out.append(level.select("run_id", "at", "job"))
+        level = saved(
             level.join(latest, ["run_id", "job"]).filter(~F.array_contains("path", F.col("parent")))
-            .select("run_id", F.col("parent").alias("job"), (F.col("at") + 1).alias("at"), F.concat("path", F.array("parent")).alias("path")).persist()
+            .select("run_id", F.col("parent").alias("job"), (F.col("at") + 1).alias("at"), F.concat("path", F.array("parent")).alias("path"))
         )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("run_id", "at", "job")
+    return reduce(DataFrame.unionByName, out, level.select("run_id", "at", "job"))
 
 
-def stable_routes(previous: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source_id, route, change): kept routes stay; a new one that is taken gets the next free number.
+def stable_routes(previous: DataFrame, wanted: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(source_id, route, change) of previous routes (source_id, route and maybe state), wanted pages (source_id, base)
+    and an operator's overrides (source_id, route).
 
-    Routes compare without regard to case; numbers are ranked inside a base route.
+    An override comes first; a page keeps its previous route (``kept``, or ``reactivated`` if it was a tombstone,
+    or ``changed`` where an override differs); routes of pages that are no longer wanted become tombstones and
+    stay taken. New pages choose in the order of base route and id: the base, the base with the page's own
+    suffix, then that with -2, -3, ...; routes compare without regard to case. All choose side by side: a route
+    that several ask for goes to the first in that order, and the others ask for their next one, which gives
+    each page what it would get in turn.
     """
-    kept = wanted.join(previous, "source_id").select("source_id", "route", F.lit("kept").alias("change"))
-    new = wanted.join(previous.select("source_id"), "source_id", "left_anti")
-    taken = previous.groupBy(F.lower("route").alias("key")).agg(F.count(F.lit(1)).alias("taken"))
-    n = F.row_number().over(Window.partitionBy(F.lower("base")).orderBy("source_id")) + F.coalesce("taken", F.lit(0))
-    placed = new.join(taken, F.lower("base") == F.col("key"), "left").select("source_id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("route"), F.lit("assigned").alias("change"))
-    gone = previous.join(wanted.select("source_id"), "source_id", "left_anti").select("source_id", "route", F.lit("tombstoned").alias("change"))
-    return kept.unionByName(placed).unionByName(gone)
+    if "state" not in previous.columns:
+        previous = previous.withColumn("state", F.lit("active"))
+    if overrides is None:
+        overrides = wanted.select("source_id", F.col("base").alias("route")).limit(0)
+    custom = overrides.select("source_id", F.col("route").alias("custom")).join(wanted.select("source_id"), "source_id", "left_semi")
+    held = wanted.join(previous, "source_id").join(custom, "source_id", "left")
+    change = F.when(F.col("custom").isNotNull() & (F.col("custom") != F.col("route")), "changed").when(F.col("state") == "tombstone", "reactivated").otherwise("kept")
+    kept = held.select("source_id", F.coalesce("custom", "route").alias("route"), change.alias("change"))
+    given = wanted.select("source_id").join(custom, "source_id").join(previous.select("source_id"), "source_id", "left_anti").select("source_id", F.col("custom").alias("route"), F.lit("assigned").alias("change"))
+    taken = saved(previous.select(F.lower("route").alias("key")).union(custom.select(F.lower("custom"))).distinct())
+
+    new = wanted.join(previous.select("source_id"), "source_id", "left_anti").join(custom, "source_id", "left_anti")
+    suffixed = F.concat("base", F.lit("-"), slug(F.col("source_id").cast("string")))
+    route = F.when(F.col("n") == 0, F.col("base")).when(F.col("n") == 1, suffixed).otherwise(F.concat(suffixed, F.lit("-"), F.col("n").cast("string")))
+    asking = new.select("source_id", "base", F.lit(0).alias("n"))
+    while True:
+        asked = asking.withColumn("route", route).withColumn("key", F.lower("route"))
+        first = asked.groupBy("key").agg(F.min(F.struct("base", "source_id")).alias("first"))
+        open_to = asked.join(first, "key").join(taken.withColumn("taken", F.lit(True)), "key", "left")
+        won = F.col("taken").isNull() & (F.col("first") == F.struct("base", "source_id"))
+        asking = saved(open_to.select("source_id", "base", "route", won.alias("won"), F.when(won, F.col("n")).otherwise(F.col("n") + 1).alias("n")))
+        if asking.filter("not won").isEmpty():
+            break
+        asking = asking.select("source_id", "base", "n")
+    placed = asking.select("source_id", "route", F.lit("assigned").alias("change"))
+    gone = previous.join(wanted.select("source_id"), "source_id", "left_anti").filter("state <> 'tombstone'").select("source_id", "route", F.lit("tombstoned").alias("change"))
+    return kept.unionByName(given).unionByName(placed).unionByName(gone)
 
 
-def expand_includes(pages: DataFrame, most: int = 8) -> DataFrame:
+def expand_includes(pages: DataFrame) -> DataFrame:
     """(page_id, include, depth): every page that a page includes, directly or through others, each once at its least depth."""
-    direct = pages.select("page_id", F.explode("includes").alias("include"))
-    level, out = direct.withColumn("depth", F.lit(1)), direct.withColumn("depth", F.lit(1))
-    for depth in range(2, most + 1):
+    direct = saved(pages.select("page_id", F.explode("includes").alias("include")).distinct())
+    level = direct.filter("include <> page_id").withColumn("depth", F.lit(1))
+    out = level
+    depth = 1
+    while not level.isEmpty():
+        depth += 1
         level = level.select("page_id", F.col("include").alias("via")).join(direct.select(F.col("page_id").alias("via"), "include"), "via").select("page_id", "include", F.lit(depth).alias("depth")).distinct()
-        level = level.join(out, ["page_id", "include"], "left_anti").filter("include <> page_id").persist()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("page_id", "include").agg(F.min("depth").alias("depth"))
+        level = saved(level.join(out, ["page_id", "include"], "left_anti").filter("include <> page_id"))
+        out = saved(out.unionByName(level))
+    return out
 
 
 def least_loaded(units: DataFrame, bins: int) -> DataFrame:

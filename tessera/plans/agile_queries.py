@@ -129,9 +129,9 @@ def prj02_worklogs_with_issues(s, d):
     return v.worklogs(s, d).join(v.issues(s, d), "issue_id").select("issue_key", "author_id", F.coalesce("author_name", F.lit("Unknown")).alias("author"), "seconds")
 
 
-@query("SELECT issue_id, started FROM v_worklogs ORDER BY started DESC, issue_id LIMIT 500")
+@query("SELECT issue_id, started FROM v_worklogs ORDER BY started DESC, issue_id")
 def srt05_latest_worklogs(s, d):
-    return v.worklogs(s, d).select("issue_id", "started").orderBy(F.desc("started"), "issue_id").limit(500)
+    return v.worklogs(s, d).select("issue_id", "started").orderBy(F.desc("started"), "issue_id")
 
 
 _D = "SELECT DISTINCT l_orderkey % 400 AS k FROM lineitem"

@@ -163,9 +163,9 @@ def win04_fair_queue(s, d):
     return jobs.fair_order(v.jobs(s, d).filter("state = 'queued'")).select("job_id", "turn", "place")
 
 
-@query(f"SELECT job_id, place FROM ({_FAIR}) WHERE job_id % 16 = 0")
+@query(f"SELECT job_id, place FROM ({_FAIR})")
 def win05_queue_position(s, d):
-    return jobs.fair_order(v.jobs(s, d).filter("state = 'queued'")).filter("job_id % 16 = 0").select("job_id", "place")
+    return jobs.fair_order(v.jobs(s, d).filter("state = 'queued'")).select("job_id", "place")
 
 
 @query("""WITH t AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, job_id DESC) AS n, delivered_at IS NOT NULL OR dismissed_at IS NOT NULL AS seen FROM v_jobs WHERE state IN ('succeeded', 'failed', 'cancelled')),
@@ -205,9 +205,9 @@ def srt09_capped_probe(s, d):
     return flag.withColumn("n", F.lit(rows.count()).cast("long"))
 
 
-@query("""SELECT job_id, CASE state WHEN 'running' THEN 0 WHEN 'queued' THEN 1 WHEN 'waiting' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END AS rank FROM v_jobs ORDER BY 2, created_at DESC, job_id LIMIT 300""")
+@query("""SELECT job_id, CASE state WHEN 'running' THEN 0 WHEN 'queued' THEN 1 WHEN 'waiting' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END AS rank FROM v_jobs ORDER BY 2, created_at DESC, job_id""")
 def srt10_activity_order(s, d):
-    return v.jobs(s, d).withColumn("rank", jobs.activity_rank(F.col("state"))).orderBy("rank", F.desc("created_at"), "job_id").limit(300).select("job_id", "rank")
+    return v.jobs(s, d).withColumn("rank", jobs.activity_rank(F.col("state"))).orderBy("rank", F.desc("created_at"), "job_id").select("job_id", "rank")
 
 
 @query("SELECT job_id, state FROM v_jobs WHERE dismissed_at IS NULL AND state IN ('failed', 'running') AND created_at > TIMESTAMP '1998-01-01'")

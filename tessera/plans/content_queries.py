@@ -15,14 +15,12 @@ def _docs(s, d):
     return v.table(s, d, "documents")
 
 
-_HEAD = "substr(text, 1, 120)"
 _SLUG = "regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query(f"SELECT doc_id, substr({_SLUG.format(x=_HEAD)}, 1, 100) AS slug, substr({_SLUG.format(x=_HEAD)}, 1, 80) AS short FROM documents")
+@query(f"SELECT doc_id, substr({_SLUG.format(x='text')}, 1, 100) AS slug, substr({_SLUG.format(x='text')}, 1, 80) AS short FROM documents")
 def str01_slugs(s, d):
-    head = F.substring("text", 1, 120)
-    return _docs(s, d).select("doc_id", texts.slug(head).alias("slug"), texts.slug(head, 80).alias("short"))
+    return _docs(s, d).select("doc_id", texts.slug(F.col("text")).alias("slug"), texts.slug(F.col("text"), 80).alias("short"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 90 THEN concat(substr(text, 1, 87), '...') ELSE text END AS cut FROM documents")
@@ -59,9 +57,9 @@ def str11_resolved_paths(s, d):
     return _docs(s, d).select(F.expr("doc_id div 2").alias("k"), base.alias("base"), texts.resolved_path(base, F.lit("./.././img/x.md#top")).alias("path")).distinct()
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches({_HEAD}, '[\",\\n\\r]') THEN concat('\"', replace({_HEAD}, '\"', '\"\"'), '\"') ELSE {_HEAD} END AS csv FROM documents")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\n\\r]') THEN concat('\"', replace(text, '\"', '\"\"'), '\"') ELSE text END AS csv FROM documents")
 def str14_csv_values(s, d):
-    return _docs(s, d).select("doc_id", texts.csv_value(F.substring("text", 1, 120)).alias("csv"))
+    return _docs(s, d).select("doc_id", texts.csv_value(F.col("text")).alias("csv"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
@@ -128,9 +126,9 @@ def prd14_same_site(s, d):
     return v.links(s, d).select("source_page_id", "target_path", texts.same_site(F.col("target_path"), F.lit("HTTPS://host1.example.com/wiki")).alias("verdict"))
 
 
-@query("SELECT doc_id, concat('\"', replace(replace(regexp_replace(substr(text, 1, 60), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\', '\\\\'), '\"', '\\\"'), '\"') AS literal FROM documents")
+@query("SELECT doc_id, concat('\"', replace(replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\', '\\\\'), '\"', '\\\"'), '\"') AS literal FROM documents")
 def qry06_query_literals(s, d):
-    return _docs(s, d).select("doc_id", texts.query_literal(F.substring("text", 1, 60)).alias("literal"))
+    return _docs(s, d).select("doc_id", texts.query_literal(F.col("text")).alias("literal"))
 
 
 @query("SELECT doc_id, lower(split_part(trim(text), ' ', 1)) AS prefix FROM documents WHERE starts_with(lower(text), 'the')")
@@ -243,11 +241,13 @@ def hie08_empty_folders(s, d):
     return graph.empty_folders(v.pages(s, d)).select("page_id")
 
 
-@query("""WITH o AS (SELECT DISTINCT source_page_id AS a, target_page_id AS b FROM v_links WHERE target_page_id IS NOT NULL AND source_page_id <> target_page_id), l AS (SELECT DISTINCT page_id, label FROM v_labels WHERE label = 'Draft'),
-  e AS (SELECT a, b, 100 AS s FROM o UNION ALL SELECT b, a, 75 FROM o UNION ALL SELECT x.page_id, y.page_id, 20 FROM l x JOIN l y ON x.label = y.label AND x.page_id <> y.page_id UNION ALL SELECT x.page_id, y.page_id, 10 FROM v_pages x JOIN v_pages y ON x.parent_id = y.parent_id AND x.page_id <> y.page_id),
-  g AS (SELECT a, b, CAST(sum(s) AS BIGINT) AS score FROM e WHERE b IN (SELECT page_id FROM v_pages) GROUP BY 1, 2) SELECT a AS page_id, b AS related, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM g) WHERE rank <= 5""")
+@query("""WITH p AS (SELECT page_id, title, parent_id, coalesce(ancestors[-1], page_id) AS root FROM v_pages), o AS (SELECT DISTINCT source_page_id AS a, target_page_id AS b FROM v_links),
+  l AS (SELECT DISTINCT x.page_id AS a, y.page_id AS b FROM v_labels x JOIN v_labels y ON x.label = y.label),
+  g AS (SELECT x.page_id AS a, y.page_id AS b, y.title, CASE WHEN u.a IS NULL THEN 0 ELSE 100 END + CASE WHEN w.a IS NULL THEN 0 ELSE 75 END + CASE WHEN l.a IS NULL THEN 0 ELSE 20 END + CASE WHEN x.parent_id IS NOT DISTINCT FROM y.parent_id THEN 10 ELSE 0 END + CASE WHEN x.root = y.root THEN 5 ELSE 0 END AS score
+    FROM p x JOIN p y ON x.page_id <> y.page_id LEFT JOIN o u ON u.a = x.page_id AND u.b = y.page_id LEFT JOIN o w ON w.a = y.page_id AND w.b = x.page_id LEFT JOIN l ON l.a = x.page_id AND l.b = y.page_id)
+  SELECT a AS page_id, b AS related, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, title, b) AS rank FROM g WHERE score > 0) WHERE rank <= 5""")
 def jn10_related_pages(s, d):
-    return graph.related_pages(v.pages(s, d), v.links(s, d), v.labels(s, d).filter("label = 'Draft'"))
+    return graph.related_pages(v.pages(s, d), v.links(s, d), v.labels(s, d))
 
 
 @query("SELECT l.source_page_id, l.target_path, t.page_id AS target_id, t.page_id IS NULL AS broken FROM v_links l JOIN v_pages p ON p.page_id = l.source_page_id LEFT JOIN v_pages t ON t.path = concat(p.space_key, '/', substr(replace(l.target_path, '.md', ''), 4)) WHERE l.link_type = 'internal'")
@@ -277,9 +277,9 @@ def jn18_missing_capabilities(s, d):
     return v.table(s, d, "supplier").select("s_suppkey", F.array_except(F.array(F.lit("a"), F.lit("b"), F.lit("c")), have).alias("missing"))
 
 
-@query("""SELECT name, level, level > first AS shadowed, CASE WHEN level > first THEN first END AS overridden_by FROM (SELECT l_partkey % 50 AS name, l_linenumber AS level, min(l_linenumber) OVER (PARTITION BY l_partkey % 50) AS first FROM (SELECT DISTINCT l_partkey % 50 AS l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 20 = 0))""")
+@query("""SELECT name, level, level > first AS shadowed, CASE WHEN level > first THEN first END AS overridden_by FROM (SELECT l_partkey % 50 AS name, l_linenumber AS level, min(l_linenumber) OVER (PARTITION BY l_partkey % 50) AS first FROM (SELECT DISTINCT l_partkey % 50 AS l_partkey, l_linenumber FROM lineitem))""")
 def win14_overrides(s, d):
-    rows = v.table(s, d, "lineitem").filter("l_orderkey % 20 = 0").select((F.col("l_partkey") % 50).alias("name"), F.col("l_linenumber").alias("level")).distinct()
+    rows = v.table(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("name"), F.col("l_linenumber").alias("level")).distinct()
     return graph.first_priority(rows, "name", "level").select("name", "level", "shadowed", "overridden_by")
 
 
@@ -322,11 +322,11 @@ def rsh04_gantt_progress(s, d):
     return v.table(s, d, "orders").select("o_orderkey", F.when(p > 1, F.least(p / 100, F.lit(1.0))).otherwise(p).alias("progress"))
 
 
-_VALUES = "SELECT year(o_orderdate) AS label, o_orderpriority AS series, sum(o_totalprice) AS value FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1, 2"
+_VALUES = "SELECT year(o_orderdate) AS label, o_orderpriority AS series, sum(floor(o_totalprice) * CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END) AS value FROM orders GROUP BY 1, 2"
 
 
 def _values(s, d):
-    return v.table(s, d, "orders").filter("o_orderkey % 97 = 0").groupBy(F.year("o_orderdate").alias("label"), F.col("o_orderpriority").alias("series")).agg(F.sum("o_totalprice").alias("value"))
+    return v.table(s, d, "orders").groupBy(F.year("o_orderdate").alias("label"), F.col("o_orderpriority").alias("series")).agg(F.sum(F.floor("o_totalprice").cast("double") * F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(-1.0)).alias("value"))
 
 
 @query(f"WITH x AS ({_VALUES}) SELECT l.label, r.series, coalesce(x.value, 0) AS value, x.value IS NULL AS missing FROM (SELECT DISTINCT label FROM x) l CROSS JOIN (SELECT DISTINCT series FROM x) r LEFT JOIN x ON x.label = l.label AND x.series = r.series")
@@ -363,9 +363,9 @@ def win09_first_seen(s, d):
     return charts.first_seen(_properties(s, d))
 
 
-@query("SELECT s_suppkey, s_suppkey - 1 AS before FROM supplier WHERE s_suppkey BETWEEN 1 AND 50")
+@query("SELECT s_suppkey, s_suppkey - 1 AS before FROM supplier WHERE s_suppkey >= 1")
 def jn12_gantt_dependencies(s, d):
-    tasks = v.table(s, d, "supplier").filter("s_suppkey <= 50").select(F.concat(F.lit("T"), "s_suppkey").alias("id"), F.concat(F.lit("Task "), "s_suppkey").alias("label"), F.lit(None).cast("int").alias("place"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN concat('t', s_suppkey - 1) ELSE concat(' TASK ', s_suppkey - 1, ' , nothing') END").alias("after"))
+    tasks = v.table(s, d, "supplier").select(F.concat(F.lit("T"), "s_suppkey").alias("id"), F.concat(F.lit("Task "), "s_suppkey").alias("label"), F.lit(None).cast("int").alias("place"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN concat('t', s_suppkey - 1) ELSE concat(' TASK ', s_suppkey - 1, ' , nothing') END").alias("after"))
     return charts.gantt_dependencies(tasks).select(F.substring("id", 2, 9).cast("long").alias("s_suppkey"), F.substring("depends_on", 2, 9).cast("long").alias("before"))
 
 

@@ -130,14 +130,17 @@ def src17_frontmatter(s, d):
 
 
 def _scratch(s) -> str:
-    folder = s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera"
+    folder = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or "/tmp/tessera"
     return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-@query("SELECT issue_key, priority, points_raw FROM v_issues WHERE issue_id % 50 = 0")
+@query("SELECT issue_key, priority, points_raw FROM v_issues")
 def snk08_csv_round_trip(s, d):
     path = _scratch(s)
-    sources.write_csv(v.issues(s, d).filter("issue_id % 50 = 0").select("issue_key", "priority", "points_raw"), path)
+    sources.write_csv(v.issues(s, d).select("issue_key", "priority", "points_raw"), path)
     return sources.load(s, "csv", path).select("issue_key", "priority", "points_raw")
 
 
@@ -169,10 +172,10 @@ def snk07_legacy_state(s, d):
     return sources.migrate_state(s, text).select("page_id", "path", "title", "version", "sync_state")
 
 
-@query("SELECT issue_key AS k, priority, NULL AS score FROM v_issues WHERE issue_id % 100 = 0 UNION ALL SELECT concat('P-', page_id), NULL, version FROM v_pages WHERE page_id % 100 = 0")
+@query("SELECT issue_key AS k, priority, NULL AS score FROM v_issues UNION ALL SELECT concat('P-', page_id), NULL, version FROM v_pages")
 def set05_column_union(s, d):
-    a = v.issues(s, d).filter("issue_id % 100 = 0").select(F.col("issue_key").alias("k"), "priority")
-    b = v.pages(s, d).filter("page_id % 100 = 0").select(F.expr("concat('P-', page_id)").alias("k"), F.col("version").alias("score"))
+    a = v.issues(s, d).select(F.col("issue_key").alias("k"), "priority")
+    b = v.pages(s, d).select(F.expr("concat('P-', page_id)").alias("k"), F.col("version").alias("score"))
     return sources.union_all([a, b])
 
 
@@ -205,18 +208,18 @@ def agg31_job_timings(s, d):
     return states.job_timings(runs)
 
 
-@query("""WITH RECURSIVE j AS (SELECT l_orderkey AS run_id, l_linenumber AS job, min(l_shipdate) AS ended FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1, 2), l AS (SELECT n.run_id, n.job, arg_max(n.needs, {'e': j.ended, 'n': n.needs}) AS parent
+@query("""WITH RECURSIVE j AS (SELECT l_orderkey AS run_id, l_linenumber AS job, min(l_shipdate) AS ended FROM lineitem GROUP BY 1, 2), l AS (SELECT n.run_id, n.job, arg_max(n.needs, {'e': j.ended, 'n': n.needs}) AS parent
     FROM (SELECT a.run_id, a.job, b.job AS needs FROM j a JOIN j b ON a.run_id = b.run_id AND b.job < a.job) n JOIN j ON j.run_id = n.run_id AND j.job = n.needs GROUP BY 1, 2),
   p AS (SELECT run_id, arg_max(job, {'e': ended, 'n': job}) AS job, 0 AS "at" FROM j GROUP BY 1 UNION ALL SELECT p.run_id, l.parent, p."at" + 1 FROM p JOIN l ON l.run_id = p.run_id AND l.job = p.job) SELECT run_id, "at", job FROM p""")
 def agg31_critical_path(s, d):
-    j = v.table(s, d, "lineitem").filter("l_orderkey % 40 = 0").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("job")).agg(F.min("l_shipdate").alias("ended"))
+    j = v.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("job")).agg(F.min("l_shipdate").alias("ended"))
     needs = j.select("run_id", "job").join(j.select("run_id", F.col("job").alias("needs")), "run_id").filter("needs < job")
     return states.critical_path(j, needs)
 
 
 @query("""WITH p AS (SELECT page_id AS source_id, CASE WHEN page_id % 3 = 0 THEN concat('/r', page_id % 90) ELSE concat('/p', page_id) END AS route FROM v_pages WHERE page_id % 4 <> 1), w AS (SELECT page_id AS source_id, concat('/R', page_id % 90) AS base FROM v_pages WHERE page_id % 5 <> 2),
-  t AS (SELECT lower(route) AS k, count(*) AS taken FROM p GROUP BY 1), n AS (SELECT w.source_id, w.base, row_number() OVER (PARTITION BY lower(base) ORDER BY w.source_id) + coalesce(taken, 0) AS n FROM w LEFT JOIN t ON t.k = lower(w.base) WHERE w.source_id NOT IN (SELECT source_id FROM p))
-  SELECT w.source_id, p.route, 'kept' AS change FROM w JOIN p USING (source_id) UNION ALL SELECT source_id, CASE WHEN n = 1 THEN base ELSE concat(base, '-', n) END, 'assigned' FROM n UNION ALL SELECT source_id, route, 'tombstoned' FROM p WHERE source_id NOT IN (SELECT source_id FROM w)""")
+  n AS (SELECT w.source_id, w.base, row_number() OVER (PARTITION BY lower(base) ORDER BY w.base, w.source_id) = 1 AND lower(w.base) NOT IN (SELECT lower(route) FROM p) AS free FROM w WHERE w.source_id NOT IN (SELECT source_id FROM p))
+  SELECT w.source_id, p.route, 'kept' AS change FROM w JOIN p USING (source_id) UNION ALL SELECT source_id, CASE WHEN free THEN base ELSE concat(base, '-', source_id) END, 'assigned' FROM n UNION ALL SELECT source_id, route, 'tombstoned' FROM p WHERE source_id NOT IN (SELECT source_id FROM w)""")
 def hie06_stable_routes(s, d):
     pages = v.pages(s, d)
     previous = pages.filter("page_id % 4 <> 1").select(F.col("page_id").alias("source_id"), F.expr("CASE WHEN page_id % 3 = 0 THEN concat('/r', page_id % 90) ELSE concat('/p', page_id) END").alias("route"))
@@ -224,7 +227,7 @@ def hie06_stable_routes(s, d):
     return states.stable_routes(previous, wanted)
 
 
-@query("""WITH RECURSIVE d AS (SELECT page_id, unnest([page_id // 2, page_id // 3]) AS include FROM v_pages WHERE page_id > 3), r AS (SELECT page_id, include, 1 AS depth FROM d UNION SELECT r.page_id, d.include, r.depth + 1 FROM r JOIN d ON d.page_id = r.include WHERE r.depth < 8)
+@query("""WITH RECURSIVE d AS (SELECT page_id, unnest([page_id // 2, page_id // 3]) AS include FROM v_pages WHERE page_id > 3), r AS (SELECT page_id, include, 1 AS depth FROM d UNION SELECT r.page_id, d.include, r.depth + 1 FROM r JOIN d ON d.page_id = r.include)
   SELECT page_id, include, min(depth) AS depth FROM r WHERE include <> page_id GROUP BY 1, 2""")
 def hie09_includes(s, d):
     pages = v.pages(s, d).filter("page_id > 3").select("page_id", F.expr("array(page_id div 2, page_id div 3)").alias("includes"))

@@ -40,9 +40,9 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 @reader("json")
-def json_store(spark: SparkSession, path: str, table: str = "pages", schema: T.StructType = PAGE_SCHEMA) -> DataFrame:
-    """One table of a JSON document that holds arrays of rows by table name."""
-    doc = spark.read.schema(T.StructType([T.StructField(table, T.ArrayType(schema))])).json(path, multiLine=True)
+def json_store(spark: SparkSession, path: str, table: str = "pages", schema: T.StructType = PAGE_SCHEMA, parts: bool = False) -> DataFrame:
+    """One table of a JSON document that holds arrays of rows by table name; with ``parts`` each line is such a document."""
+    doc = spark.read.schema(T.StructType([T.StructField(table, T.ArrayType(schema))])).json(path, multiLine=not parts)
     return doc.select(F.explode(table).alias("r")).select("r.*")
 
 

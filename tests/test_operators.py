@@ -124,7 +124,66 @@ def test_searches_refuse_what_they_would_lose():
 def test_routes(spark):
     old = spark.createDataFrame([(1, "/a"), (2, "/b")], "source_id long, route string")
     new = spark.createDataFrame([(1, "/x"), (3, "/A"), (4, "/c"), (5, "/c")], "source_id long, base string")
-    assert {tuple(r) for r in states.stable_routes(old, new).collect()} == {(1, "/a", "kept"), (2, "/b", "tombstoned"), (3, "/A-2", "assigned"), (4, "/c", "assigned"), (5, "/c-2", "assigned")}
+    assert {tuple(r) for r in states.stable_routes(old, new).collect()} == {(1, "/a", "kept"), (2, "/b", "tombstoned"), (3, "/A-3", "assigned"), (4, "/c", "assigned"), (5, "/c-5", "assigned")}
+
+
+def routes_in_turn(previous, wanted, overrides):
+    """The same by one page after the other."""
+    was, custom = {s: (r, t) for s, r, t in previous}, dict(overrides)
+    taken, out = {r.lower() for _, r, _ in previous} | {r.lower() for r in custom.values()}, set()
+    for base, page in sorted((b, p) for p, b in wanted):
+        if page in custom or page in was:
+            before, state = was.get(page, (None, ""))
+            route = custom.get(page, before)
+            out.add((page, route, "assigned" if before is None else "changed" if route != before else "reactivated" if state == "tombstone" else "kept"))
+            continue
+        n, route = 0, base
+        while route.lower() in taken:
+            n += 1
+            route = f"{base}-{page}" + (f"-{n}" if n > 1 else "")
+        taken.add(route.lower())
+        out.add((page, route, "assigned"))
+    ids = {p for p, _ in wanted}
+    return out | {(s, r, "tombstoned") for s, r, t in previous if s not in ids and t != "tombstone"}
+
+
+def test_routes_are_those_of_pages_in_turn(spark):
+    previous = [(1, "/r", "active"), (2, "/r-20", "active"), (3, "/x", "tombstone"), (4, "/y", "active"), (5, "/z", "tombstone"), (6, "/w", "active")]
+    wanted = [(1, "/q"), (3, "/q"), (6, "/w"), (7, "/q")] + [(n, "/R" if n % 2 else "/r") for n in range(18, 24)] + [(30, "/s"), (31, "/s"), (29, "/s-31"), (32, "/s-31-2")]
+    overrides = [(6, "/new"), (7, "/r-22"), (99, "/nobody")]
+    got = states.stable_routes(
+        spark.createDataFrame(previous, "source_id long, route string, state string"), spark.createDataFrame(wanted, "source_id long, base string"),
+        spark.createDataFrame(overrides, "source_id long, route string"),
+    )
+    rows = [tuple(r) for r in got.collect()]
+    assert len({r[1].lower() for r in rows}) == len(rows) and set(rows) == routes_in_turn(previous, wanted, overrides[:2])
+
+
+def test_related_pages_of_two_roots_and_many_labels(spark):
+    pages = [(1, "B", None, []), (2, "A", None, []), (3, "C", 1, [1]), (4, "D", 1, [1]), (5, "E", 4, [4, 1]), *((100 + n, f"P{n:03}", 2, [2]) for n in range(40))]
+    labels = [(1, "x"), (2, "x"), (1, "y"), (2, "y"), (3, "y"), (5, "x"), *((100 + n, "x") for n in range(0, 40, 2)), *((100 + n, f"l{n % 7}") for n in range(40))]
+    links = [(3, 5), (5, 2), (1, 1), (139, 100)]
+    of = lambda p: {x for i, x in labels if i == p}
+    root = {p: (a[-1] if a else p) for p, _, _, a in pages}
+    want = set()
+    for a, _, pa, _ in pages:
+        scored = []
+        for b, title, pb, _ in pages:
+            score = 100 * ((a, b) in links) + 75 * ((b, a) in links) + 20 * bool(of(a) & of(b)) + 10 * (pa == pb) + 5 * (root[a] == root[b])
+            if a != b and score:
+                scored.append((-score, title, b))
+        want |= {(a, b, -s, n) for n, (s, _, b) in enumerate(sorted(scored)[:5], 1)}
+    got = graph.related_pages(
+        spark.createDataFrame(pages, "page_id long, title string, parent_id long, ancestors array<long>"),
+        spark.createDataFrame(links, "source_page_id long, target_page_id long"), spark.createDataFrame(labels, "page_id long, label string"),
+    )
+    assert {tuple(r) for r in got.collect()} == want and (1, 2, 30, 1) in want
+
+
+def test_deep_chains_and_missing_parents(spark):
+    nodes = spark.createDataFrame([(n, n - 1 if n else None) for n in range(100)] + [(500, 499), (501, 500)], "id long, parent_id long")
+    found = {r["id"]: (r["root"], r["depth"]) for r in graph.expand_levels(nodes).select("id", "root", "depth").collect()}
+    assert found == {n: (0, n) for n in range(100)} | {500: (500, 0), 501: (500, 1)}
 
 
 def test_upsert_keeps_creation(spark):
