@@ -32,7 +32,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -357,13 +357,18 @@ class Tokens:
         """Put words into the table, and the pieces that words share."""
         found: dict[str, list[int]] = {}
         for w in fresh if self.pieces else ():
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                ids: list[int] = []
-                for p in self._cut(w.lower()):
-                    if (part := found.get(p)) is None:
-                        part = found[p] = self._known(p) if p in self.at else self._merged(p)
-                    ids += part
-                found[w] = ids
+            if w.isascii() and w.isalpha():
+                cut = (w.lower(),)
+            elif _PLAIN.fullmatch(w) and "<|" not in w:
+                cut = self._cut(w.lower())
+            else:
+                continue
+            ids: list[int] = []
+            for p in cut:
+                if (part := found.get(p)) is None:
+                    part = found[p] = self._known(p) if p in self.at else self._merged(p)
+                ids = ids + part if ids else part
+            found[w] = ids
         other = [w for w in fresh if w not in found]
         found |= zip(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
         found = {w: ids for w, ids in found.items() if w not in self.at}
@@ -388,12 +393,12 @@ class Tokens:
         if self.n > self.most:
             self._clear()
         words, places, bounds = distinct_words(pc.ascii_split_whitespace(texts))
-        rows = np.fromiter((self.at.get(w, -1) for w in words), np.int64, len(words))
+        rows = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(rows < 0)
         for begin in range(0, len(fresh), 20_000):
             part = [words[i] for i in fresh[begin : begin + 20_000]]
             self._learn(part)
-            rows[fresh[begin : begin + 20_000]] = [self.at[w] for w in part]
+            rows[fresh[begin : begin + 20_000]] = list(map(self.at.__getitem__, part))
         offset, size = self.offset[rows].take(places), self.size[rows].take(places)
         ends = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(offset - ends[:-1], size)
