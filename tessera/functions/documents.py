@@ -123,6 +123,51 @@ def fnv1a(text: str) -> str:
     return f"{h:08x}"
 
 
+def _base36(n: int) -> str:
+    out = ""
+    while n:
+        n, digit = divmod(n, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[digit] + out
+    return out or "0"
+
+
+def _hash_of_units(text: str) -> str:
+    """FNV-1a over UTF-16 units, in base 36."""
+    data, h = text.encode("utf-16-le", "surrogatepass"), 0x811C9DC5
+    for i in range(0, len(data), 2):
+        h = (h ^ int.from_bytes(data[i : i + 2], "little")) * 0x01000193 & 0xFFFFFFFF
+    return _base36(h)
+
+
+def _hashed_anchor(base: str, source: str, most: int) -> str:
+    mark = _hash_of_units(source)
+    head = base[: max(0, most - len(mark) - 1)].rstrip("-")
+    return f"{head}-{mark}" if head else mark
+
+
+def anchor_id(name: str, most: int = 40) -> str:
+    """An id of a-z, 0-9 and ``-`` for an anchor's name; longer ones end in a hash of the name."""
+    folded = unicodedata.normalize("NFKD", re.sub(r"[\x00-\x1f\x7f]", "", name))
+    base = re.sub("[^a-z0-9]+", "-", re.sub("[\u0300-\u036f]", "", folded).lower()).strip("-") or "anchor"
+    return base if len(base) <= most else _hashed_anchor(base, name, most)
+
+
+def unique_anchors(names: list[str], most: int = 40) -> list[str]:
+    """The anchor ids of a page's names in order: an id that is taken gets a hash of its name, then of its name and a number."""
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        name = name or ""
+        found = base = anchor_id(name, most)
+        salt = 0
+        while found in taken:
+            found = _hashed_anchor(base, f"{name}#{salt}" if salt else name, most)
+            salt += 1
+        taken.add(found)
+        out.append(found)
+    return out
+
+
 def unified_diff(old: str, new: str) -> dict:
     lines = list(difflib.unified_diff(old.splitlines(), new.splitlines(), lineterm="", n=3))
     hunks = sum(x.startswith("@@") for x in lines)

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Keys that hold secrets, by substring.
-SENSITIVE = ("password", "token", "secret", "apikey", "api_key", "authorization", "credential", "cookie")
+SENSITIVE = ("token", "password", "secret", "apikey", "api_key", "authorization", "credential")
 #: Colour names of chart parameters.
 COLOURS = {
-    "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "yellow": "#ffff00", "orange": "#ffa500", "purple": "#800080",
-    "gray": "#808080", "grey": "#808080", "silver": "#c0c0c0", "maroon": "#800000", "navy": "#000080", "teal": "#008080", "olive": "#808000", "lime": "#00ff00", "aqua": "#00ffff",
+    "black": "#000000", "silver": "#C0C0C0", "gray": "#808080", "grey": "#808080", "white": "#FFFFFF", "maroon": "#800000",
+    "red": "#FF0000", "purple": "#800080", "fuchsia": "#FF00FF", "green": "#008000", "lime": "#00FF00", "olive": "#808000",
+    "yellow": "#FFFF00", "navy": "#000080", "blue": "#0000FF", "teal": "#008080", "aqua": "#00FFFF", "orange": "#FFA500",
 }
 
 
@@ -78,11 +79,12 @@ def file_size(n: Column) -> Column:
 
 
 def colour(text: Column) -> Column:
-    """``#rrggbb`` of ``#rgb``, ``#rrggbb``, ``#rrggbbaa`` or a colour name; null for anything else."""
-    x = F.lower(F.trim(text))
+    """``#RRGGBB`` of three, six or eight hexadecimal digits, with or without ``#``, or of a colour name; null for anything else."""
+    x = F.trim(text)
+    digits = F.upper(F.regexp_replace(x, "^#", ""))
     names = F.create_map(*[F.lit(v) for pair in COLOURS.items() for v in pair])
-    short = F.concat(F.lit("#"), *(F.repeat(F.substring(x, i, 1), F.lit(2)) for i in (2, 3, 4)))
-    return F.when(x.rlike("^#[0-9a-f]{3}$"), short).when(x.rlike("^#[0-9a-f]{6}([0-9a-f]{2})?$"), F.substring(x, 1, 7)).otherwise(F.try_element_at(names, x))
+    short = F.concat(F.lit("#"), *(F.repeat(F.substring(digits, i, 1), F.lit(2)) for i in (1, 2, 3)))
+    return F.when(digits.rlike("^[0-9A-F]{6}([0-9A-F]{2})?$"), F.concat(F.lit("#"), F.substring(digits, 1, 6))).when(digits.rlike("^[0-9A-F]{3}$"), short).otherwise(F.try_element_at(names, F.lower(x)))
 
 
 def file_name(text: Column) -> Column:

@@ -254,21 +254,11 @@ def agg27_regressions(s, d):
     return jobs.regressions(rows, ["e1", "e2"])
 
 
-@query("SELECT status_category AS code, priority AS severity, count(*) AS n FROM v_issues GROUP BY 1, 2")
-def agg24_report_counts(s, d):
-    return v.issues(s, d).groupBy(F.col("status_category").alias("code"), F.col("priority").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT group_key // 10 AS batch, count(*) AS total, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state = 'failed') AS failed FROM v_jobs GROUP BY 1")
 def agg32_bulk_outcomes(s, d):
     return v.jobs(s, d).groupBy(F.expr("group_key div 10").alias("batch")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == "succeeded").alias("succeeded"), F.count_if(F.col("state") == "failed").alias("failed"))
 
 
-@query("SELECT label % 3 = 0 AS strict, count(*) AS errors, count(*) = 0 AS passed FROM embeddings GROUP BY 1")
-def agg22_validation_totals(s, d):
-    return v.table(s, d, "embeddings").groupBy((F.col("label") % 3 == 0).alias("strict")).agg(F.count(F.lit(1)).alias("errors")).withColumn("passed", F.col("errors") == 0)
-
-
 @query("SELECT event_id, user_id, value >= coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), value) AS monotonic FROM v_logs JOIN (SELECT event_id AS e, ts FROM events) ON e = event_id")
 def win11_monotonic(s, d):
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("timestamp", "event_id"))

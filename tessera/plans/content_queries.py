@@ -89,7 +89,7 @@ def str20_file_sizes(s, d):
     return v.table(s, d, "orders").select("o_orderkey", texts.file_size((F.col("o_orderkey") * 977) % 3000001).alias("size"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '#aabbcc' WHEN 1 THEN '#112233' WHEN 2 THEN '#008080' END AS colour FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '#AABBCC' WHEN 1 THEN '#112233' WHEN 2 THEN '#008080' END AS colour FROM supplier")
 def str22_colours(s, d):
     text = F.expr("CASE s_suppkey % 4 WHEN 0 THEN '#ABC' WHEN 1 THEN '#11223344' WHEN 2 THEN ' Teal ' ELSE 'mauve' END")
     return v.table(s, d, "supplier").select("s_suppkey", texts.colour(text).alias("colour"))

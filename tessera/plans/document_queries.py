@@ -246,11 +246,6 @@ def win16_claim_next(s, d):
     return states.claim_next(queued, 17, jobs.fair_order(queued).select("job_id", "turn"))
 
 
-@query("SELECT conv_id, count(*) AS comments FROM conversations GROUP BY 1")
-def agg25_comment_counts(s, d):
-    return v.table(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("comments"))
-
-
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN least(600, greatest(1, o_orderkey % 900)) WHEN 1 THEN 60 END AS wait FROM orders")
 def dat18_retry_after(s, d):
     text = F.expr("CASE o_orderkey % 3 WHEN 0 THEN cast(o_orderkey % 900 as string) WHEN 1 THEN 'Thu, 02 Aug 2001 00:01:00 GMT' ELSE '-5' END")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import documents, numbers, texts, times
+from tessera.functions import documents, macros, numbers, texts, times
 
 
 def one(spark, *columns):
@@ -53,7 +53,7 @@ def test_locale_numbers(spark):
 
 
 def test_colours(spark):
-    assert one(spark, *(texts.colour(F.lit(x)) for x in ("#abc", "#AABBCC80", "red", "nope"))) == ("#aabbcc", "#aabbcc", "#ff0000", None)
+    assert one(spark, *(texts.colour(F.lit(x)) for x in ("#abc", "AABBCC80", "red", "Fuchsia", "nope"))) == ("#AABBCC", "#AABBCC", "#FF0000", "#FF00FF", None)
 
 
 def test_merges():
@@ -84,3 +84,49 @@ def test_null_texts(spark):
         n = function.__code__.co_argcount - len(function.__defaults__ or ())
         row = spark.range(1).select(documents.column(function, returns)(*[F.lit(None).cast("string")] * n).alias("x")).first()
         assert row["x"] is None or all(v is None for v in row["x"])
+
+
+def test_anchors():
+    a = documents.anchor_id
+    assert a("Größe\u0007 / Maß") == "gro-e-ma" and a("  ") == "anchor"
+    long = a("x" * 50)
+    assert len(long) <= 40 and long.startswith("xxx") and long != a("x" * 51)
+    found = documents.unique_anchors(["A B", "A_B", "A_B", None, ""])
+    assert found[0] == "a-b" and len(set(found)) == 5 and all(len(x) <= 40 for x in found)
+    assert documents._hash_of_units("a") == documents._base36(0xE40C292C)
+
+
+def test_emoji(spark):
+    assert one(spark, *(macros.emoji_name(F.lit(x)) for x in (":Smile:", "+1", "::x::", " x", "check_mark"))) == ("smile", "thumbs-up", None, None, None)
+    shown = [macros.emoji_text(F.lit(a), F.lit(b).cast("string")) for a, b in ((":check_mark:", None), (":x:", "no"), (":x:", ":y:"), (":new:", ""))]
+    assert one(spark, *shown) == ("✓", "no", "✕", ":new:")
+
+
+def test_placeholders(spark):
+    texts = ("$scroll.title", "$scroll.title.(a)", "$scroll.pageproperty.(k,true)", "$scroll.metadata.x", "$scroll.customer", "$scroll.custom", "$scroll.spacelogo.(1,2)", None)
+    got = one(spark, *(macros.placeholder(F.lit(x).cast("string"))["status"] for x in texts), *(macros.placeholder(F.lit(x).cast("string"))["dependency"] for x in texts))
+    assert got[:8] == ("supported", "supported", "supported", "unsupported", "unsupported", "never", "supported", None)
+    assert got[8:] == ("none", "none", "spaceHomepage", "none", "none", "none", "spaceLogo", None)
+    args = one(spark, *(macros.property_arguments(F.lit(x)) for x in ("x.(k, 'm',true,\"alt\")", "x.(k,false)", "x", "x.(a(b)c)")))
+    assert [tuple(a) for a in args] == [("k", "m", True, "alt"), ("k", None, False, None), ("", None, False, None), ("a(b)c", None, False, None)]
+
+
+def test_whiteboards(spark):
+    site, good = F.lit("https://a.example"), "/wiki/spaces/AB/whiteboard/12"
+    cases = {
+        good: None, f"https://A.example{good}?q": None, f"http://a.example{good}": "unsupported-scheme", f"//a.example{good}": "protocol-relative", f"x{good}": "unsafe-relative", "": "missing-url",
+        "/wiki/spaces/AB/whiteboard/1%2F2": "malformed-route", "/wiki/spaces/A_B/whiteboard/1": "invalid-space-key", "/wiki/spaces/AB/whiteboard/x": "invalid-whiteboard-id", "/a/%2e%2E/b": "malformed-url", "/a b": "malformed-url",
+        "/wiki/spaces/%zz/whiteboard/1": "malformed-route",
+    }
+    assert one(spark, *(macros.whiteboard_target(F.lit(x), site)["reason"] for x in cases)) == tuple(cases.values())
+    refused = one(spark, *(macros.whiteboard_target(F.lit(good), F.lit(x).cast("string"))["reason"] for x in (None, "http://a.example", "https://u:p@a.example", "x")))
+    assert set(refused) == {"trusted-site-unavailable"}
+    assert one(spark, macros.whiteboard_target(F.lit(good), site)["url"]) == (f"https://a.example{good}",)
+
+
+def test_pie_labels_and_dates(spark):
+    label = lambda f, v, t: macros.pie_label(F.lit(f), F.lit("L"), F.lit(v), F.lit(t))
+    assert one(spark, label("%0% %1% %2%", 2.50, 20.0), label("%1%", 12345678, 1), label("%2%", 0, 0), label("%1% %1%", 100.0, 1.0)) == ("L 2.5 13%", "12345678", "NaN%", "100 100")
+    at = F.lit("2024-03-05 06:07:08").cast("timestamp")
+    forms = {"d.M.yy H:m:s": "5.3.24 6:07:08".replace("6:07:08", "6:7:8"), "'on' dd''MM": "on 05'03", "Q QQ QQQ QQQQ": "1 01 Q1 1st quarter", "yyy": "2024-03-05", "": "2024-03-05", "HH'open": "06open"}
+    assert one(spark, *(macros.simple_date(at, f) for f in forms)) == tuple(forms.values())

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tessera.operators import agile, audit, charts, graph, jobs, search, states, store
+from tessera.operators import agile, audit, charts, graph, jobs, reports, search, states, store
 
 
 def test_orphans(spark):
@@ -238,3 +238,21 @@ def test_label_grid_keeps_every_series(spark):
     values = spark.createDataFrame([(i % 3, f"s{i:03}", float(i)) for i in range(1, 101)], "label int, series string, value double")
     got = {(r["label"], r["series"]): (r["value"], r["missing"]) for r in charts.label_grid(values).collect()}
     assert got == {(k, f"s{i:03}"): (float(i), False) if i % 3 == k else (0.0, True) for i in range(1, 101) for k in range(3)}
+
+
+def test_comment_threads(spark):
+    rows = [(1, 7, "footer", None), (2, 7, "inline", 1), (3, 7, "footer", 2), (4, 7, "inline", None), (5, 8, "inline", 99), (6, 8, "footer", 5), (7, 9, "footer", 8), (8, 9, "footer", 7)]
+    got = reports.comment_counts(spark.createDataFrame(rows, "id long, page_id long, kind string, parent_id long"))
+    assert sorted(map(tuple, got.collect())) == [(7, 3, 1, 4), (8, 0, 2, 2)]
+
+
+def test_export_reports(spark):
+    rows = [(1, "warning", "a"), (1, "info", "b"), (1, "info", "b"), (2, "info", "a"), (3, "error", "c"), (4, "error", None)]
+    issues = spark.createDataFrame(rows, "report long, severity string, code string")
+    got = {r["report"]: tuple(r)[1:5] for r in reports.export_reports(issues, F.col("report") != 3, 1).collect()}
+    assert got == {1: (2, 1, 0, 2), 2: (1, 0, 0, 0), 3: (0, 0, 1, 0), 4: (0, 0, 1, 2)}
+    top = {r["report"]: [tuple(x) for x in r["top_codes"]] for r in reports.export_reports(issues, F.lit(False), 1, F.lit(9)).collect()}
+    assert top[1] == [("b", 2)] and top[4] == [(None, 1)]
+    files = spark.createDataFrame([("x", "g"), ("y", "g"), ("z", "h")], "file string, g string")
+    found = spark.createDataFrame([("x", "error"), ("x", "warning"), ("z", "warning")], "file string, severity string")
+    assert sorted(map(tuple, reports.validation_totals(files, found, "g").collect())) == [("g", 2, 1, 1, False), ("h", 1, 0, 1, True)]
