@@ -8,7 +8,7 @@ There is no shuffle.
 
 Defined cases: null texts have no words and are never contaminated; an item without words has no
 window; items are told apart by item_id, a null item_id is left out; repeated documents give repeated
-rows; an empty benchmark leaves every document clean; further columns are kept by
+rows; a very long text is scanned whole; an empty benchmark leaves every document clean; further columns are kept by
 :func:`remove_contaminated` and ignored by :func:`scan`.
 """
 

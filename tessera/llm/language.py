@@ -11,7 +11,7 @@ word of every text, in the tasks that read it; nothing is shuffled.
 
 Defined cases: null text, or one without letters, gives ``und`` with score 0; documents with null lang are
 not learned from; without any labelled document every text gets ``und``; ties go to the language that
-sorts first; repeated rows get equal results; further columns are ignored.
+sorts first; a very long text goes through whole, in blocks of the chain; repeated rows get equal results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +139,8 @@ def sample_windows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[list[str
         return []
     quota = max(1, sample // len(counts))
     rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, int(min(1.0, quota / n) * (1 << 20))))]), F.col("lang"))
-    chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate)
+    # Copies count once, so that the sample neither fills with one text nor depends on the order of tasks.
+    chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

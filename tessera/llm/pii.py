@@ -14,7 +14,8 @@ Plan: one scan counts terms (pre-aggregated in the task), one scan finds spans a
 written to the shared folder; all joins are on the small context rows, never on texts.
 
 Defined cases: null text is empty; empty tables give empty results; a repeated row gives a repeated
-result row; further columns are ignored by :func:`find_spans` and kept by :func:`sanitise`; a null
+result row; very long texts and runs of digits take time in proportion to their length; equally strong terms
+are treated alike; further columns are ignored by :func:`find_spans` and kept by :func:`sanitise`; a null
 doc_id stays null. Spans are code points, end exclusive.
 """
 

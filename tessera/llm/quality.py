@@ -6,10 +6,11 @@ heuristic gives each vote in either class. The posterior labels train a hashed l
 shapes, which judges each document.
 
 Plan: one scan for votes (counted before the shuffle), one for a bounded sample of documents' features,
-one to score; no text is shuffled.
+one to score; only the sample's texts are shuffled, to take copies once.
 
 Defined cases: a null text is empty; a text without words has no features and gets the prior's score, and
-is kept; repeated rows get equal scores; an empty table gives an empty result; further columns are kept
+is kept; a very long text counts whole, in shares of its tokens; a score of exactly ``keep_from`` keeps; repeated
+rows get equal scores; an empty table gives an empty result; further columns are kept
 by :func:`keep_good`.
 """
 
@@ -223,7 +224,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     patterns, counts = np.array([r["pattern"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
     labels = fit_labels(patterns, counts)
     rate = min(1.0, sample / max(1.0, counts.sum()))
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) or 1))
+    # Copies count once, so that the sample neither fills with one text nor depends on the order of tasks.
+    chosen = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) or 1)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +239,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["pattern", "at", "values"])
 
     got = chosen.mapInArrow(run, "pattern long, at array<int>, values array<float>").limit(2 * sample).collect()
+    got.sort(key=lambda r: (r["pattern"], r["at"], r["values"]))
     x = np.zeros((len(got), SLOTS), np.float32)
     for i, r in enumerate(got):
         x[i, r["at"]] = r["values"]

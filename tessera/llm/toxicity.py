@@ -16,7 +16,8 @@ holds them.
 
 Defined cases: a null text is empty; an empty text or one without letters is one empty window and gets the
 least of scores; without labels of both classes every score is 0; a document labelled more than once
-counts with each label; repeated rows get equal scores; further columns are ignored.
+counts with each label; a very long text has as many windows as it needs; repeated rows (and ties) get equal
+scores; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,12 +1,15 @@
 """Learned operators: held-out accuracy, odd rows, empty tables."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language, quality, queries, toxicity
 from tessera.llm.common import read_table
-from tessera.llm.features import grams
+from tessera.llm.features import grams, words
 
 
 def test_quality_on_labels(spark, medium):
@@ -46,6 +49,104 @@ def test_label_model_finds_the_accuracies():
     assert abs(model.prior - 0.85) < 0.03 and np.all(np.abs(model.good[1] - 0.99) < 0.02) and np.all(np.abs(model.good[0] - 0.65) < 0.06)
 
 
+def _plain_labels(votes, rounds=60):
+    """P(good) of each document, one document and one heuristic at a time."""
+    m = len(votes[0])
+    prior, rates = 0.8, [[0.6] * m, [0.98] * m]
+    odds = lambda v: [(1 - prior, prior)[c] * np.prod([rates[c][h] if x > 0 else 1 - rates[c][h] if x < 0 else 1.0 for h, x in enumerate(v)]) for c in (0, 1)]
+    for _ in range(rounds):
+        p = [b / (a + b) for a, b in map(odds, votes)]
+        shares = [[1 - x for x in p], p]
+        rates = [
+            [
+                min(1 - 1e-4, max(1e-4, (sum(s for s, v in zip(shares[c], votes) if v[h] > 0) + (1, 2)[c]) / (sum(s for s, v in zip(shares[c], votes) if v[h]) + (2, 2.02)[c])))
+                for h in range(m)
+            ]
+            for c in (0, 1)
+        ]
+        prior = min(0.98, max(0.02, sum(p) / len(p)))
+    return [b / (a + b) for a, b in map(odds, votes)]
+
+
+def _plain_features(text):
+    """Slot to value, token by token."""
+    tokens, shapes, slots = text.split(), [], {}
+    for token in tokens:
+        for begin in range(0, len(token), quality.PIECE):
+            marks = ["X" if ch.isupper() else "x" if ch.isalpha() else "9" if ch.isdigit() else ch for ch in token[begin : begin + quality.PIECE]]
+            runs = "".join(k for k, _ in itertools.groupby(marks))
+            shapes += [quality._slot(runs[i : i + quality.MARKS]) for i in range(0, len(runs), quality.MARKS)]
+    for s in shapes + [(a * 31 + b * 17 + 5) % quality.SLOTS for a, b in zip(shapes, shapes[1:])]:
+        slots[s] = slots.get(s, 0) + 1
+    if len(shapes) > 1:
+        slots[1] = slots.get(1, 0) + 3 * sum(a == b for a, b in zip(tokens, tokens[1:]))
+    return {s: math.sqrt(n / len(shapes)) for s, n in slots.items()}
+
+
+def test_quality_by_brute_force(spark, small):
+    docs = read_table(spark, small, "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    weak = dict(zip(texts, _plain_labels([quality.votes(t) for t in texts.values()])))
+    _, scorer = quality.fit(docs)
+    got = quality.classify(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        z = sum(v * float(scorer.weights[s]) for s, v in _plain_features(texts[r["doc_id"]]).items()) + scorer.bias
+        assert abs(r["weak_label"] - weak[r["doc_id"]]) < 1e-6
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4
+        assert r["keep"] == (r["score"] >= 0.5 or not texts[r["doc_id"]].split())
+
+
+def test_samples_take_copies_once(spark):
+    rows = [(i, f"the report of week {i % 9} is on the table and we read it" if i % 3 else "one text of very many copies, all of them equal", "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = quality.fit(docs, 400)[1]
+    two = quality.fit(docs.repartition(7).orderBy(F.desc("doc_id")), 400)[1]
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+    found = language.sample_windows(docs)
+    assert found == language.sample_windows(docs.repartition(7)) and len(found) == 7 * language.WINDOWS
+
+
+def _plain_toxicity(net, text):
+    """The network in one word, one window and one direction at a time."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    w, h3, starts, best = words(text), 3 * toxicity.HIDDEN, [0], -math.inf
+    while starts[-1] + toxicity.SPAN < len(w):
+        starts.append(starts[-1] + toxicity.STRIDE)
+    for start in starts:
+        part = w[start : start + toxicity.SPAN]
+        states = []
+        for way in (0, 1):
+            h, out = np.zeros(toxicity.HIDDEN), {}
+            for i in range(len(part))[:: 1 - 2 * way]:
+                a, g = net.inputs([part[i]])[0][way * h3 : (way + 1) * h3].astype(np.float64), h @ p["state"][way]
+                reset, update, new = np.split(a, 3)[0] + np.split(g, 3)[0], np.split(a, 3)[1] + np.split(g, 3)[1], np.split(a, 3)[2]
+                h = h + (1 - sigmoid(update)) * (np.tanh(new + sigmoid(reset) * np.split(g, 3)[2]) - h)
+                out[i] = h
+            states.append(out)
+        both = [np.concatenate([states[0][i], states[1][i]]) for i in range(len(part))]
+        weights = np.array([math.exp(np.tanh(b @ p["attend"]) @ p["query"]) for b in both])
+        pooled = sum((x * b for x, b in zip(weights / weights.sum(), both)), np.zeros(2 * toxicity.HIDDEN)) if both else np.zeros(2 * toxicity.HIDDEN)
+        best = max(best, pooled @ p["out"] + p["out_bias"][0])
+    return sigmoid(net.slope * best + net.shift)
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    net = toxicity.Network.fresh(5)
+    for name in ("chars", "words"):
+        net.p[name][:-1] = rng.standard_normal(net.p[name][:-1].shape) * 0.3
+    net.slope, net.shift, net.trained = 1.3, 0.2, True
+    lexicon = ["you", "are", "an", "awful", "person", "und", "der", "é日本", "x" * 30, "ok"]
+    texts = [" ".join(rng.choice(lexicon, n)) for n in (0, 1, 2, 23, 24, 25, 40, 41, 130)] + [None, "12 !!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, net).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert abs(got[i] - _plain_toxicity(net, text or "")) < 1e-4, text
+
+
 def test_toxicity_held_out(spark, medium):
     got = queries.op7_toxicity(spark, medium).join(read_table(spark, medium, "labels"), "doc_id").filter("held_out").collect()
     right = [r["predicted"] == r["toxic"] for r in got]
