@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import localized_number
+
+#: What a plan table's columns are told by.
+TASK_COLUMNS = {"label": "task|name|activity|plan|actual", "start": "start|begin", "end": "end|finish|due", "progress": "progress|status|percent|complete", "dependencies": "depend|predecessor"}
+
 
 def series_from_columns(rows: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """(label, series, value): each column is a series."""
@@ -73,3 +78,24 @@ def gantt_dependencies(tasks: DataFrame) -> DataFrame:
     )
     wanted = tasks.select("id", F.explode(F.transform(F.split("after", ","), lambda x: F.lower(F.trim(x)))).alias("name"))
     return wanted.join(alias, "name").select("id", "depends_on")
+
+
+def gantt_tasks(rows: DataFrame, *, locale: str = "en", dates: tuple[str, ...] = ("yyyy-MM-dd",), selected: list[int] | None = None) -> DataFrame:
+    """(table_id, row_no, label, start, end, progress, dependencies) of rows (table_id, row_no, header, cells).
+
+    Columns are found by their headers, the first that fits; without a header for the label the first column is
+    it. Of ``selected`` columns (from 0) alone are searched. A progress beyond 1 is a percentage, at most 1 in
+    the end. Rows without a label or a date that can be read, and tables without both dates, have no task.
+    """
+    place = lambda pattern: F.array_position(
+        F.transform("header", lambda h, i: F.coalesce(F.lower(h).rlike(pattern) & (F.lit(True) if selected is None else i.isin(selected)), F.lit(False))), True
+    ).cast("int")
+    cell = lambda name: F.get("cells", place(TASK_COLUMNS[name]) - 1)
+    date = lambda name: F.coalesce(*(F.try_to_timestamp(F.trim(cell(name)), F.lit(f)) for f in dates))
+    number = localized_number(cell("progress"), locale)
+    parts = F.filter(F.transform(F.split(F.coalesce(cell("dependencies"), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    found = rows.select(
+        "table_id", "row_no", F.coalesce(F.get("cells", F.greatest(place(TASK_COLUMNS["label"]) - 1, F.lit(0))), F.concat(F.lit("Task "), "row_no")).alias("label"), date("start").alias("start"), date("end").alias("end"),
+        F.least(F.when(number > 1, number / 100).otherwise(number), F.when(number.isNotNull(), F.lit(1.0))).alias("progress"), parts.alias("dependencies"),
+    )
+    return found.filter((F.col("label") != "") & F.col("start").isNotNull() & F.col("end").isNotNull())

@@ -100,3 +100,24 @@ def regressions(records: DataFrame, env: list[str], *, time_ratio: float = 1.2,
     ranked = records.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep + 1)
     base = ranked.groupBy(*env).agg(F.max(F.when(F.col("n") == 1, F.col("ms"))).alias("latest"), F.expr("percentile_cont(0.5) within group (order by case when n > 1 then ms end)").alias("baseline"))
     return base.withColumn("ratio", F.col("latest") / F.col("baseline")).withColumn("regressed", F.col("ratio") > time_ratio)
+
+
+def sweep_verdicts(candidates: DataFrame, *, scope: str, now: str, ttl_seconds: int, title: str) -> DataFrame:
+    """``candidates`` (name, scope, run_id, ...) with a verdict: the first gate that fails, or ``sweep``.
+
+    ``title`` is a pattern whose first group is the time of making in seconds. What is exactly as old as the
+    time to live is still protected; a missing scope or owner fails its gate.
+    """
+    made = F.regexp_extract("name", title, 1).try_cast("long")
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - made
+    verdict = (
+        F.when(~F.col("scope").eqNullSafe(F.lit(scope)), "wrong-scope").when(made.isNull(), "name-mismatch").when(F.trim(F.coalesce("run_id", F.lit(""))) == "", "no-marker")
+        .when(age <= ttl_seconds, "within-ttl").otherwise("sweep")
+    )
+    return candidates.withColumn("verdict", verdict)
+
+
+def sweep_summary(verdicts: DataFrame, most: int) -> DataFrame:
+    """One row: targets, skipped, and whether the breaker trips because there are more targets than ``most``."""
+    targets = F.count_if(F.col("verdict") == "sweep")
+    return verdicts.agg(targets.alias("targets"), F.count_if(F.col("verdict") != "sweep").alias("skipped"), (targets > most).alias("tripped"))

@@ -221,10 +221,25 @@ def prd19_deletable_jobs(s, d):
     return v.jobs(s, d).filter(F.col("state").isin(*jobs.TERMINAL) & (F.col("finished_at") < F.lit("1999-01-01").cast("timestamp")) & ((F.col("state") != "succeeded") | seen)).orderBy("finished_at", "job_id").limit(400).select("job_id")
 
 
-@query("""SELECT job_id, CASE WHEN group_key % 5 = 0 THEN 'wrong-scope' WHEN job_id % 3 = 0 THEN 'name-mismatch' WHEN state = 'running' THEN 'no-marker' WHEN created_at >= TIMESTAMP '2001-01-01' THEN 'within-ttl' ELSE 'sweep' END AS verdict FROM v_jobs""")
+_SWEEP = """SELECT job_id, CASE WHEN group_key % 5 = 0 THEN 'wrong-scope' WHEN job_id % 3 = 0 THEN 'name-mismatch' WHEN state = 'running' THEN 'no-marker' WHEN created_at >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY THEN 'within-ttl' ELSE 'sweep' END AS verdict FROM v_jobs"""
+
+
+def _sweep(s, d):
+    rows = v.jobs(s, d).select(
+        "job_id", F.expr("CASE WHEN job_id % 3 = 0 THEN 'By hand' ELSE concat('run-', unix_timestamp(created_at), '-page') END").alias("name"),
+        F.expr("CASE WHEN group_key % 10 = 0 THEN 'other' WHEN group_key % 5 <> 0 THEN 'ci' END").alias("scope"), F.expr("CASE WHEN state = 'running' THEN ' ' ELSE 'r' END").alias("run_id"),
+    )
+    return jobs.sweep_verdicts(rows, scope="ci", now=v.AS_OF, ttl_seconds=365 * 86400, title="^run-([0-9]+)-")
+
+
+@query(_SWEEP)
 def prd18_sweep_gates(s, d):
-    verdict = F.when(F.col("group_key") % 5 == 0, "wrong-scope").when(F.col("job_id") % 3 == 0, "name-mismatch").when(F.col("state") == "running", "no-marker").when(F.col("created_at") >= F.lit("2001-01-01").cast("timestamp"), "within-ttl").otherwise("sweep")
-    return v.jobs(s, d).select("job_id", verdict.alias("verdict"))
+    return _sweep(s, d).select("job_id", "verdict")
+
+
+@query(f"SELECT count(*) FILTER (verdict = 'sweep') AS targets, count(*) FILTER (verdict <> 'sweep') AS skipped, count(*) FILTER (verdict = 'sweep') > 50 AS tripped FROM ({_SWEEP})")
+def prd18_sweep_breaker(s, d):
+    return jobs.sweep_summary(_sweep(s, d), 50)
 
 
 @query("SELECT event_id, level, type FROM v_logs WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp <= TIMESTAMP '2024-01-20' AND level = 'info' AND starts_with(type, 'api.')")

@@ -322,6 +322,22 @@ def rsh04_gantt_progress(s, d):
     return v.table(s, d, "orders").select("o_orderkey", F.when(p > 1, F.least(p / 100, F.lit(1.0))).otherwise(p).alias("progress"))
 
 
+@query("""SELECT o_custkey AS table_id, o_orderkey AS row_no, concat('T', o_orderkey) AS label, o_orderdate AS start, o_orderdate + INTERVAL 3 DAY AS "end",
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN least(1.0, (o_orderkey % 150) / 100.0) WHEN o_orderkey % 300 > 1 THEN least(1.0, (o_orderkey % 300) / 100.0) ELSE o_orderkey % 300 END AS progress,
+  [CAST(o_orderkey - 1 AS VARCHAR), CAST(o_orderkey - 2 AS VARCHAR)] AS dependencies FROM orders WHERE o_orderkey % 7 <> 0""")
+def rsh04_gantt_tasks(s, d):
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    later = "date_format(date_add(o_orderdate, 3), 'dd.MM.yyyy')"
+    share = "CASE WHEN o_orderkey % 5 = 0 THEN 'open' WHEN o_orderkey % 2 = 0 THEN concat(o_orderkey % 150, '%') ELSE cast(o_orderkey % 300 as string) END"
+    needs, begin = "concat(o_orderkey - 1, ' ;, ', o_orderkey - 2)", f"CASE WHEN o_orderkey % 7 = 0 THEN '2001-13-45' ELSE {day} END"
+    turned = F.col("o_custkey") % 2 == 0
+    header = F.when(turned, F.array(*map(F.lit, ("Due date", "Predecessors", "Name", "Status", "Begins", "Task")))).otherwise(F.array(*map(F.lit, ("No header", "Start", "Finish", "% complete", "Depends on", "Other"))))
+    first = F.expr(f"array({later}, {needs}, concat('T', o_orderkey), {share}, {begin}, 'x')")
+    second = F.expr(f"array(concat('T', o_orderkey), {begin}, {later}, {share}, {needs}, 'x')")
+    rows = v.table(s, d, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderkey").alias("row_no"), header.alias("header"), F.when(turned, first).otherwise(second).alias("cells"))
+    return charts.gantt_tasks(rows, dates=("yyyy-MM-dd", "dd.MM.yyyy"))
+
+
 _VALUES = "SELECT year(o_orderdate) AS label, o_orderpriority AS series, sum(floor(o_totalprice) * CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END) AS value FROM orders GROUP BY 1, 2"
 
 

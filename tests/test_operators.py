@@ -256,3 +256,21 @@ def test_export_reports(spark):
     files = spark.createDataFrame([("x", "g"), ("y", "g"), ("z", "h")], "file string, g string")
     found = spark.createDataFrame([("x", "error"), ("x", "warning"), ("z", "warning")], "file string, severity string")
     assert sorted(map(tuple, reports.validation_totals(files, found, "g").collect())) == [("g", 2, 1, 1, False), ("h", 1, 0, 1, True)]
+
+
+def test_gantt_rows(spark):
+    rows = [(1, 1, ["Plan", "Start", "End", "Progress"], ["a", "2024-01-01", "2024-01-02", "50"]), (1, 2, ["Plan", "Start", "End", "Progress"], ["b", "2024-01-01"]), (1, 3, ["x", "Start", "End"], [None, "2024-01-01", "2024-01-02"]),
+            (2, 1, ["Plan", "Start"], ["a", "2024-01-01"]), (3, 1, ["Task", "Begin", "Due", None], ["", "2024-01-01", "2024-01-01", "1"]), (4, 1, None, None)]
+    df = spark.createDataFrame(rows, "table_id long, row_no long, header array<string>, cells array<string>")
+    got = [(r["table_id"], r["row_no"], r["label"], r["progress"], r["dependencies"]) for r in charts.gantt_tasks(df).collect()]
+    assert sorted(got) == [(1, 1, "a", 0.5, []), (1, 3, "Task 3", None, [])]
+    assert charts.gantt_tasks(df, selected=[0, 1]).count() == 0
+
+
+def test_sweep_gates(spark):
+    now = 1_700_000_000
+    rows = [("run-%d-x" % (now - 100), "ci", "r"), ("run-%d-x" % (now - 101), "ci", "r"), ("run-1-x", None, "r"), ("mine", "ci", "r"), ("run-1-x", "ci", " "), (None, "ci", "r")]
+    df = spark.createDataFrame(rows, "name string, scope string, run_id string")
+    got = jobs.sweep_verdicts(df, scope="ci", now="2023-11-14 22:13:20", ttl_seconds=100, title="^run-([0-9]+)-")
+    assert [r["verdict"] for r in got.collect()] == ["within-ttl", "sweep", "wrong-scope", "name-mismatch", "no-marker", "name-mismatch"]
+    assert [tuple(jobs.sweep_summary(got, n).first()) for n in (0, 1)] == [(1, 5, True), (1, 5, False)]
