@@ -323,7 +323,7 @@ def rsh04_gantt_progress(s, d):
 
 
 @query("""SELECT o_custkey AS table_id, o_orderkey AS row_no, concat('T', o_orderkey) AS label, o_orderdate AS start, o_orderdate + INTERVAL 3 DAY AS "end",
-  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN least(1.0, (o_orderkey % 150) / 100.0) WHEN o_orderkey % 300 > 1 THEN least(1.0, (o_orderkey % 300) / 100.0) ELSE o_orderkey % 300 END AS progress,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 150 > 100 THEN (o_orderkey % 150) / 10000.0 ELSE (o_orderkey % 150) / 100.0 END WHEN o_orderkey % 300 > 1 THEN least(1.0, (o_orderkey % 300) / 100.0) ELSE o_orderkey % 300 END AS progress,
   [CAST(o_orderkey - 1 AS VARCHAR), CAST(o_orderkey - 2 AS VARCHAR)] AS dependencies FROM orders WHERE o_orderkey % 7 <> 0""")
 def rsh04_gantt_tasks(s, d):
     day = "date_format(o_orderdate, 'yyyy-MM-dd')"
