@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, minhash, pii, piece_bpe, quality, token_file, topk, toxicity
+from tessera.llm import chat, decontaminate, fim, language, minhash, pii, piece_bpe, quality, token_file, topk, toxicity
 from tessera.llm.common import held_out_bucket, read_table
 
 
@@ -69,8 +69,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_chat, op4_piece_bpe, op5_topk, op6_quality, op7_toxicity, op8_language, op9_token_file, op10_minhash)
+    for f in (
+        op1_pii, op2_decontaminate, op3_chat, op4_piece_bpe, op5_topk, op6_quality, op7_toxicity, op8_language, op9_token_file, op10_minhash,
+        op13_fim,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}
