@@ -12,8 +12,9 @@ Plan. Matches are exploded with their places, window sums of their lengths turn
 requests join by ordinal, and the two offsets of a document are aggregated and cut out with ``substring``. So
 that a text of a million units is not a million shuffled rows, this runs at two levels: runs of ``RUN`` units
 first (a row a run: its place and length), and single units only inside the runs that a request falls into.
-Every unit is matched and counted; only lengths, the runs asked for and, in the last join, each text once are
-shuffled. All keys are row numbers of a written table, so no key repeats and repeated rows stay apart.
+Every unit is matched and counted. Texts are shuffled once, by row: what counts their units and what cuts them
+reads the same exchange; besides it only requests and the runs asked for are shuffled. All keys are row numbers
+of a written table, so no key repeats and repeated rows stay apart.
 
 Drawing is by the sha256 of ``seed`` and the decimal doc_id, so it does not depend on partitions or other rows.
 
@@ -34,7 +35,7 @@ POINT, WORD = r"(?s:.)", r"\s*\S+|\s+"
 #: Fixed values of the contract: the marks.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Units of a run.
-RUN = 32
+RUN = 64
 
 
 def draws(doc_id: Column, seed: str) -> list[Column]:
@@ -53,9 +54,10 @@ def offsets(texts: DataFrame, requests: DataFrame, *, unit: str = POINT, run: in
     ``texts`` has row, text and wanted (the ordinals asked for); ``requests`` has row, side and ordinal, from 1.
     """
     place = lambda ordinal: F.floor((ordinal - 1) / F.lit(run)).cast("int")
-    runs = texts.select("row", "wanted", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?:(?>{unit})){{1,{run}}}+"), F.lit(0))).alias("number", "span"))
+    # Outer, as it says nothing about the texts that could be tested before they are joined.
+    runs = texts.select("row", "wanted", F.posexplode_outer(F.when(F.col("wanted").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?:(?>{unit})){{1,{run}}}+"), F.lit(0)))).alias("number", "span"))
     asked = F.exists("wanted", lambda o: (o > 0) & (place(o) == F.col("number")))
-    lengths = runs.select("row", "number", F.char_length("span").cast("long").alias("chars"), F.when(asked, F.col("span")).alias("span"))
+    lengths = runs.filter("number is not null").select("row", "number", F.char_length("span").cast("long").alias("chars"), F.when(asked, F.col("span")).alias("span"))
     earlier = Window.partitionBy("row").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     summed = lengths.withColumn("before", F.coalesce(F.sum("chars").over(earlier), F.lit(0)))
     hit = summed.filter(F.col("span").isNotNull()).select("row", "number", "before", "span")
@@ -68,28 +70,29 @@ def offsets(texts: DataFrame, requests: DataFrame, *, unit: str = POINT, run: in
     return ends.filter("unit = ordinal").select("row", "side", "at")
 
 
-def transform(docs: DataFrame, *, unit: str = POINT, drawn: int = 90, spm: int = 20, seed: str = "1:", run: int = RUN) -> DataFrame:
+def transform(docs: DataFrame, *, unit: str = POINT, drawn: int = 90, spm: int = 20, seed: str = "1:", run: int = RUN, written: bool = False) -> DataFrame:
     """doc_id, text, n, form, prefix_chars, middle_chars and output of each document.
 
-    ``drawn`` of a hundred documents are transformed, ``spm`` of a hundred of these in that order.
+    ``drawn`` of a hundred documents are transformed, ``spm`` of a hundred of these in that order. ``written`` says
+    that ``docs`` is a table as it was written, which gives the same rows in the same partitions each time it is
+    read; anything else is written to the shared folder first.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = (rows if written else cut(rows, "fim-rows")).withColumn("row", F.monotonically_increasing_id())
     h = draws(F.col("doc_id"), seed)
     a, b = (F.pmod(x, F.col("n") + 1) for x in h[:2])
     marked = F.instr("text", PREFIX) + F.instr("text", SUFFIX) + F.instr("text", MIDDLE) > 0
     plain = (F.col("text") == "") | marked | (F.pmod(h[2], F.lit(100)) >= drawn)
     form = F.when(plain, "plain").when(F.pmod(h[3], F.lit(100)) < spm, "spm").otherwise("psm")
-    base = cut(
-        rows.withColumn("n", unit_count(F.col("text"), unit)).withColumn("form", form)
-        .withColumn("small", F.least(a, b)).withColumn("large", F.greatest(a, b)),
-        "fim-rows",
-    )
-    cutting = base.filter("form <> 'plain'")
-    requests = cutting.select("row", F.explode(F.create_map(F.lit("small"), "small", F.lit("large"), "large")).alias("side", "ordinal"))
-    found = offsets(cutting.select("row", "text", F.array("small", "large").alias("wanted")), requests, unit=unit, run=run)
+    asked = rows.withColumn("n", unit_count(F.col("text"), unit)).select("row", "doc_id", "n", form.alias("form"), F.least(a, b).alias("small"), F.greatest(a, b).alias("large"))
+    asked = cut(asked, "fim-asked")
+    requests = asked.filter("form <> 'plain'").select("row", F.explode(F.create_map(F.lit("small"), "small", F.lit("large"), "large")).alias("side", "ordinal"))
+    # The texts meet their requests by row, and stay dealt by it: runs, their sums and the last join need no other exchange of texts.
+    texts = rows.select("row", "text")
+    wanted = asked.select("row", F.when(F.col("form") != "plain", F.array("small", "large")).alias("wanted"))
+    found = offsets(texts.join(wanted.hint("shuffle_hash"), "row"), requests, unit=unit, run=run)
     of_row = found.groupBy("row").agg(F.max(F.when(F.col("side") == "small", F.col("at"))).alias("p"), F.max(F.when(F.col("side") == "large", F.col("at"))).alias("q"))
-    joined = base.join(of_row.hint("shuffle_hash"), "row", "left")
+    joined = texts.join(asked.join(of_row, "row", "left").hint("shuffle_hash"), "row")
     p, q = (F.when(F.col("form") != "plain", F.coalesce(c, F.lit(0))) for c in ("p", "q"))
     return joined.select("doc_id", "text", "n", "form", p.alias("prefix_chars"), (q - p).alias("middle_chars")).withColumn("output", arranged())
 

@@ -74,7 +74,7 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fim.transform(read_table(spark, sf_dir, "documents"))
+    made = fim.transform(read_table(spark, sf_dir, "documents"), written=True)
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
