@@ -10,8 +10,8 @@ first. What a comparison finds is kept as the difference from the pivot (a bit f
 and the others), a fraction of a set's size. Where nodes around a pivot still lie in different components
 they are compared with each other, in blocks of bounded size, from those differences: intersections of two
 blocks are one matrix product, and only links that join two components leave the task. So no pair is a row
-of any table, and every pair of nodes that shares a bucket is decided on full sets. No text is joined but
-those of documents that share a bucket. Large pivots are salted. Components are found by contracting the
+of any table, and every pair of nodes that shares a bucket is decided on full sets. Texts are shuffled once,
+to meet the pivots that they are compared with. Large pivots are salted. Components are found by contracting the
 edge table round by round in the shared folder; nothing is collected.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-6; a pair at 0.9
@@ -261,27 +261,32 @@ def compare_around(pivots: DataFrame, percent: int, block: int = AROUND) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of each node that has an edge; the component is its least node.
+    """(node, component) of each node that has an edge; the component is one of its nodes, which stands for all.
 
-    Each round replaces every node by the least of itself and its neighbours and drops what became a
-    loop or a repeat: the edge table shrinks to nothing in a number of rounds about the logarithm of
-    the longest path.
+    Each round replaces every node by the first of itself and its neighbours, in an order that is drawn anew
+    for the round, and drops what became a loop or a repeat. Whatever the nodes' numbers, about half of a path
+    goes in a round (a star or a group of mutual neighbours goes whole), so the rounds are about the logarithm
+    of the longest path. Tables of earlier rounds are removed.
     """
     edges = cut(edges.filter("a <> b").distinct(), "near-edges")
-    found = None
+    found, turn = None, 0
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("n"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("n"), F.col("a").alias("v")))
-        least = cut(ends.groupBy("n").agg(F.min("v").alias("v")).select("n", F.least("n", "v").alias("to")), "near-least")
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        first = ends.groupBy("n").agg(F.min(drawn("v")).alias("best"))
+        least = cut(first.select("n", F.least("best", drawn("n"))["v"].alias("to")), "near-least")
         if found is None:
-            found = least.select(F.col("n").alias("node"), F.col("to").alias("component"))
+            found = cut(least.select(F.col("n").alias("node"), F.col("to").alias("component")), "near-found")
         else:
             moved = found.join(least.withColumnRenamed("n", "component"), "component", "left")
-            found = cut(moved.select("node", F.coalesce("to", "component").alias("component")), "near-found")
+            found, earlier = cut(moved.select("node", F.coalesce("to", "component").alias("component")), "near-found"), found
+            drop_cut(earlier)
         to_a, to_b = least.select(F.col("n").alias("a"), F.col("to").alias("x")), least.select(F.col("n").alias("b"), F.col("to").alias("y"))
         met = edges.join(to_a, "a").join(to_b, "b").filter("x <> y")
         rest = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-edges")
         drop_cut(edges)
-        edges = rest
+        drop_cut(least)
+        edges, turn = rest, turn + 1
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

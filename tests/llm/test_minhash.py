@@ -112,3 +112,52 @@ def test_deduplicate(spark, odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(7) == 1 and 8 not in ids and {0, 1, 2, 3} <= set(ids) and ids.count(None) == 2
     assert minhash.deduplicate(no_docs).count() == 0 and minhash.near_duplicates(no_docs).count() == 0
+
+
+def components_in_rounds(spark, monkeypatch, edges):
+    """Each node's component as the least node in it, and how many rounds were taken."""
+    made = []
+    monkeypatch.setattr(minhash, "cut", lambda df, tag, real=minhash.cut: (made.append(tag), real(df, tag))[1])
+    found = minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    least = {}
+    for r in found:
+        least[r["component"]] = min(r["node"], least.get(r["component"], r["node"]))
+    return {r["node"]: least[r["component"]] for r in found}, made.count("near-least")
+
+
+def test_a_path_in_the_order_of_its_nodes_takes_logarithmic_rounds(spark, monkeypatch):
+    got, rounds = components_in_rounds(spark, monkeypatch, [(i, i + 1) for i in range(2000)])
+    assert got == dict.fromkeys(range(2001), 0) and rounds <= 30
+
+
+def test_components_of_mixed_shapes(spark, monkeypatch):
+    r = random.Random(3)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1000 + j) for i in range(30) for j in range(i)] + [(3000 - i, 2999 - i) for i in range(500)]
+    edges += [(5000 + r.randrange(600), 5000 + r.randrange(600)) for _ in range(400)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got, rounds = components_in_rounds(spark, monkeypatch, edges)
+    met = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in met} and rounds <= 25
+
+
+def test_versions_of_one_text(spark, monkeypatch):
+    """Each of 24 versions changes one word of the one before: near in a row, far from end to end."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(24):
+        words[2 * i] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    made = []
+    monkeypatch.setattr(minhash, "cut", lambda df, tag, real=minhash.cut: (made.append(tag), real(df, tag))[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == plain(rows, 2)
+    assert made.count("near-least") <= 14
