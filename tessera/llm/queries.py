@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import align, chat, decontaminate, fim, language, minhash, pii, piece_bpe, quality, token_file, topk, toxicity
+from tessera.llm import align, chat, cosine, decontaminate, fim, language, minhash, pii, piece_bpe, quality, token_file, topk, toxicity
 from tessera.llm.common import held_out_bucket, read_table
 
 
@@ -69,6 +69,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -85,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_decontaminate, op3_chat, op4_piece_bpe, op5_topk, op6_quality, op7_toxicity, op8_language, op9_token_file, op10_minhash,
-        op12_align, op13_fim,
+        op11_cosine, op12_align, op13_fim,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL, "op11_cosine": cosine.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}
