@@ -35,7 +35,7 @@ POINT, WORD = r"(?s:.)", r"\s*\S+|\s+"
 #: Fixed values of the contract: the marks.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Units of a run.
-RUN = 64
+RUN = 32
 
 
 def draws(doc_id: Column, seed: str) -> list[Column]:
@@ -60,14 +60,16 @@ def offsets(texts: DataFrame, requests: DataFrame, *, unit: str = POINT, run: in
     lengths = runs.filter("number is not null").select("row", "number", F.char_length("span").cast("long").alias("chars"), F.when(asked, F.col("span")).alias("span"))
     earlier = Window.partitionBy("row").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     summed = lengths.withColumn("before", F.coalesce(F.sum("chars").over(earlier), F.lit(0)))
-    hit = summed.filter(F.col("span").isNotNull()).select("row", "number", "before", "span")
+    # In as many partitions as a shuffle has: each run becomes ``run`` rows, which its own size does not tell.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hit = summed.filter(F.col("span").isNotNull()).select("row", "number", "before", "span").repartition(parts, "row", "number")
     # A request meets its run by row and place; inside the run the units are counted one by one.
     met = requests.filter("ordinal > 0").withColumn("number", place(F.col("ordinal"))).join(hit, ["row", "number"])
-    units = met.select("row", "number", "side", "ordinal", "before", F.posexplode(F.regexp_extract_all("span", F.lit(unit), F.lit(0))).alias("k", "match"))
+    units = met.select("row", "number", "side", "before", (F.pmod(F.col("ordinal") - 1, F.lit(run))).cast("int").alias("wanted"), F.posexplode(F.regexp_extract_all("span", F.lit(unit), F.lit(0))).alias("k", "match"))
     so_far = Window.partitionBy("row", "number", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    counted = units.select("row", "side", "ordinal", (F.col("number") * run + F.col("k") + 1).alias("unit"), "before", F.char_length("match").cast("long").alias("chars"), "number", "k")
+    counted = units.select("row", "number", "side", "before", "wanted", "k", F.char_length("match").alias("chars"))
     ends = counted.withColumn("at", F.col("before") + F.sum("chars").over(so_far))
-    return ends.filter("unit = ordinal").select("row", "side", "at")
+    return ends.filter("k = wanted").select("row", "side", "at")
 
 
 def transform(docs: DataFrame, *, unit: str = POINT, drawn: int = 90, spm: int = 20, seed: str = "1:", run: int = RUN, written: bool = False) -> DataFrame:
@@ -86,12 +88,12 @@ def transform(docs: DataFrame, *, unit: str = POINT, drawn: int = 90, spm: int =
     form = F.when(plain, "plain").when(F.pmod(h[3], F.lit(100)) < spm, "spm").otherwise("psm")
     asked = rows.withColumn("n", unit_count(F.col("text"), unit)).select("row", "doc_id", "n", form.alias("form"), F.least(a, b).alias("small"), F.greatest(a, b).alias("large"))
     asked = cut(asked, "fim-asked")
-    requests = asked.filter("form <> 'plain'").select("row", F.explode(F.create_map(F.lit("small"), "small", F.lit("large"), "large")).alias("side", "ordinal"))
+    requests = asked.filter("form <> 'plain'").select("row", F.posexplode(F.array("small", "large")).alias("side", "ordinal"))
     # The texts meet their requests by row, and stay dealt by it: runs, their sums and the last join need no other exchange of texts.
     texts = rows.select("row", "text")
     wanted = asked.select("row", F.when(F.col("form") != "plain", F.array("small", "large")).alias("wanted"))
     found = offsets(texts.join(wanted.hint("shuffle_hash"), "row"), requests, unit=unit, run=run)
-    of_row = found.groupBy("row").agg(F.max(F.when(F.col("side") == "small", F.col("at"))).alias("p"), F.max(F.when(F.col("side") == "large", F.col("at"))).alias("q"))
+    of_row = found.groupBy("row").agg(F.max(F.when(F.col("side") == 0, F.col("at"))).alias("p"), F.max(F.when(F.col("side") == 1, F.col("at"))).alias("q"))
     joined = texts.join(asked.join(of_row, "row", "left").hint("shuffle_hash"), "row")
     p, q = (F.when(F.col("form") != "plain", F.coalesce(c, F.lit(0))) for c in ("p", "q"))
     return joined.select("doc_id", "text", "n", "form", p.alias("prefix_chars"), (q - p).alias("middle_chars")).withColumn("output", arranged())
