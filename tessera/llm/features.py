@@ -7,14 +7,24 @@ import sys
 
 import numpy as np
 
+#: Runs of letters and numerals; nearly all are letters only.
+_RUN = re.compile(r"[^\W\d_]+")
 #: Signs such as superscripts and fractions: numbers to the pattern's classes, but not decimal digits, and no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-#: Words are runs of letters; a longer run goes on as a further word.
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]{{1,24}}")
+_NUMERALS = dict.fromkeys((i for i in range(sys.maxunicode + 1) if chr(i).isnumeric() and not chr(i).isdecimal() and not chr(i).isalpha()), " ")
+#: Letters of a word; a longer run goes on as a further word.
+LONGEST = 24
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text in small letters: runs of letters, in parts of ``LONGEST``."""
+    found = _RUN.findall(text.lower())
+    if all(map(str.isalpha, found)) and max(map(len, found), default=0) <= LONGEST:
+        return found
+    out = []
+    for run in found:
+        for w in (run,) if run.isalpha() else run.translate(_NUMERALS).split():
+            out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    return out
 
 
 def grams(items: list[str], sizes: tuple[int, ...], bits: int, whole: bool = True) -> np.ndarray:
