@@ -97,6 +97,91 @@ def test_contexts_are_the_nearest_words(text, window):
     assert {(s, e) for *_, s, e in pii.contexts(text, spans, window)} == want
 
 
+def plain_terms(rows, window=8, disclosure=0.9, min_support=3):
+    """(doc_id, start, end, shown) of every disclosing term, counted over all rows in plain loops."""
+    from collections import Counter, defaultdict
+    from math import log2
+
+    word = re.compile(r"[^\W\d_]{3,}")
+    entities, df, df_e, co, passages = {}, Counter(), Counter(), Counter(), defaultdict(set)
+    for i, (_, text) in enumerate(rows):
+        df.update({w.lower() for w in word.findall(text)})
+        spans = [(k, s, e) for k, xs in plain(text).items() for s, e in xs]
+        key = lambda k, s, e: f"{k}:{text[s:e].lower() if k == 'email' else text[s:e] if k == 'ip' else digits(text[s:e])}"  # noqa: B023, E731
+        entities[i] = {key(*x) for x in spans}
+        df_e.update(entities[i])
+        seen = set()
+        for k, s, e in spans:
+            near = [m.span() for m in word.finditer(text, 0, s)][-window:] + [m.span() for m in word.finditer(text, e)][:window]
+            words = [text[a:b].lower() for a, b in near if not any(a < y and x < b for _, x, y in spans)]
+            seen |= {(key(k, s, e), w, tuple(words)) for w in words}
+        co.update((e, t) for e, t, _ in seen)
+        for e, t, p in seen:
+            passages[e, t].add(p)
+    n, shown = len(rows), defaultdict(dict)
+    reveals = lambda c, d, e: log2(n * min(c, d) / (d * df_e[e])) >= disclosure * log2(n / df_e[e])
+    for (e, t), c in co.items():
+        if len(passages[e, t]) >= min_support and n > df_e[e] and reveals(c, df[t], e):
+            group = sum(d for w, d in df.items() if w[:3] == t[:3])
+            shown[e][t] = "[REMOVED]" if reveals(c, group, e) else t[:3] + "*"
+    out = []
+    for i, (doc_id, text) in enumerate(rows):
+        put = {}
+        for e in entities[i]:
+            for t, x in shown[e].items():
+                put[t] = x if put.get(t) != "[REMOVED]" else put[t]
+        spans = [x for xs in plain(text).values() for x in xs]
+        left = "".join(" " if any(s <= k < e for s, e in spans) else c for k, c in enumerate(text))
+        out += [(doc_id, m.start(), m.end(), put[m.group().lower()]) for m in word.finditer(left) if m.group().lower() in put]
+    return sorted(out)
+
+
+def random_docs(seed):
+    import random
+
+    r = random.Random(seed)
+    common = ["alpha", "beta", "gamma", "delta", "kappa", "omega", "sigma", "theta", "alps", "betray", "gamble"]
+    people = [("ann@x.example", ["zorblax", "quibble"]), ("+1 555 123 4567", ["zorblax", "alphorn"]), ("10.1.2.3", ["betatron", "gamut", "Zorbing"])]
+    rows = []
+    for i in range(160):
+        words = [r.choice(common) for _ in range(r.randrange(3, 40))]
+        if r.random() < 0.35:
+            for entity, terms in r.sample(people, r.choice([1, 1, 2])):
+                words.insert(r.randrange(len(words) + 1), " ".join([r.choice(terms), r.choice(common), entity, r.choice(terms)]))
+                words += [r.choice(common)] * 9 + [r.choice(terms)]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_terms_are_those_of_a_plain_count(spark):
+    kinds = set()
+    for seed in range(3):
+        rows = random_docs(seed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r["doc_id"], t["start"], t["end"], t["shown"]) for r in pii.find_spans(docs).collect() for t in r["terms"])
+        want = plain_terms(rows)
+        assert got == want
+        kinds |= {x[3][-1] for x in want}
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+        for doc_id, s, e, _ in want:
+            assert not re.search(rf"\b{dict(rows)[doc_id][s:e]}\b", clean[doc_id])
+    assert kinds == {"]", "*"}
+
+
+def test_thousands_of_spans_in_one_text(spark):
+    from time import perf_counter
+
+    text = " ".join(f"name{i} person{i}@mail{i % 7}.example phone number" for i in range(30_000))
+    begin = perf_counter()
+    spans = pii.base_spans(text)
+    assert len(spans["email"]) == 30_000
+    assert len(pii.contexts(text, spans, 8)) > 290_000
+    assert len(pii.occurrences(text, spans, {"phone": "x"})) == 30_000
+    assert perf_counter() - begin < 20
+    rows = [(1, text), (2, "plain")]
+    assert pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_email = 30000").count() == 1
+
+
 def test_sanitise_without_doc_ids(spark):
     docs = docs_with_an_entity(spark)
     nameless = docs.selectExpr("cast(null as bigint) as doc_id", "text")
