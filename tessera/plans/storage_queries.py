@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions.markup import Budget
-from tessera.operators import storage
+from tessera.operators import schema, storage
 from tessera.plans import views as v
 from tessera.plans.register import query
 
@@ -84,3 +84,48 @@ def str10_page_links(s, d):
 def str10_resolved_links(s, d):
     found = storage.links(storage.nodes_of(_storage(s, d), "storage"))
     return storage.resolved_links(found, v.pages(s, d)).drop("at")
+
+
+#: A further node of the tree that each document is, and the faults that it has: (path below the node, code, what).
+_TREES = [
+    ('{"type":"heading","attrs":{"level":2},"content":[{"type":"text","text":"h","marks":[{"type":"strong"}]}]}', []),
+    ('{"type":"heading","attrs":{"level":7,"colour":"x"}}', [(".attrs.level", "invalid-attributes", "level"), ("", "unknown-attribute", "colour")]),
+    ('{"type":"panel","attrs":{"panelType":"loud"},"extra":1,"content":[{"type":"sparkle"}]}', [(".attrs.panelType", "invalid-attributes", "panelType"), ("", "unknown-attribute", "extra"), (".content[0]", "unknown-node", "sparkle")]),
+    ('{"type":"codeBlock","marks":[{"type":"breakout","attrs":{"mode":"wide"}}],"content":[{"type":"text","text":"x","marks":[{"type":"em"}]},{"type":"rule"}]}', [(".content[0].marks", "invalid-node", "text"), (".content[1]", "invalid-node", "rule")]),
+    ('{"type":"expand","attrs":{"title":3},"marks":[{"type":"glow"}]}', [(".attrs.title", "invalid-attributes", "title"), (".content", "invalid-node", "expand"), (".marks[0]", "unknown-mark", "glow"), (".marks[0]", "invalid-node", "glow")]),
+    ('{"type":"table","attrs":{"width":"wide"},"content":[{"type":"tableRow","content":[{"type":"tableCell","attrs":{"colwidth":[1,"2"]}}]}]}', [(".attrs.width", "invalid-attributes", "width"), (".content[0].content[0].attrs.colwidth", "invalid-attributes", "colwidth")]),
+    ('{"type":"extensionFrame","content":[{"type":"expand","content":[{"type":"paragraph"}]}]}', [("", "invalid-node", "extensionFrame"), (".content[0]", "invalid-node", "expand")]),
+    ('{"type":"paragraph","content":[{"type":"text"},{"type":"status","attrs":{"text":"","color":"pink"}},{"type":"inlineCard"}]}', [(".content[0]", "invalid-node", "text"), (".content[1].attrs.text", "invalid-attributes", "text"), (".content[1].attrs.color", "invalid-attributes", "color"), (".content[2].attrs", "invalid-attributes", "inlineCard")]),
+]
+_BROKEN = {0: ('{"type":"doc","version":1,', "invalid-json", "$"), 1: ('{"type":"doc","version":2,"content":[]}', "unsupported-version", "$.version"), 2: ('{"type":"page","content":[]}', "invalid-root", "$"), 3: ('{"type":"doc","version":1,"content":[7]}', "invalid-node", "$.content[0]")}
+
+
+def _trees(s, d):
+    """A tree of each document: its whole text in a paragraph, and a further node by its id; every eleventh cannot be read."""
+    doc = v.table(s, d, "documents").select("doc_id", "text")
+    node = F.element_at(F.array(*(F.lit(t) for t, _ in _TREES)), (F.col("doc_id") % len(_TREES)).cast("int") + 1)
+    broken = F.element_at(F.array(*(F.lit(t) for t, _, _ in _BROKEN.values())), (F.col("doc_id") % 4).cast("int") + 1)
+    said = F.to_json(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")))
+    whole = F.concat(F.lit('{"type":"doc","version":1,"content":[{"type":"paragraph","content":['), said, F.lit("]},"), node, F.lit("]}"))
+    return doc.select("doc_id", F.when(F.col("doc_id") % 11 == 0, broken).otherwise(whole).alias("tree"))
+
+
+def _faults_sql() -> str:
+    kinds = " ".join(f"WHEN {i} THEN [{', '.join(f'''{{'path': '$.content[1]{p}', 'code': '{c}', 'what': '{w}'}}''' for p, c, w in faults)}]" for i, (_, faults) in enumerate(_TREES) if faults)
+    return f"SELECT doc_id, unnest(CASE doc_id % {len(_TREES)} {kinds} END, recursive := true) FROM documents WHERE doc_id % 11 <> 0"
+
+
+@query(f"SELECT doc_id, path, code, what FROM ({_faults_sql()})")
+def val03_tree_violations(s, d):
+    return schema.violations(schema.tree_rows(_trees(s, d), "tree"))
+
+
+@query("SELECT doc_id, " + " ".join(f"{'CASE' if i == 0 else ''} WHEN doc_id % 11 = 0 AND doc_id % 4 = {i} THEN '{c}'" for i, (_, c, _) in _BROKEN.items()) + " ELSE 'ok' END AS verdict, "
+       + " ".join(f"{'CASE' if i == 0 else ''} WHEN doc_id % 11 = 0 AND doc_id % 4 = {i} THEN '{p}'" for i, (_, _, p) in _BROKEN.items()) + " ELSE '$' END AS path FROM documents")
+def val03_tree_verdicts(s, d):
+    return schema.verdicts(schema.tree_rows(_trees(s, d), "tree"))
+
+
+@query(f"SELECT code, count(*) AS faults, count(DISTINCT doc_id) AS documents FROM ({_faults_sql()}) GROUP BY code")
+def val03_faults_by_code(s, d):
+    return schema.violations(schema.tree_rows(_trees(s, d), "tree")).groupBy("code").agg(F.count(F.lit(1)).alias("faults"), F.count_distinct("doc_id").alias("documents"))
