@@ -272,9 +272,9 @@ def components(edges: DataFrame) -> DataFrame:
     found, turn = None, 0
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("n"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("n"), F.col("a").alias("v")))
-        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        first = ends.groupBy("n").agg(F.min(drawn("v")).alias("best"))
-        least = cut(first.select("n", F.least("best", drawn("n"))["v"].alias("to")), "near-least")
+        drawn = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
+        first = ends.groupBy("n").agg(F.min_by("v", drawn("v")).alias("v"))
+        least = cut(first.select("n", F.when(drawn("n") <= drawn("v"), F.col("n")).otherwise(F.col("v")).alias("to")), "near-least")
         if found is None:
             found = cut(least.select(F.col("n").alias("node"), F.col("to").alias("component")), "near-found")
         else:
