@@ -89,3 +89,8 @@ def search_date(text: str, as_of: Column) -> Column:
         n = int(text[:-1])
         return F.add_months(day, -n) if text[-1] == "m" else F.date_sub(day, n * (7 if text[-1] == "w" else 1))
     return F.to_date(F.lit(text))
+
+
+def worklog_date(at: Column) -> Column:
+    """A time as work logs write it: with milliseconds and ``+0000`` instead of ``Z`` (the session's zone is UTC)."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSxx")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +9,40 @@ from tessera.functions.texts import resolved_path, slug
 from tessera.operators.ranks import beside, placed, saved
 
 
+def cycle_heads(nodes: DataFrame) -> DataFrame:
+    """(id): the least node of each cycle among (id, up); nodes below a cycle are not on it.
+
+    Every node learns the node 1, 2, 4, 8, ... steps up and the least one on the way; who still has one above after
+    more steps than there are nodes stands below a cycle, and where it has got to is on it. Nothing but these
+    pairs is joined, in a number of rounds that is the logarithm of the depth (of the nodes, where there is a cycle).
+    """
+    jump = saved(nodes.select("id", "up", F.col("id").alias("least")))
+    total, steps = jump.count(), 1
+    while steps <= total and not jump.filter("up is not null").isEmpty():
+        on = jump.select(F.col("id").alias("up"), F.col("up").alias("then"), F.col("least").alias("other"))
+        jump = saved(jump.join(on, "up", "left").select("id", F.col("then").alias("up"), F.least("least", "other").alias("least")))
+        steps *= 2
+    on_cycle = jump.filter("up is not null").select(F.col("up").alias("id")).distinct()
+    return saved(jump.join(on_cycle, "id", "left_semi").filter("id = least").select("id"))
+
+
 def expand_levels(nodes: DataFrame) -> DataFrame:
-    """(id, root, depth, path): each node's chain from its root, level by level, however deep.
+    """(id, root, depth, path): each node's chain from its root, however deep.
 
-    A level is one join of the frontier with its children, so the work follows the depth of the tree; each
-    level is checkpointed, so plans do not grow with it. A node without a parent, or whose parent is not
-    among the nodes, is a root. A node that is met again on its own path is a cycle and is not followed.
+    A node without a parent, or whose parent is not among the nodes, is a root. A cycle has no beginning: it is
+    cut above its least node, which becomes a root, so every node has its row. Chains double with each round, so a
+    tree of a thousand levels takes about ten; each round is checkpointed, so plans do not grow.
     """
-    ids = nodes.select(F.col("id").alias("known"))
-    children = saved(nodes.filter("parent_id is not null").select(F.col("id").alias("child"), "parent_id"))
-    orphans = children.join(ids, F.col("parent_id") == F.col("known"), "left_anti").select(F.col("child").alias("id"))
-    roots = nodes.filter("parent_id is null").select("id").unionByName(orphans)
-    level = saved(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path")))
-    out = []
-    while not level.isEmpty():
-        out.append(level)
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    linked = saved(nodes.select("id", F.col("parent_id").alias("up")).join(known, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("up")))
+    heads = cycle_heads(linked).select("id", F.lit(True).alias("head"))
+    level = saved(linked.join(heads, "id", "left").select("id", F.when(F.col("head").isNull(), F.col("up")).alias("up"), F.array("id").alias("path")))
+    while not level.filter("up is not null").isEmpty():
+        above = level.select(F.col("id").alias("up"), F.col("up").alias("then"), F.col("path").alias("head_path"))
         level = saved(
-            level.join(children, level["id"] == children["parent_id"]).filter(~F.array_contains("path", F.col("child")))
-            .select(F.col("child").alias("id"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
+            level.join(above, "up", "left").select("id", F.col("then").alias("up"), F.when(F.col("head_path").isNotNull(), F.concat("head_path", "path")).otherwise(F.col("path")).alias("path"))
         )
-    return reduce(DataFrame.unionByName, out, level)
+    return level.select("id", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def pre_order(tree: DataFrame, titles: DataFrame) -> DataFrame:

@@ -70,16 +70,21 @@ def stable_routes(previous: DataFrame, wanted: DataFrame, overrides: DataFrame |
 
     An override comes first; a page keeps its previous route (``kept``, or ``reactivated`` if it was a tombstone,
     or ``changed`` where an override differs); routes of pages that are no longer wanted become tombstones and
-    stay taken. New pages choose in the order of base route and id: the base, the base with the page's own
-    suffix, then that with -2, -3, ...; routes compare without regard to case. All choose side by side: a route
-    that several ask for goes to the first in that order, and the others ask for their next one, which gives
-    each page what it would get in turn.
+    stay taken. An override onto a route that another page has, or that another override asks for, is told as a
+    ``collision`` and otherwise left out, so no route ever has two owners. New pages choose in the order of base
+    route and id: the base, the base with the page's own suffix, then that with -2, -3, ...; routes compare without
+    regard to case. All choose side by side: a route that several ask for goes to the first in that order, and the
+    others ask for their next one, which gives each page what it would get in turn.
     """
     if "state" not in previous.columns:
         previous = previous.withColumn("state", F.lit("active"))
     if overrides is None:
         overrides = wanted.select("source_id", F.col("base").alias("route")).limit(0)
-    custom = overrides.select("source_id", F.col("route").alias("custom")).join(wanted.select("source_id"), "source_id", "left_semi")
+    asked_for = overrides.select("source_id", F.col("route").alias("custom")).join(wanted.select("source_id"), "source_id", "left_semi")
+    owners = asked_for.select(F.lower("custom").alias("key"), "source_id").union(previous.select(F.lower("route"), "source_id")).distinct()
+    shared = owners.groupBy("key").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1").select("key")
+    collisions = saved(asked_for.join(shared, F.lower("custom") == F.col("key"), "left_semi"))
+    custom = asked_for.join(collisions.select("source_id"), "source_id", "left_anti")
     held = wanted.join(previous, "source_id").join(custom, "source_id", "left")
     change = F.when(F.col("custom").isNotNull() & (F.col("custom") != F.col("route")), "changed").when(F.col("state") == "tombstone", "reactivated").otherwise("kept")
     kept = held.select("source_id", F.coalesce("custom", "route").alias("route"), change.alias("change"))
@@ -101,7 +106,8 @@ def stable_routes(previous: DataFrame, wanted: DataFrame, overrides: DataFrame |
         asking = asking.select("source_id", "base", "n")
     placed = asking.select("source_id", "route", F.lit("assigned").alias("change"))
     gone = previous.join(wanted.select("source_id"), "source_id", "left_anti").filter("state <> 'tombstone'").select("source_id", "route", F.lit("tombstoned").alias("change"))
-    return kept.unionByName(given).unionByName(placed).unionByName(gone)
+    told = collisions.select("source_id", F.col("custom").alias("route"), F.lit("collision").alias("change"))
+    return kept.unionByName(given).unionByName(placed).unionByName(gone).unionByName(told)
 
 
 def expand_includes(pages: DataFrame) -> DataFrame:
