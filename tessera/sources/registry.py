@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import documents
+
 Reader = Callable[..., DataFrame]
 _READERS: dict[str, Reader] = {}
 
@@ -72,10 +74,15 @@ def json_issues(spark: SparkSession, path: str) -> DataFrame:
 
 
 @reader("markdown")
-def markdown_tree(spark: SparkSession, path: str) -> DataFrame:
-    """path, frontmatter (a map), title and body of each markdown file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
-    text = files.select("path", F.decode("content", "utf-8").alias("text"))
+def markdown_tree(spark: SparkSession, path: str, pattern: str = "*.md", ignore: Sequence[str] = ()) -> DataFrame:
+    """path (below the folder), frontmatter (a map), title and body of each markdown file; ``ignore`` lists patterns as
+    for version control (``*.log``, ``drafts/``, ``!keep.md``). Ignored files are not read: the paths are judged first."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    below = F.regexp_replace(F.substring_index("path", f"{path.rstrip('/')}/", -1), "^/+", "")
+    if ignore:
+        rules = list(ignore)
+        files = files.filter(~documents.column(lambda p: documents.ignored(p, rules), "boolean")(below))
+    text = files.select(below.alias("path"), F.decode("content", "utf-8").alias("text"))
     return text.select("path", frontmatter(F.col("text")).alias("frontmatter"), body(F.col("text")).alias("body"), heading(F.col("text")).alias("title"))
 
 
@@ -136,9 +143,14 @@ def logs_from(spark: SparkSession, path: str, before: str | None = None) -> Data
 
 
 def migrate_state(spark: SparkSession, document: str) -> DataFrame:
-    """Pages of a legacy state document (an object by page id), with defaults for what it does not hold."""
+    """Pages of one legacy state document; see :func:`migrate_states`."""
+    return migrate_states(spark.createDataFrame([(document,)], "doc string"), "doc")
+
+
+def migrate_states(documents_: DataFrame, column: str) -> DataFrame:
+    """Pages of legacy state documents (an object by page id each), with defaults for what they do not hold."""
     entry = "struct<path:string,title:string,spaceKey:string,version:int,lastSyncedAt:string,localHash:string,remoteHash:string,baseHash:string,syncState:string>"
-    doc = spark.createDataFrame([(document,)], "doc string").select(F.from_json("doc", f"pages map<string,{entry}>").alias("d"))
+    doc = documents_.select(F.from_json(column, f"pages map<string,{entry}>").alias("d"))
     return doc.select(F.explode("d.pages").alias("page_id", "p")).select(
         "page_id", F.coalesce("p.path", F.concat(F.col("page_id"), F.lit(".md"))).alias("path"), F.coalesce("p.title", F.lit("Untitled")).alias("title"), F.coalesce("p.spaceKey", F.lit("")).alias("space_key"),
         F.coalesce("p.version", F.lit(1)).alias("version"), F.coalesce("p.syncState", F.lit("synced")).alias("sync_state"), F.coalesce("p.baseHash", F.lit("")).alias("base_hash"),
