@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions.markup import Budget
-from tessera.operators import schema, storage
+from tessera.operators import markdown, schema, storage
+from tessera.operators.ranks import saved
 from tessera.plans import views as v
 from tessera.plans.register import query
 
@@ -129,3 +130,26 @@ def val03_tree_verdicts(s, d):
 @query(f"SELECT code, count(*) AS faults, count(DISTINCT doc_id) AS documents FROM ({_faults_sql()}) GROUP BY code")
 def val03_faults_by_code(s, d):
     return schema.violations(schema.tree_rows(_trees(s, d), "tree")).groupBy("code").agg(F.count(F.lit(1)).alias("faults"), F.count_distinct("doc_id").alias("documents"))
+
+
+_MARKDOWN = "concat('# Title ', doc_id, '\\n\\n', CASE doc_id % 5 WHEN 0 THEN concat('- a ', doc_id, '\\n  - *b*\\n- c') WHEN 1 THEN concat('> q & **', doc_id, '**') WHEN 2 THEN concat('```sql\\nSELECT ', doc_id, ' < 2\\n```') WHEN 3 THEN concat('| k | v |\\n|---|---|\\n| `n` | ', doc_id, ' |') ELSE concat('see [it](http://x/', doc_id, ')\\n\\n---') END)"
+
+
+@query("""SELECT doc_id AS page_id, concat('<h1>Title ', doc_id, '</h1>', CASE doc_id % 5 WHEN 0 THEN concat('<ul><li>a ', doc_id, '<ul><li><em>b</em></li></ul></li><li>c</li></ul>') WHEN 1 THEN concat('<blockquote><p>q &amp; <strong>', doc_id, '</strong></p></blockquote>')
+  WHEN 2 THEN concat('<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">sql</ac:parameter><ac:plain-text-body><![CDATA[SELECT ', doc_id, ' < 2]]></ac:plain-text-body></ac:structured-macro>')
+  WHEN 3 THEN concat('<table><tbody><tr><th>k</th><th>v</th></tr><tr><td><code>n</code></td><td>', doc_id, '</td></tr></tbody></table>') ELSE concat('<p>see <a href="http://x/', doc_id, '">it</a></p><hr/>') END) AS storage FROM documents""")
+def str25_markdown_to_storage(s, d):
+    return markdown.to_storage(v.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.expr(_MARKDOWN).alias("text")), "text")
+
+
+@query("SELECT doc_id AS page_id, true AS same_markdown, true AS same_storage FROM documents")
+def str25_round_trips(s, d):
+    """Every whole document as markdown to storage and back, twice: the second time nothing changes."""
+    text = F.concat(F.expr(_MARKDOWN), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    pages = v.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), text.alias("text"))
+    once = saved(markdown.to_markdown(saved(markdown.to_storage(pages, "text")), "storage"))
+    stored = saved(markdown.to_storage(once, "markdown"))
+    twice = saved(markdown.to_markdown(stored, "storage"))
+    again = markdown.to_storage(twice, "markdown").select("page_id", F.col("storage").alias("again"))
+    met = once.join(twice.select("page_id", F.col("markdown").alias("then")), "page_id").join(stored, "page_id").join(again, "page_id")
+    return met.select("page_id", (F.col("markdown") == F.col("then")).alias("same_markdown"), (F.col("storage") == F.col("again")).alias("same_storage"))
