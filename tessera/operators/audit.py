@@ -56,6 +56,12 @@ def audit_summary(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("check"), "n") for k, df in parts.items()])
 
 
+def counters(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(check, n): how many rows meet each condition, all in one pass."""
+    one = rows.agg(*(F.count_if(c).alias(k.replace(".", "_")) for k, c in checks.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k.replace(".", "_")).alias("n")) for k in checks))).alias("x")).select("x.check", "x.n")
+
+
 def fix_plan(stale: DataFrame, orphans: DataFrame, archive_from: int = 24, delete_from: int = 12) -> DataFrame:
     """(action, page_id): label high-severity stale pages, archive old ones, delete old orphans."""
     old = orphans.select("page_id").join(stale.filter(F.col("months") >= delete_from).select("page_id"), "page_id", "left_semi")

@@ -99,3 +99,46 @@ def gantt_tasks(rows: DataFrame, *, locale: str = "en", dates: tuple[str, ...] =
         F.least(F.when(number > 1, number / 100).otherwise(number), F.when(number.isNotNull(), F.lit(1.0))).alias("progress"), parts.alias("dependencies"),
     )
     return found.filter((F.col("label") != "") & F.col("start").isNotNull() & F.col("end").isNotNull())
+
+
+#: The limits of a chart.
+ROWS, SERIES, POINTS, TASKS, TEXT = 2000, 64, 20_000, 5000, 10_000
+
+
+def value_issues(values: DataFrame) -> DataFrame:
+    """(chart, code, n) of charts of categories and points: rows of (chart, mode, series, label, value).
+
+    Categories must all have each of the chart's labels once; every count is pre-aggregated, and no chart is gathered.
+    """
+    text = F.trim(F.coalesce(F.col("label").cast("string"), F.lit("")))
+    bad = lambda what: F.count_if(what)
+    by_series = values.groupBy("chart", "mode", "series").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), bad(text == "").alias("empty"), bad(F.char_length(text) > TEXT).alias("long"),
+        bad(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))).alias("infinite"),
+    )
+    labels = values.groupBy("chart").agg(F.count_distinct("label").alias("all_labels"))
+    category = F.col("mode") == "categories"
+    found = by_series.join(labels, "chart").groupBy("chart", "mode").agg(
+        F.count(F.lit(1)).alias("series"), F.sum("n").alias("n"), F.max("all_labels").alias("labels"), F.count_if(category & ((F.col("n") != F.col("all_labels")) | (F.col("labels") != F.col("all_labels")))).alias("uneven"),
+        F.count_if(~category & (F.col("n") > ROWS)).alias("wide"), F.sum("empty").alias("empty"), F.sum("long").alias("long"), F.sum("infinite").alias("infinite"), F.count_if(F.trim(F.coalesce("series", F.lit(""))) == "").alias("nameless"),
+    )
+    over = lambda c, most: F.when(F.col(c) > most, F.col(c) - most).otherwise(0)
+    codes = {
+        "too-many-series": over("series", SERIES), "too-many-rows": F.when(category, over("labels", ROWS)).otherwise(F.col("wide")), "too-many-points": F.when(category, 0).otherwise(over("n", POINTS)), "uneven-series": F.col("uneven"),
+        "empty-label": F.when(category, F.col("empty")).otherwise(0), "long-text": F.col("long"), "not-finite": F.col("infinite"), "nameless-series": F.col("nameless"),
+    }
+    told = found.select("chart", F.explode(F.array(*(F.struct(F.lit(k).alias("code"), c.cast("long").alias("n")) for k, c in codes.items()))).alias("x"))
+    return told.select("chart", "x.code", "x.n").filter("n > 0")
+
+
+def task_issues(tasks: DataFrame) -> DataFrame:
+    """(chart, code, n) of charts of tasks: rows of (chart, id, label, start, end, progress); dates are ISO texts."""
+    iso = r"^\d{4}-\d{2}-\d{2}(T\S+)?$"
+    day = lambda c: F.when(F.col(c).rlike(iso), F.try_to_timestamp(c))
+    told = tasks.withColumn("from", day("start")).withColumn("to", day("end"))
+    sums = told.groupBy("chart").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.trim(F.coalesce("id", F.lit(""))) == "").alias("nameless"), F.count_if(F.col("from").isNull() | F.col("to").isNull()).alias("undated"),
+        F.count_if(F.col("to") < F.col("from")).alias("reversed"), F.count_if(~F.col("progress").between(0, 1)).alias("beyond"),
+    )
+    codes = {"too-many-tasks": F.when(F.col("n") > TASKS, F.col("n") - TASKS).otherwise(0), "repeated-id": F.col("n") - F.col("ids") - F.col("nameless"), "nameless-task": F.col("nameless"), "no-date": F.col("undated"), "ends-before-start": F.col("reversed"), "progress-beyond": F.col("beyond")}
+    return sums.select("chart", F.explode(F.array(*(F.struct(F.lit(k).alias("code"), c.cast("long").alias("n")) for k, c in codes.items()))).alias("x")).select("chart", "x.code", "x.n").filter("n > 0")
