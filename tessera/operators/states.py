@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,19 +128,26 @@ def expand_includes(pages: DataFrame) -> DataFrame:
 
 
 def least_loaded(units: DataFrame, bins: int) -> DataFrame:
-    """(unit, bin): units of a plan, heaviest first, each to the lightest bin; a plan's units are few and go together."""
-    import pandas as pd
-
-    def assign(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        load = [0.0] * bins
-        out = []
-        for plan, unit, weight in rows.sort_values(["weight", "unit"], ascending=[False, True])[["plan", "unit", "weight"]].itertuples(index=False):
-            b = min(range(bins), key=lambda i: (load[i], i))
-            load[b] += weight
-            out.append((plan, unit, b))
-        return pd.DataFrame(out, columns=["plan", "unit", "bin"])
-
-    return units.groupBy("plan").applyInPandas(assign, "plan long, unit long, bin int")
+    """(plan, unit, bin): units of a plan, heaviest first, each to the lightest bin, the first of equals.
+
+    A task reads its plans' units in this order one after the other and holds the loads of one plan's bins only, so
+    neither many plans nor a plan of any size is gathered.
+    """
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, heap = None, []
+        for frame in frames:
+            out = []
+            for plan, weight in zip(frame["plan"].tolist(), frame["weight"].tolist()):
+                if plan != current:
+                    current, heap = plan, [(0.0, i) for i in range(bins)]
+                load, b = heap[0]
+                heapq.heapreplace(heap, (load + weight, b))
+                out.append(b)
+            yield frame[["plan", "unit"]].assign(bin=out)
+
+    ordered = units.select("plan", "unit", F.col("weight").cast("double").alias("weight")).repartition("plan").sortWithinPartitions("plan", F.desc("weight"), "unit")
+    return ordered.mapInPandas(assign, "plan long, unit long, bin int")
 
 
 def claim_next(jobs: DataFrame, last_group: int | None, order: DataFrame) -> DataFrame:

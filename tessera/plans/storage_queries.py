@@ -73,10 +73,11 @@ def str10_storage_links(s, d):
     return storage.links(storage.nodes_of(_storage(s, d), "storage")).drop("at")
 
 
-@query("SELECT page_id, regexp_extract(a, 'href=\"([^\"]*)', 1) AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"[^\"]*')) AS a FROM pages) WHERE regexp_matches(a, 'href=\"(https?://|mailto:)')")
+@query("SELECT page_id, regexp_extract(a, 'href=\"([^\"]*)', 1) AS href FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<a [^>]*href=\"[^\"]*')) AS a FROM pages)")
 def str10_page_links(s, d):
-    """Addresses that the raw pages lead to, of every page."""
-    return storage.links(_html_nodes(s, d)).filter("kind = 'external'").select("page_id", "url")
+    """Where the anchors of every raw page lead to."""
+    href = F.try_element_at("attrs", F.lit("href"))
+    return _html_nodes(s, d).filter((F.col("name") == "a") & (F.col("kind") == "element") & href.isNotNull()).select("page_id", href.alias("href"))
 
 
 @query(f"""WITH l AS (SELECT * FROM ({_LINKS}) WHERE kind = 'internal'), p AS (SELECT doc_id, lang, concat('Page ', doc_id) AS title FROM documents)
