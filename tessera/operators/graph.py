@@ -26,11 +26,12 @@ def cycle_heads(nodes: DataFrame) -> DataFrame:
     return saved(jump.join(on_cycle, "id", "left_semi").filter("id = least").select("id"))
 
 
-def expand_levels(nodes: DataFrame) -> DataFrame:
+def expand_levels(nodes: DataFrame, cycles: bool = True) -> DataFrame:
     """(id, root, depth, path): each node's chain from its root, however deep.
 
     A node without a parent, or whose parent is not among the nodes, is a root. A cycle has no beginning: it is
-    cut above its least node, which becomes a root, so every node has its row. Chains double with each round, so a
+    cut above its least node, which becomes a root, so every node has its row (without ``cycles`` what is on or
+    below one is left out). Chains double with each round, so a
     tree of a thousand levels takes about ten; each round is checkpointed, so plans do not grow.
     """
     known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known"))
@@ -42,7 +43,8 @@ def expand_levels(nodes: DataFrame) -> DataFrame:
         level = saved(
             level.join(above, "up", "left").select("id", F.col("then").alias("up"), F.when(F.col("head_path").isNotNull(), F.concat("head_path", "path")).otherwise(F.col("path")).alias("path"))
         )
-    return level.select("id", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "path")
+    chains = level.select("id", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "path")
+    return chains if cycles else chains.join(heads.select(F.col("id").alias("root")), "root", "left_anti").select("id", "root", "depth", "path")
 
 
 def pre_order(tree: DataFrame, titles: DataFrame) -> DataFrame:

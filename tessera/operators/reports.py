@@ -20,7 +20,7 @@ def comment_counts(comments: DataFrame) -> DataFrame:
     threads = comments.select(F.col("id").alias("root"), "page_id", "kind")
     inline = F.col("kind") == "inline"
     return (
-        expand_levels(comments.select("id", "parent_id")).groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(threads, "root").groupBy("page_id")
+        expand_levels(comments.select("id", "parent_id"), cycles=False).groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(threads, "root").groupBy("page_id")
         .agg(F.coalesce(F.sum(F.when(~inline, F.col("n"))), F.lit(0)).alias("footer"), F.coalesce(F.sum(F.when(inline, F.col("n"))), F.lit(0)).alias("inline"), F.sum("n").alias("total"))
     )
 

@@ -93,9 +93,10 @@ def test_burndown_of_no_length(spark):
     assert [(r["remaining"], r["ideal"]) for r in agile.burndown(empty, 5.0, "2001-01-01", "2001-01-01").collect()] == [(5.0, None)]
 
 
-def test_cycles_are_not_followed(spark):
+def test_cycles_begin_at_their_least_node_or_are_left_out(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "id long, parent_id long")
-    assert {(r["id"], r["depth"]) for r in graph.expand_levels(nodes).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert {(r["id"], r["depth"]) for r in graph.expand_levels(nodes).collect()} == {(1, 0), (2, 1), (3, 2), (4, 0), (5, 1)}
+    assert {(r["id"], r["depth"]) for r in graph.expand_levels(nodes, cycles=False).collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
 def test_label_prune_spares_the_root(spark):
