@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 _ISSUE = r"((?:[A-Z][A-Z0-9]+)-\d+)"
 #: Fixed values: (product, type, where to look, pattern, fields of its groups); the first that matches holds.
 PATTERNS = [
-    ("confluence", "blogpost", "path", r"/spaces/([^/]+)/blog/\d{4}/\d{2}/\d{2}/(\d+)", ("space_key", "id")), ("confluence", "page", "path", r"/spaces/([^/]+)/pages/(\d+)", ("space_key", "id")),
-    ("confluence", "space", "path", r"/spaces/([^/]+?)(?:/overview)?/?$", ("space_key",)), ("confluence", "space", "path", r"(?:^|/)display/([^/]+)(?:/|$)", ("space_key",)),
-    ("jira", "issue", "path", rf"(?:^|/)browse/{_ISSUE}", ("id",)), ("jira", "board", "path", r"/jira/software/(?:c/)?projects/([A-Z][A-Z0-9]+)/boards/(\d+)", ("space_key", "id")),
-    ("jira", "issue", "whole", rf"[?&]selectedIssue={_ISSUE}", ("id",)), ("confluence", "page", "whole", r"(?:/wiki/|/pages/|/display/|viewpage\.action)[^?#]*[?&][^#]*?\bpageId=(\d+)", ("id",)),
+    ("content", "blogpost", "path", r"/spaces/([^/]+)/blog/\d{4}/\d{2}/\d{2}/(\d+)", ("space_key", "id")), ("content", "page", "path", r"/spaces/([^/]+)/pages/(\d+)", ("space_key", "id")),
+    ("content", "space", "path", r"/spaces/([^/]+?)(?:/overview)?/?$", ("space_key",)), ("content", "space", "path", r"(?:^|/)display/([^/]+)(?:/|$)", ("space_key",)),
+    ("work", "issue", "path", rf"(?:^|/)browse/{_ISSUE}", ("id",)), ("work", "board", "path", r"/jira/software/(?:c/)?projects/([A-Z][A-Z0-9]+)/boards/(\d+)", ("space_key", "id")),
+    ("work", "issue", "whole", rf"[?&]selectedIssue={_ISSUE}", ("id",)), ("content", "page", "whole", r"(?:/wiki/|/pages/|/display/|viewpage\.action)[^?#]*[?&][^#]*?\bpageId=(\d+)", ("id",)),
 ]
 
 

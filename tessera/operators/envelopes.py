@@ -28,7 +28,7 @@ from tessera.operators.ranks import saved
 #: The keys of an envelope; provider, label, state and what its queries are rendered as.
 KEYS = ("id", "parameters", "views")
 ISSUES, ASSETS, CONTENT = "d8b75300-dfda-4519-b6cd-e49abbd50401", "361d618a-3c04-40ad-9b27-3c8ea6927020", "768fc736-3af4-4a8f-b27e-203602bff8ca"
-PROVIDERS = {ISSUES: ("work items", "supported", "jira"), ASSETS: ("assets", "known-unsupported", None), CONTENT: ("content search", "supported", "confluence-list")}
+PROVIDERS = {ISSUES: ("work items", "supported", "issue-list"), ASSETS: ("assets", "known-unsupported", None), CONTENT: ("content search", "supported", "content-list")}
 #: List filters of a content search in the order of the query's parts, and its further parameters.
 LISTS = {"entityTypes": "type", "spaceKeys": "space", "labels": "label", "ancestorPageIds": "ancestor", "creatorAccountIds": "creator", "contributorAccountIds": "contributor"}
 OTHER = ("cloudId", "searchString", "shouldMatchTitleOnly", "contentStatuses", "contentARIs", "lastModified")

@@ -12,11 +12,11 @@ from tessera.plans.register import query
 _VIEWS = '"views":[{"type":"table","properties":{"columns":[{"key":"key"},{"key":" title "},{"width":3}]}}]'
 #: Envelopes by the document's id, with the reason, code, macro and query that they have. ``#`` stands for a number.
 _CASES = [
-    (f'{{"id":"{env.ISSUES}","parameters":{{"jql":"project = P# ORDER BY  created"}},{_VIEWS}}}', None, None, "jira", "project = P# ORDER BY  created"),
+    (f'{{"id":"{env.ISSUES}","parameters":{{"jql":"project = P# ORDER BY  created"}},{_VIEWS}}}', None, None, "issue-list", "project = P# ORDER BY  created"),
     (f'{{"id":"{env.ISSUES}","parameters":{{"filter":"1#"}},{_VIEWS}}}', None, "datasource-filter-unsupported", None, None),
-    (f'{{"id":" {env.CONTENT.upper()} ","parameters":{{"spaceKeys":["en","de"],"labels":["src#"],"searchString":""}},{_VIEWS}}}', None, None, "confluence-list", 'space in ("en","de") AND label in ("src#")'),
-    (f'{{"id":"{env.CONTENT}","parameters":{{"entityTypes":["Blog","page"],"lastModified":{{"from":"2000-0#-01T00:00"}},"labels":[]}},{_VIEWS}}}', None, None, "confluence-list", 'type in ("blogpost","page") AND lastmodified >= "2000-0#-01"'),
-    (f'{{"id":"{env.CONTENT}","parameters":{{"searchString":"page 1#","shouldMatchTitleOnly":true}},{_VIEWS}}}', None, None, "confluence-list", 'title ~ "page 1#"'),
+    (f'{{"id":" {env.CONTENT.upper()} ","parameters":{{"spaceKeys":["en","de"],"labels":["src#"],"searchString":""}},{_VIEWS}}}', None, None, "content-list", 'space in ("en","de") AND label in ("src#")'),
+    (f'{{"id":"{env.CONTENT}","parameters":{{"entityTypes":["Blog","page"],"lastModified":{{"from":"2000-0#-01T00:00"}},"labels":[]}},{_VIEWS}}}', None, None, "content-list", 'type in ("blogpost","page") AND lastmodified >= "2000-0#-01"'),
+    (f'{{"id":"{env.CONTENT}","parameters":{{"searchString":"page 1#","shouldMatchTitleOnly":true}},{_VIEWS}}}', None, None, "content-list", 'title ~ "page 1#"'),
     (f'{{"id":"{env.CONTENT}","parameters":{{"spaceKeys":["en"],"moods":["calm"]}},{_VIEWS}}}', None, "datasource-filter-unsupported", None, None),
     (f'{{"id":"{env.CONTENT}","parameters":{{"searchString":" ","cloudId":"c","moods":[null,{{"a":""}}]}},{_VIEWS}}}', None, "datasource-query-empty", None, None),
     (f'{{"id":"{env.ASSETS}","parameters":{{"aql":"x"}},{_VIEWS}}}', None, "datasource-provider-unsupported", None, None),
@@ -61,10 +61,10 @@ _CONTENT_SQL = f"""WITH q AS (SELECT doc_id AS link_id, doc_id % {len(_CASES)} A
     (q.k = 3 AND p.content_type IN ('blogpost', 'page') AND p.last_modified >= CAST(concat('2000-0', q.n, '-01') AS DATE)) OR
     (q.k = 4 AND p.title = concat('Page 1', q.n))),
   r AS (SELECT k, n, page_id, row_number() OVER (PARTITION BY k, n ORDER BY page_id) AS place, count(*) OVER (PARTITION BY k, n) > 100 AS more FROM m)
-  SELECT q.link_id, 'confluence-list' AS macro, CAST(r.page_id AS VARCHAR) AS row_id, CAST(r.place AS INTEGER) AS place, r.more FROM q JOIN r ON q.k = r.k AND q.n = r.n WHERE r.place <= 100"""
+  SELECT q.link_id, 'content-list' AS macro, CAST(r.page_id AS VARCHAR) AS row_id, CAST(r.place AS INTEGER) AS place, r.more FROM q JOIN r ON q.k = r.k AND q.n = r.n WHERE r.place <= 100"""
 
 
-@query(_CONTENT_SQL + f""" UNION ALL SELECT l.doc_id, 'jira', issue_key, CAST(place AS INTEGER), more FROM documents AS l JOIN (SELECT 'P' || (issue_id % 40) AS project, issue_key, row_number() OVER (PARTITION BY issue_id % 40 ORDER BY issue_id) AS place, count(*) OVER (PARTITION BY issue_id % 40) > 20 AS more FROM v_issues) AS i
+@query(_CONTENT_SQL + f""" UNION ALL SELECT l.doc_id, 'issue-list', issue_key, CAST(place AS INTEGER), more FROM documents AS l JOIN (SELECT 'P' || (issue_id % 40) AS project, issue_key, row_number() OVER (PARTITION BY issue_id % 40 ORDER BY issue_id) AS place, count(*) OVER (PARTITION BY issue_id % 40) > 20 AS more FROM v_issues) AS i
   ON l.doc_id % {len(_CASES)} = 0 AND i.project = concat('P', l.doc_id % 5 + 1) AND i.place <= 20""")
 def qry09_dispatched_rows(s, d):
     """Rows of both providers: pages by their conditions, issues by the project that a query begins with (20 of each)."""
@@ -77,4 +77,4 @@ def qry09_dispatched_rows(s, d):
         wanted = asked.select("query", F.regexp_extract("query", r"^project = (\w+)", 1).alias("project")).distinct()
         return wanted.join(ranked, "project").select("query", F.col("issue_key").alias("row_id"), "place", (F.col("n") > 20).alias("more"))
 
-    return env.dispatched(found, "link_id", {"confluence-list": lambda asked: env.content_rows(asked, pages, labels), "jira": issues})
+    return env.dispatched(found, "link_id", {"content-list": lambda asked: env.content_rows(asked, pages, labels), "issue-list": issues})

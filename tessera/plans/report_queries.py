@@ -72,9 +72,9 @@ def val01_chart_task_issues(s, d):
 
 
 _URLS = [
-    ("https://x.example/wiki/spaces/K#/blog/2024/01/02/5#/t", "confluence", "blogpost", "K#", "5#"), ("https://x.example/wiki/spaces/K#/pages/7#/a-b?x=1", "confluence", "page", "K#", "7#"), ("https://x.example/wiki/spaces/K#/overview", "confluence", "space", "K#", None),
-    ("http://dc.example/confluence/display/K#/Some+Page", "confluence", "space", "K#", None), ("https://x.example/browse/AB#-12", "jira", "issue", "AB#", "AB#-12"), ("https://x.example/jira/software/c/projects/AB#/boards/3", "jira", "board", "AB#", "3"),
-    ("https://x.example/jira/list?a=1&selectedIssue=AB#-9", "jira", "issue", "AB#", "AB#-9"), ("http://dc.example/pages/viewpage.action?pageId=44#", "confluence", "page", None, "44#"), ("https://x.example/other?pageId=#", None, None, None, None), ("not a url", None, None, None, None),
+    ("https://x.example/wiki/spaces/K#/blog/2024/01/02/5#/t", "content", "blogpost", "K#", "5#"), ("https://x.example/wiki/spaces/K#/pages/7#/a-b?x=1", "content", "page", "K#", "7#"), ("https://x.example/wiki/spaces/K#/overview", "content", "space", "K#", None),
+    ("http://dc.example/own/display/K#/Some+Page", "content", "space", "K#", None), ("https://x.example/browse/AB#-12", "work", "issue", "AB#", "AB#-12"), ("https://x.example/jira/software/c/projects/AB#/boards/3", "work", "board", "AB#", "3"),
+    ("https://x.example/jira/list?a=1&selectedIssue=AB#-9", "work", "issue", "AB#", "AB#-9"), ("http://dc.example/pages/viewpage.action?pageId=44#", "content", "page", None, "44#"), ("https://x.example/other?pageId=#", None, None, None, None), ("not a url", None, None, None, None),
 ]
 
 

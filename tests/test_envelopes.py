@@ -85,6 +85,6 @@ def test_a_search_of_more_than_the_cap(spark):
     labels = spark.createDataFrame([(i, "a") for i in range(0, 30, 3)], "page_id long, label string")
     docs = [(1, json.dumps({"id": env.CONTENT, "parameters": {"searchString": "NOTE, 1", "labels": ["a", "b"]}, "views": [{"type": "table"}]})), (2, json.dumps({"id": env.CONTENT, "parameters": {"searchString": "none such"}, "views": [{"type": "table"}]}))]
     found = env.outcomes(env.parsed(spark.createDataFrame(docs, "link_id long, raw string"), "raw"))
-    rows = env.dispatched(found, "link_id", {"confluence-list": lambda asked: env.content_rows(asked, pages, labels, cap=3)}).orderBy("place").collect()
+    rows = env.dispatched(found, "link_id", {"content-list": lambda asked: env.content_rows(asked, pages, labels, cap=3)}).orderBy("place").collect()
     assert [(r["link_id"], r["row_id"], r["more"]) for r in rows] == [(1, "3", True), (1, "9", True), (1, "15", True)]
     assert found.filter(F.col("code").isNull()).count() == 2
