@@ -38,7 +38,7 @@ SPACE = "▁"
 _PIECE, _TEXT, _SCORE, _TYPE = 1, 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 240_000
+CACHE = 140_000
 #: Longer words are not cached.
 LONG = 64
 
