@@ -39,6 +39,8 @@ _PIECE, _TEXT, _SCORE, _TYPE = 1, 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE = 140_000
+#: Bytes of text that are encoded at a time: what is known of their words is held together.
+SLICE = 6 << 20
 #: Longer words are not cached.
 LONG = 64
 
@@ -310,7 +312,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         bpe = model(model_path)
         for batch in batches:
             begin = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE):
                 known, places, bounds = bpe.found(texts)
                 ends = np.concatenate([[0], np.cumsum(np.array([x[0] for x in known], np.int64)[places])])
                 packed = b"".join([known[i][3] for i in places.tolist()])
@@ -340,7 +342,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
         bpe = model(model_path)
         for batch in batches:
             begin = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE):
                 n, ids, decoded = bpe.digests(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
