@@ -1,14 +1,18 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
 Ids are cut into blocks of ``BLOCK``; each block starts from the same state, carries its own CRC-32 and can
-be decoded alone. Three predictions share the range of one coding step:
+be decoded alone. Inside a block an id is named by its *place*: how many others came up before it first did.
+Three predictions share the range of one coding step:
 
-* order 2: the id that last followed the two ids before, order 1: the id that last followed the one before;
-* order 0: adaptive frequencies of id classes, renewed as a block goes on, and the place in the class.
+* order 2: the id that last followed the two ids before, order 1: the id that last followed the one before.
+  Their slots hold the context itself; a slot of another context predicts nothing;
+* order 0: adaptive frequencies of all ids of the block so far, renewed with every id, and an escape, as
+  frequent as new ids have been. The new ids of a block follow its places, each spelt as its class and the part
+  of its class (both adaptive) and the rest evenly.
 
-The shares of the orders are mixed by weights that learn, for each record of the two predictions (how often
-either has held, and whether both name one id), how often each was right. All arithmetic is on whole numbers
-or on doubles that hold them exactly, so that every machine decodes alike.
+The shares of the orders are mixed by weights that learn, with every id and for each record of the two
+predictions (how often either has held, and whether both name one id), how often each was right. All arithmetic
+is on whole numbers or on doubles that IEEE rounding fixes, so that every machine decodes alike.
 
 All blocks of a segment are coded side by side: ``low`` and ``range`` are arrays, and each step is a
 fixed number of array operations over the blocks.
@@ -44,70 +48,79 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import distinct_words, shared_dir, slices
 
-BLOCK, SEGMENT = 2048, 1 << 23
-MAGIC = b"TIDS\x02"
-#: Slots of remembered followers, for two ids and for one.
-SLOTS = 256
+#: Ids of a block (places have 12 bits) and of a segment.
+BLOCK, SEGMENT = 4096, 1 << 23
+MAGIC = b"TIDS\x03"
+#: Slots of followers of two ids.
+SLOT_BITS = 11
 ONE_BITS = 12
-ONE = 1 << ONE_BITS
-#: The most that orders 2 and 1 get of ``ONE``; order 0 has the rest.
+#: The most that orders 2 and 1 get of ``1 << ONE_BITS``; order 0 has the rest.
 FOLLOWERS = 3840
-CLASSES, ESCAPE, SHARE_BITS = 128, 127, 10
-SHARES = 1 << SHARE_BITS
-#: Places of a block before which weights and class frequencies are renewed.
-RENEWED = (16, 48, 96, 160, 256, *range(384, BLOCK, 256))
 #: A range is kept from 2^30 to below 2^62; words have 32 bits.
 LEAST, MASK = 1 << 30, (1 << 30) - 1
 
-#: Binary logarithm of the ids in each class: classes widen, as ids are ranked by frequency.
-_SHIFT = np.repeat(np.array([5, 7, 10, 13, 0]), [64, 32, 24, 7, 1])
-_FIRST = np.concatenate([[0], np.cumsum(1 << _SHIFT[:ESCAPE])])
-BEYOND = int(_FIRST[ESCAPE])
-_CLASS_OF = np.append(np.repeat(np.arange(ESCAPE), 1 << _SHIFT[:ESCAPE]), ESCAPE).astype(np.uint8)
+# New ids: 16 classes by binary length, each with 16 parts; the last class is spelt bit by bit beyond 2^16.
+_LENGTHS = np.arange(16)
+_CLASS_FIRST = np.append(0, 1 << _LENGTHS[1:])
+_PART_SHIFT = np.maximum(_LENGTHS - 4, 0)
 
 # What is known of two followers: their records (0: not seen, 1: seen, 3: has held since) and whether they are one id.
 _KIND = np.arange(32)
 _RECORD2, _RECORD1, _AGREE = (_KIND >> 2) & 3, _KIND & 3, _KIND >> 4
 _USES2 = _RECORD2 > 0
 _USES1 = (_RECORD1 > 0) & ~((_AGREE > 0) & _USES2)
+# A record's counts in one number: hits of order 2, of order 1, and all. Twice the counts, and a start of one in eight or a half.
+_COUNT2, _COUNT1 = 1 << 40, 1 << 20
+_START = _COUNT2 * _USES2 * (1 + (_RECORD2 == 3)) + _COUNT1 * _USES1 * (1 + (_RECORD1 == 3)) + np.where((_RECORD2 == 3) | (_RECORD1 == 3), 5, 12)
+
+# What a count of 1 at each of 16 places, or of 1 or 2 (the second half) at each of 8, adds to the sums before the places.
+_STEPS = (np.arange(16) > np.arange(16)[:, None]).astype(np.int16)
+_EIGHTHS = np.concatenate([k * (np.arange(8) > np.arange(8)[:, None]) for k in (1, 2)]).astype(np.int16).view(np.complex128).reshape(-1)
+_ROWS = np.repeat(np.arange(2 * BLOCK, dtype=np.int16), 16).reshape(-1, 16)
+_ROWS_OF_8 = np.ascontiguousarray(_ROWS[:, :8]).view(np.complex128).reshape(-1)
+# By what a record grows: no order right, order 1, order 2.
+_GROWTH = np.array([2, 2 + 2 * _COUNT1, 2 + 2 * _COUNT2])
 
 
 class _Encoder:
     """Range encoders of all blocks. Words may hold a carry until :meth:`finish`."""
 
-    def __init__(self, n: int, longest: int, beyond: bool):
+    def __init__(self, n: int):
         self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 62) - 1, np.int64)
-        self.width = longest * (2 if beyond else 1) + 8
-        self.words, self.at = np.zeros(n * self.width, np.int64), np.arange(n) * self.width
+        self.words, self.size = np.zeros((n, 512), np.int64), np.zeros(n, np.int64)
+        self.begin = np.arange(n)
+
+    def reserve(self, more: int) -> None:
+        """Room for ``more`` words of each block."""
+        n, width = self.words.shape
+        if (need := int(self.size.max(initial=0)) + more) > width:
+            self.words = np.concatenate([self.words, np.zeros((n, max(need - width, width // 4)), np.int64)], axis=1)
 
     def settle(self) -> None:
-        due = np.flatnonzero(self.range < LEAST)
-        low, at = self.low.take(due), self.at.take(due)
-        self.words[at] = low >> 30
-        self.at[due] = at + 1
+        due = (self.range < LEAST).nonzero()[0]
+        low, size = self.low.take(due), self.size.take(due)
+        self.words[due, size] = low >> 30
+        self.size[due] = size + 1
         self.low[due] = (low & MASK) << 32
         self.range[due] = self.range.take(due) << 32
 
-    def raw(self, own: np.ndarray, value: np.ndarray) -> None:
-        """32 bits as they are."""
-        for part in (value >> 16, value & 0xFFFF):
-            r = self.range[own] >> 16
-            self.low[own] += r * part
-            self.range[own] = r
-            self.settle()
+    def part(self, rows: np.ndarray, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the ranges of ``rows`` to ``size`` units of ``r`` from ``start``."""
+        self.low[rows] += r * start
+        self.range[rows] = r * size
 
     def finish(self) -> list[bytes]:
+        self.reserve(2)
         for word in (self.low >> 30, (self.low & MASK) << 2):
-            self.words[self.at] = word
-            self.at += 1
-        size = self.at - np.arange(len(self.at)) * self.width
-        words = np.ascontiguousarray(self.words.reshape(-1, self.width)[:, : size.max(initial=0)].T)
-        carry = np.zeros(len(self.at), np.int64)
+            self.words[self.begin, self.size] = word
+            self.size += 1
+        words = np.ascontiguousarray(self.words[:, : self.size.max(initial=0)].T)
+        carry = np.zeros(len(self.size), np.int64)
         for i in range(len(words) - 1, -1, -1):
             words[i] += carry
             carry = words[i] >> 32
         out = np.ascontiguousarray(words.T.astype("<u4"))
-        return [w[:k].tobytes() for w, k in zip(out, size)]
+        return [w[:k].tobytes() for w, k in zip(out, self.size)]
 
 
 class _Decoder:
@@ -124,142 +137,227 @@ class _Decoder:
         self.range = np.full(n, (1 << 62) - 1, np.int64)
 
     def settle(self) -> None:
-        due = np.flatnonzero(self.range < LEAST)
+        due = (self.range < LEAST).nonzero()[0]
         at = np.minimum(self.at.take(due), self.last.take(due))  # damaged data may ask for more
         low = (self.words.take(at).astype(np.int64) & 3) << 30
         self.code[due] = (self.code.take(due) << 32) | low | (self.words.take(at + 1) >> 2)
         self.at[due] = at + 1
         self.range[due] = self.range.take(due) << 32
 
-    def raw(self, own: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(own), np.int64)
-        for _ in range(2):
-            r = self.range[own] >> 16
-            part = np.minimum(self.code[own] // r, 0xFFFF)
-            self.code[own] -= r * part
-            self.range[own] = r
-            self.settle()
-            value = (value << 16) | part
-        return value
+    def value(self, rows: np.ndarray, r: np.ndarray, total) -> np.ndarray:
+        """The unit of ``r`` that the code of ``rows`` lies in (damaged data may lie beyond)."""
+        return np.clip(self.code.take(rows) // r, 0, total - 1)
 
+    def part(self, rows: np.ndarray, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.code[rows] -= r * start
+        self.range[rows] = r * size
+
+
+class _Frequencies:
+    """Order 0: how often each place of each block came up: one for the first time and two for any other.
+
+    Sums before a place are kept for the 8 parts of all places, the 8 parts of each part, and so on: four rows
+    hold a place. A row of 8 sums has 16 bytes, and is moved as one complex number.
+    """
 
-class _Mixer:
-    """What a block has learnt up to the last renewal: weights of orders 2 and 1, and frequencies of classes (order 0)."""
-
-    def __init__(self, n: int, encoding: bool):
-        self.n, self.encoding = n, encoding
-        self.outcomes = np.zeros((n, 32, 4), np.int64)
-        self.seen = np.ones((n, CLASSES), np.int64)
-        self.of_block = np.arange(n) * CLASSES
-        self.renew()
-
-    def learn(self, kinds: list[np.ndarray], hits: list[np.ndarray], ids: np.ndarray) -> None:
-        """``kinds`` (block and kind) and ``hits`` (2, 1 or 0: the order that named the id) of each place since, and its ids."""
-        at = np.stack(kinds, axis=1)  # block by block, so that counting stays in the cache
-        at <<= 2
-        at += np.stack(hits, axis=1)
-        self.outcomes += np.bincount(at.reshape(-1), minlength=self.outcomes.size).reshape(self.outcomes.shape)
-        at = _CLASS_OF.take(np.minimum(np.ascontiguousarray(ids.T), np.uint32(BEYOND))).astype(np.int64)
-        at += self.of_block[:, None]
-        self.seen += 4 * np.bincount(at.reshape(-1), minlength=self.seen.size).reshape(self.seen.shape)
-        self.renew()
-
-    def renew(self) -> None:
-        total = 2 * self.outcomes.sum(axis=2) + 4
-        share2 = (2 * self.outcomes[:, :, 2] + 1) * FOLLOWERS // total * _USES2
-        share1 = (2 * self.outcomes[:, :, 1] + 1) * FOLLOWERS // total * _USES1
-        self.weights = ((share2 << 16) | (share2 + share1)).reshape(-1)
-        scale = (SHARES - CLASSES) / self.seen.sum(axis=1)
-        freq = (self.seen * scale[:, None]).astype(np.int32) + 1
-        freq[:, 0] += SHARES - freq.sum(axis=1, dtype=np.int32)
-        start = np.cumsum(freq, axis=1, dtype=np.int32) - freq
-        self.classes = ((start << 16) | freq).reshape(-1)
-        if not self.encoding:
-            self.at_share = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), self.n), freq.reshape(-1))
-
-
-def _code(n: int, longest: int, bits: int, coder, ids: np.ndarray | None) -> np.ndarray:
-    """Run the model over all blocks, one row of ids a place: with ``ids`` it drives an encoder, else it fills in what a decoder finds."""
-    encoding = ids is not None
-    out = ids if encoding else np.zeros((longest, n), np.uint32)
-    mixer = _Mixer(n, encoding)
-    # The id that last followed one id (row 0) or two (row 1), and its record: 4 * id + record.
-    followers = np.zeros((2, n * SLOTS), np.int32 if bits <= 29 else np.int64)
-    one, two = followers
-    slots, of_kind, of_class = np.arange(n) * SLOTS, np.arange(n) * 32, np.arange(n) * CLASSES
+    def __init__(self, n: int):
+        self.counts, self.base = np.zeros(n * BLOCK, np.int16), np.arange(n) * BLOCK
+        first = np.cumsum([0] + [n * 8**i for i in range(4)])
+        self.sums = np.zeros(first[4] * 8, np.int16)
+        self.wide = self.sums.view(np.complex128)
+        self.first = first[:4, None] + (np.arange(n) << np.array([[0], [3], [6], [9]]))
+        self.shift = np.array([[9], [6], [3], [0]])
+
+    def rows(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The four rows of each place, and where it is in each."""
+        part = place >> self.shift
+        return self.first + (part >> 3), part & 7
+
+    def before(self, rows: np.ndarray, digit: np.ndarray) -> np.ndarray:
+        return self.sums.take((rows << 3) + digit).sum(axis=0, dtype=np.int64)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each block that holds ``value``, and the sum before it."""
+        place, left = np.zeros(len(value), np.int64), value
+        for first in self.first:
+            row = first + place
+            under = self.wide.take(row).view(np.int16) <= _ROWS_OF_8.take(left).view(np.int16)
+            digit = np.bitwise_count(under.view(np.uint64)) - np.int64(1)
+            left = left - self.sums.take((row << 3) + digit)
+            place = (place << 3) + digit
+        return place, value - left
+
+    def add(self, place: np.ndarray, rows: np.ndarray, digit: np.ndarray, fresh: np.ndarray) -> None:
+        again = (~fresh).view(np.int8)
+        step = _EIGHTHS.take(digit + (again << np.int8(3))).view(np.int16)
+        self.wide[rows] = (self.wide.take(rows).view(np.int16) + step).view(np.complex128)
+        at = self.base + place
+        self.counts[at] = self.counts.take(at) + again + np.int8(1)
+
+
+class _Spelling:
+    """New ids: class and part by how often each has been among a block's new ids, the rest evenly."""
+
+    def __init__(self, n: int, bits: int):
+        self.bits = bits
+        # Sums before the classes (row 0 of a block) and before the parts of each class, and what they add up to.
+        self.sums = np.tile(np.arange(16, dtype=np.int16), (n * 17, 1))
+        self.total = np.full(n * 17, 16)
+
+    def _digit(self, coder, rows: np.ndarray, at: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
+        total = self.total.take(at)
+        r = coder.range.take(rows) // total
+        if digit is None:
+            under = (self.sums.take(at, axis=0) <= _ROWS.take(coder.value(rows, r, total), axis=0)).view(np.uint64)
+            digit = np.bitwise_count(under).sum(axis=1, dtype=np.int64) - 1
+        flat = self.sums.reshape(-1)
+        start = flat.take((at << 4) + digit).astype(np.int64)
+        end = np.where(digit == 15, total, flat.take(np.minimum((at << 4) + digit + 1, flat.size - 1)))
+        coder.part(rows, r, start, end - start)
+        coder.settle()
+        self.sums[at] = self.sums.take(at, axis=0) + _STEPS.take(digit, axis=0)
+        self.total[at] = total + 1
+        return digit
+
+    def _even(self, coder, rows: np.ndarray, bits, value: np.ndarray | None) -> np.ndarray:
+        r = coder.range.take(rows) >> bits
+        if value is None:
+            value = coder.value(rows, r, np.int64(1) << bits)
+        coder.part(rows, r, value, np.int64(1))
+        coder.settle()
+        return value
+
+    def code(self, coder, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        part = rest = kind = None
+        if ids is not None:
+            kind = np.minimum(np.frexp(np.maximum(ids, 1).astype(np.float64))[1] - 1, 15).astype(np.int64)
+            shift = _PART_SHIFT.take(kind)
+            part = np.minimum((ids - _CLASS_FIRST.take(kind)) >> shift, 15)
+            rest = ids - _CLASS_FIRST.take(kind) - (part << shift)
+        kind = self._digit(coder, rows, rows * 17, kind)
+        out = np.zeros(len(rows), np.int64)
+        wide = (kind == 15) & (self.bits > 16)
+        own = np.flatnonzero(~wide)
+        if len(own):
+            k, at = kind[own], rows[own]
+            digit = self._digit(coder, at, at * 17 + 1 + k, None if ids is None else part[own])
+            left = self._even(coder, at, _PART_SHIFT.take(k), None if ids is None else rest[own])
+            out[own] = _CLASS_FIRST.take(k) + (digit << _PART_SHIFT.take(k)) + left
+        own = np.flatnonzero(wide)
+        for low, size in ((16, self.bits - 16), (0, 16)) if len(own) else ():
+            piece = None if ids is None else (ids[own] >> low) & ((1 << size) - 1)
+            out[own] |= self._even(coder, rows[own], np.int64(size), piece) << low
+        return out
+
+
+def _places(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id of each row: its place (int16), and whether it is new in the row."""
+    place, fresh = np.zeros(grid.shape, np.int16), np.zeros(grid.shape, bool)
+    for begin in range(0, len(grid), 64):
+        x = grid[begin : begin + 64]
+        if int(x.max(initial=0)) < 1 << 16:
+            x = x.astype(np.uint16)  # sorted by digits
+        order = np.argsort(x, axis=1, kind="stable")
+        ordered = np.take_along_axis(x, order, axis=1)
+        first = np.ones(x.shape, bool)
+        first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        new = np.zeros(x.shape, bool)
+        np.put_along_axis(new, order, first, axis=1)
+        names = np.cumsum(new, axis=1, dtype=np.int16) - np.int16(1)
+        led = np.take_along_axis(names, order, axis=1).reshape(-1)
+        at = np.maximum.accumulate(np.where(first.reshape(-1), np.arange(x.size), 0))
+        np.put_along_axis(place[begin : begin + 64], order, led.take(at).reshape(x.shape), axis=1)
+        fresh[begin : begin + 64] = new
+    return place, fresh
+
+
+def _code(n: int, longest: int, bits: int, coder, grid: np.ndarray | None) -> np.ndarray | None:
+    """Run the model over all blocks side by side: with ``grid`` (a row a block) it drives an encoder, else it gives what a decoder finds."""
+    encoding = grid is not None
+    if encoding:
+        places, news = (np.ascontiguousarray(x.T) for x in _places(grid))
+    else:
+        places, names = np.zeros((longest, n), np.int16), np.zeros((n, BLOCK), np.uint32)
+    blocks = np.arange(n)
+    slots, slots2, of_kind = blocks * BLOCK, blocks << SLOT_BITS, blocks * 32
+    # The place that last followed a context, and its record: 4 * place + record. Contexts of order 2 stand beside.
+    one, two, context = np.zeros(n * BLOCK, np.int16), np.zeros(n << SLOT_BITS, np.int16), np.full(n << SLOT_BITS, -1, np.int32)
+    records = np.tile(_START, n)
+    frequencies, distinct = _Frequencies(n), np.zeros(n, np.int64)
     before = earlier = np.zeros(n, np.int64)
-    kinds, hits, since = [], [], 0
+    bounds = np.zeros((4, n), np.int64)  # where the shares of order 0, 1 and 2 end, and 0
     for t in range(longest):
-        if t in RENEWED:
-            mixer.learn(kinds, hits, out[since:t])
-            kinds, hits, since = [], [], t
-        mixed = before * 0x9E3779B1
-        slot1 = ((mixed >> 12) & (SLOTS - 1)) + slots
-        slot2 = (((mixed + earlier * 0x85EBCA6B) >> 13) & (SLOTS - 1)) + slots
-        follows1, follows2 = one.take(slot1), two.take(slot2)
+        if encoding and not t % 64:
+            coder.reserve(64 * 2)
+        slot1 = before + slots
+        both = (before << 12) + earlier
+        slot2 = (((both * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - SLOT_BITS)) + slots2
+        follows1 = one.take(slot1)
+        follows2 = two.take(slot2) * (context.take(slot2) == both)
         id1, id2 = follows1 >> 2, follows2 >> 2
-        kind = ((follows2 & 3) << 2) | (follows1 & 3) | ((id1 == id2) << np.int8(4))
-        kind = kind + of_kind
-        weights = mixer.weights.take(kind)
+        kind = (((follows2 & 3) << 2) | (follows1 & 3) | ((id1 == id2) << np.int8(4))) + of_kind
+        known = records.take(kind)
+        right2 = known >> 40
+        share = FOLLOWERS / (known & 0xFFFFF)
         r = coder.range >> ONE_BITS
-        end2, end1 = r * (weights >> 16), r * (weights & 0xFFFF)
+        np.left_shift(r, ONE_BITS, out=bounds[0])
+        end1 = np.multiply(r, ((right2 + ((known >> 20) & 0xFFFFF)) * share).astype(np.int64), out=bounds[1])
+        end2 = np.multiply(r, (right2 * share).astype(np.int64), out=bounds[2])
         if encoding:
-            now = ids[t].astype(np.int64)
+            now, fresh = places[t].astype(np.int64), news[t]
             hit2 = (now == id2) & (end2 > 0)
             hit = hit2 | ((now == id1) & (end1 > end2))
         else:
             hit2, hit = coder.code < end2, coder.code < end1
-            now = np.where(hit2, id2, id1).astype(np.int64)
-        begin = np.where(hit, end2, end1)
-        begin[hit2] = 0
-        span = np.where(hit, end1, r << ONE_BITS)
-        np.copyto(span, end2, where=hit2)
-        span -= begin
-        rest = np.flatnonzero(~hit)
-        r = span.take(rest) >> SHARE_BITS
+        order = hit.view(np.int8) + hit2.view(np.int8)
+        share_at = order * np.int64(n) + blocks
+        begin = bounds.take(share_at + n)
+        span = bounds.take(share_at) - begin
+        # Order 0, where neither held; the first id of a block is always new.
+        r = span // max(1, 2 * t)
         if encoding:
+            rows, digit = frequencies.rows(now)
+            start = (frequencies.before(rows, digit) + distinct) * ~(fresh | hit)
+            begin += r * start
             coder.low += begin
-            value = now.take(rest)
-            c = _CLASS_OF.take(np.minimum(value, BEYOND))
-            known = mixer.classes.take(of_class.take(rest) + c)
-            inner = (r * (known & 0xFFFF)) >> _SHIFT.take(c)
-            value -= _FIRST.take(c)
-            if bits > 16:
-                value[c == ESCAPE] = 0
-            coder.low[rest] += r * (known >> 16) + inner * value
         else:
             coder.code -= begin
-            code = coder.code.take(rest)
-            share = np.minimum(code // r, SHARES - 1)
-            row = of_class.take(rest)
-            c = mixer.at_share.take((row << (SHARE_BITS - 7)) + share)
-            known = mixer.classes.take(row + c)
-            shift = _SHIFT.take(c)
-            inner = (r * (known & 0xFFFF)) >> shift
-            code -= r * (known >> 16)
-            value = np.minimum(code // inner, (1 << shift) - 1)
-            coder.code[rest] = code - inner * value
-            now[rest] = _FIRST.take(c) + value
-        span[rest] = inner
-        coder.range = span
+            value = np.minimum(np.maximum(coder.code // np.maximum(r, 1), 0), max(0, 2 * t - 1))
+            fresh = (value < distinct) & ~hit if t else np.ones(n, bool)
+            now, start = frequencies.find(np.maximum(value - distinct, 0))
+            now = np.where(fresh, distinct, now)
+            np.copyto(now, np.where(hit2, id2, id1), where=hit)
+            coder.code -= r * ((start + distinct) * ~(fresh | hit))
+            places[t] = now
+            rows, digit = frequencies.rows(now)
+        size = np.where(fresh, distinct if t else 1, frequencies.counts.take(now + slots))
+        coder.range = np.where(hit, span, r * size)
         coder.settle()
-        if bits > 16:
-            beyond = rest[c == ESCAPE]
-            if len(beyond):
-                if encoding:
-                    coder.raw(beyond, now[beyond])
-                else:
-                    now[beyond] = coder.raw(beyond)
-        if not encoding:
-            out[t] = now
-        kinds.append(kind)
-        hits.append(hit.view(np.int8) + hit2.view(np.int8))
+        distinct += fresh
+        frequencies.add(now, rows, digit, fresh)
+        records[kind] = known + _GROWTH.take(order)
         # A follower that held is marked so, another takes its place.
-        fresh = ((now << 2) | 1).astype(followers.dtype)
-        two[slot2] = np.where(hit2, follows2 | 2, fresh)
-        one[slot1] = np.where((now == id1) & ((follows1 & 3) > 0), follows1 | 2, fresh)
+        other = ((now << 2) | 1).astype(np.int16)
+        two[slot2] = np.where((now == id2) & (follows2 > 0), follows2 | np.int16(2), other)
+        one[slot1] = np.where((now == id1) & (follows1 > 0), follows1 | np.int16(2), other)
+        context[slot2] = both
         earlier, before = before, now
-    return out
+    spelling = _Spelling(n, bits)
+    if encoding:
+        fresh_ids, at = grid[news.T].astype(np.int64), np.cumsum(distinct) - distinct
+    for k in range(int(distinct.max(initial=0))):
+        if encoding and not k % 64:
+            coder.reserve(64 * 5)
+        rows = (distinct > k).nonzero()[0]
+        found = spelling.code(coder, rows, fresh_ids.take(at.take(rows) + k) if encoding else None)
+        if not encoding:
+            names[rows, k] = found
+    if encoding:
+        return None
+    for begin in range(0, n, 64):  # places give way to ids
+        own = names[begin : begin + 64]
+        own[:, :longest] = np.take_along_axis(own, places[:, begin : begin + 64].T.astype(np.int64), axis=1)
+    return names[:, :longest]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -274,8 +372,8 @@ def encode_ids(ids: np.ndarray) -> bytes:
         lengths[-1] = len(ids) - (n - 1) * BLOCK
         grid = np.zeros(n * longest, np.uint32)  # the last block is filled up
         grid[: len(ids)] = ids
-        coder = _Encoder(n, longest, bits > 16)
-        _code(n, longest, bits, coder, np.ascontiguousarray(grid.reshape(n, longest).T))
+        coder = _Encoder(n)
+        _code(n, longest, bits, coder, grid.reshape(n, longest))
         coded = coder.finish()
     sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4", copy=False).tobytes()) for i in range(n)]
     head = struct.pack("<5sII", MAGIC, n, bits) + b"".join(struct.pack("<III", k, len(d), s) for k, d, s in zip(lengths.tolist(), coded, sums))
@@ -295,7 +393,7 @@ def decode_ids(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     longest = BLOCK if n > 1 else heads[0][0]
-    grid = np.ascontiguousarray(_code(n, longest, bits, _Decoder(coded), None).T).astype("<u4", copy=False)
+    grid = np.ascontiguousarray(_code(n, longest, bits, _Decoder(coded), None), "<u4")
     for i, (k, _, total) in enumerate(heads):
         if zlib.crc32(grid[i, :k].tobytes()) != total:
             raise ValueError(f"block {i} is damaged")

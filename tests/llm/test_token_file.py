@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -24,12 +26,53 @@ def test_repetition_is_coded_shortly_and_damage_is_seen():
     ids = np.tile(np.arange(40), 2000)
     data = token_file.encode_ids(ids)
     assert len(data) < len(ids) and (token_file.decode_ids(data) == ids).all()
+    assert len(token_file.encode_ids(ids)) < len(ids) / 8  # followers of one and of two ids hold
     bad = bytearray(data)
     bad[-400] ^= 64
     with pytest.raises(ValueError):
         token_file.decode_ids(bytes(bad))
 
 
+def order_0_bytes(ids):
+    """Length of the block-wise adaptive code of single ids, with an escape and 16 bits for a new id, by plain counting."""
+    bits = 0.0
+    for begin in range(0, len(ids), token_file.BLOCK):
+        counts = {}
+        for t, x in enumerate(ids[begin : begin + token_file.BLOCK].tolist()):
+            if x in counts:
+                bits -= math.log2((2 * counts[x] - 1) / (2 * t))
+            else:
+                bits += 16 - (math.log2(len(counts) / (2 * t)) if t else 0)
+            counts[x] = counts.get(x, 0) + 1
+    return bits / 8
+
+
+def test_real_ids_take_little_more_than_a_byte():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().fill_null("")
+    found, sizes = token_file.tokens(PATH).encode(texts)
+    ids = np.insert(found, np.cumsum(sizes), 1)
+    data = token_file.encode_ids(ids)
+    assert len(data) < 1.10 * len(ids) and len(data) < order_0_bytes(ids)
+    assert (token_file.decode_ids(data) == ids).all()
+
+
+def test_a_context_predicts_only_its_own_followers():
+    rng = np.random.default_rng(7)
+    follows = rng.permutation(3000)
+    ids = [0]
+    for _ in range(3 * token_file.BLOCK):  # mostly one follower of each id, new contexts all the time
+        ids.append(int(follows[ids[-1]]) if rng.random() < 0.9 else int(rng.integers(3000)))
+    data = token_file.encode_ids(np.array(ids))
+    assert token_file.decode_ids(data).tolist() == ids and len(data) < order_0_bytes(np.array(ids))
+
+
+@pytest.mark.parametrize("n", [1, 2, token_file.BLOCK - 1, token_file.BLOCK, token_file.BLOCK + 1])
+@pytest.mark.parametrize("top", [1, 1 << 16, 1 << 17, 1 << 32])
+def test_blocks_of_new_ids(n, top):
+    ids = np.random.default_rng(n).integers(0, top, n)
+    assert (token_file.decode_ids(token_file.encode_ids(ids)) == ids).all()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="aAbH.,'s \n1é<|endoftx>̱İ", max_size=60)))
 def test_same_ids_as_the_library(text):
