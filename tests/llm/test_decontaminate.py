@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tessera.llm import decontaminate as D
 from tessera.llm import queries
@@ -19,7 +20,7 @@ def plain(text, items, window=10):
         for i in range(len(w) - n + 1) if n else ():
             if tuple(w[i : i + n]) in grams:
                 hit.update(range(i, i + n))
-                ids.add(str(item_id))
+                ids.update([] if item_id is None else [str(item_id)])
     return len(w), len(hit), sorted(ids)
 
 
@@ -38,11 +39,33 @@ def fixture(seed=1):
 
 def test_against_all_windows(spark):
     docs, items = fixture()
-    known = [x for x in items if x[0] is not None]
-    for block in (10_000, 60):
+    docs += [docs[3], docs[6], (None, docs[9][1]), (None, docs[0][1])]
+    for block in (10_000, 200):
         d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in D.report(d, b, block_bytes=block).collect()}
-        assert got == {i: plain(t, known) for i, t in docs}
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], sorted(r["items"])) for r in D.report(d, b, block_bytes=block).collect())
+        assert got == sorted((str(i), *plain(t, items)) for i, t in docs)
+
+
+def test_long_items_are_cut_into_pieces_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 7)
+    r = random.Random(3)
+    item = [f"v{r.randrange(9)}" for _ in range(300)]
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:9])), (None, "only here")], "item_id long, text string")
+    docs = [(i, " ".join(item[i : i + 10 + i % 3])) for i in range(0, 288)] + [(900, "stands only here alone")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = [(1, " ".join(item)), (2, " ".join(item[:9])), (None, "only here")]
+    for block in (1 << 20, 400):
+        assert sum(1 for _ in D.benchmark_blocks(b, 10, block)) > (block == 400)
+        got = {x["doc_id"]: (x["n_words"], x["n_hit"], sorted(x["items"])) for x in D.report(d, b, block_bytes=block).collect()}
+        assert got == {i: plain(t, items) for i, t in docs}
+
+
+def test_a_window_of_many_items():
+    many = [(f"i{i}", "a b c d e f g h i j k") for i in range(20_000)]
+    start = time.process_time()
+    index = D.build_index(many)
+    spans, ids = D.hits(D.words(b"a b c d e f g h i j k " * 200), index)
+    assert len(ids) == 20_000 and spans == [(0, 2200)] and time.process_time() - start < 10
 
 
 def test_query(spark, odd_docs, odd_rows, tmp_path):
