@@ -79,11 +79,29 @@ def markdown_tree(spark: SparkSession, path: str, pattern: str = "*.md", ignore:
     for version control (``*.log``, ``drafts/``, ``!keep.md``). Ignored files are not read: the paths are judged first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     below = F.regexp_replace(F.substring_index("path", f"{path.rstrip('/')}/", -1), "^/+", "")
+    return _markdown(files, below, F.decode("content", "utf-8"), ignore)
+
+
+@reader("markdown-packs")
+def markdown_packs(spark: SparkSession, path: str, ignore: Sequence[str] = ()) -> DataFrame:
+    """The same of a tree that :func:`write_markdown_packs` wrote. A markdown file's path is that of its pack's folder with its own name."""
+    packs = spark.read.schema("file string, text string").option("recursiveFileLookup", True).parquet(path)
+    folder = F.regexp_replace(F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), f"{path.rstrip('/')}/", -1), "^/+|[^/]*$", "")
+    return _markdown(packs, F.concat(folder, "file"), F.col("text"), ignore)
+
+
+def write_markdown_packs(files: DataFrame, path: str, *folders: str) -> None:
+    """``files`` (file, text and a column for each level of folders) as packs: tables of many markdown files in each
+    folder, as a folder of a file a document costs a listing, a task's opening and a renaming for each of them."""
+    files.select(*folders, "file", "text").write.partitionBy(*folders).parquet(path)
+
+
+def _markdown(files: DataFrame, path: Column, text: Column, ignore: Sequence[str]) -> DataFrame:
     if ignore:
         rules = list(ignore)
-        files = files.filter(~documents.column(lambda p: documents.ignored(p, rules), "boolean")(below))
-    text = files.select(below.alias("path"), F.decode("content", "utf-8").alias("text"))
-    return text.select("path", frontmatter(F.col("text")).alias("frontmatter"), body(F.col("text")).alias("body"), heading(F.col("text")).alias("title"))
+        files = files.filter(~documents.column(lambda p: documents.ignored(p, rules), "boolean")(path))
+    read = files.select(path.alias("path"), text.alias("text"))
+    return read.select("path", frontmatter(F.col("text")).alias("frontmatter"), body(F.col("text")).alias("body"), heading(F.col("text")).alias("title"))
 
 
 _FRONT = r"(?s)^---\n(.*?)\n---\n?(.*)$"
