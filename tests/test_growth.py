@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tessera.operators import schema
 from tessera.plans import import_queries
 from tessera.sources import registry as sources
 
@@ -31,3 +32,17 @@ def test_markdown_packs_read_as_single_files(spark, tmp_path):
     assert packed.filter(F.col("path") == "space=a b/kind=pages/n 48.md").count() == 1
     everything = sources.load(spark, "markdown-packs", str(tmp_path / "packs"))
     assert everything.count() == 60
+
+
+def test_trees_are_read_once_for_all_rules(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    tree = '{"type":"doc","version":1,"content":[{"type":"heading","attrs":{"level":9},"odd":1},{"type":"glow","marks":[{"type":"shine"}]}]}'
+    docs = spark.createDataFrame([(i, tree) for i in range(7)], "doc_id long, t string")
+    found = schema.violations(schema.tree_rows(docs.mapInArrow(counted, docs.schema), "t"))
+    assert found.count() == 28 and read.value == 7
