@@ -70,6 +70,24 @@ def running_sum(df: DataFrame, value: str, *order: str | Column, name: str = "to
     return rows.withColumn(name, before + inside).drop("_part", "_row")
 
 
+def quantiles(df: DataFrame, value: str, **wanted: tuple[str, float]) -> DataFrame:
+    """One row: exact ``cont`` (between two values) or ``disc`` (a value) quantiles of a column by name, and its ``most``.
+
+    Equal values are counted first, and the counts are summed up in order: no task holds all values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts, "_n", "_value", name="_upto")
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.max("_upto").alias("_all"))))  # one row
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_value")))
+    found, out = [], []
+    for name, (kind, p) in wanted.items():
+        place = (F.col("_all") - 1) * F.lit(p) if kind == "cont" else F.greatest(F.col("_all") - F.floor(F.col("_all") - F.col("_all") * F.lit(p)), F.lit(1)) - 1
+        found += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high"), F.max(place - F.floor(place)).alias(f"{name}_part")]
+        low, high, part = F.col(f"{name}_low"), F.col(f"{name}_high"), F.col(f"{name}_part")
+        out.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name) if kind == "cont" else low.alias(name))
+    return ranked.agg(*found, F.max("_value").alias("most")).select(*out, "most")
+
+
 def beside(rows: DataFrame, place: str, key: str) -> DataFrame:
     """(key, previous, next) by place: two equi-joins on neighbouring places."""
     at = rows.select(F.col(place).alias("p"), F.col(key).alias("k"))

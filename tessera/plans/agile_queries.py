@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers, times
 from tessera.operators import agile
+from tessera.operators.ranks import quantiles
 from tessera.plans import views as v
 from tessera.plans.register import query
 
@@ -207,7 +208,7 @@ def mth03_localized_numbers(s, d):
 
 @query("SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS p95, max(l_extendedprice) AS most FROM lineitem")
 def agg26_median_p95(s, d):
-    return v.table(s, d, "lineitem").agg(F.expr("percentile_cont(0.5) within group (order by l_extendedprice)").alias("median"), F.expr("percentile_disc(0.95) within group (order by l_extendedprice)").alias("p95"), F.max("l_extendedprice").alias("most"))
+    return quantiles(v.table(s, d, "lineitem"), "l_extendedprice", median=("cont", 0.5), p95=("disc", 0.95))
 
 
 @query("SELECT o_orderkey, concat(repeat('#', CAST(floor(p / 5 + 0.5) AS INTEGER)), repeat('.', CAST(20 - floor(p / 5 + 0.5) AS INTEGER))) AS bar FROM (SELECT o_orderkey, o_orderkey % 101 AS p FROM orders)")
