@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import slug
-from tessera.operators.ranks import saved
+from tessera.operators.ranks import saved, stored
 
 #: The states a job may go to from each state.
 TRANSITIONS = {
@@ -113,18 +113,27 @@ def stable_routes(previous: DataFrame, wanted: DataFrame, overrides: DataFrame |
     return kept.unionByName(given).unionByName(placed).unionByName(gone).unionByName(told)
 
 
-def expand_includes(pages: DataFrame) -> DataFrame:
-    """(page_id, include, depth): every page that a page includes, directly or through others, each once at its least depth."""
-    direct = saved(pages.select("page_id", F.explode("includes").alias("include")).distinct())
-    level = direct.filter("include <> page_id").withColumn("depth", F.lit(1))
-    out = level
-    depth = 1
-    while not level.isEmpty():
-        depth += 1
-        level = level.select("page_id", F.col("include").alias("via")).join(direct.select(F.col("page_id").alias("via"), "include"), "via").select("page_id", "include", F.lit(depth).alias("depth")).distinct()
-        level = saved(level.join(out, ["page_id", "include"], "left_anti").filter("include <> page_id"))
-        out = saved(out.unionByName(level))
-    return out
+def expand_includes(pages: DataFrame, steps: int = 4) -> DataFrame:
+    """(page_id, include, depth): every page that a page includes, directly or through others, each once at its least depth.
+
+    What lies within ``steps`` of each page is found one step after the other; from then on a round takes that many
+    steps at once from the pairs that are farthest, so the pairs that are known meet the new ones in fewer rounds.
+    """
+    direct = saved(pages.select("page_id", F.explode("includes").alias("include")).filter("include <> page_id").distinct())
+    onward = direct.select(F.col("page_id").alias("via"), "include", F.lit(1).alias("more"))
+    parts, edge, depth, step = [stored(direct.withColumn("depth", F.lit(1)))], direct, 1, 1
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        if depth == steps > 1:
+            onward, step = known.select(F.col("page_id").alias("via"), "include", F.col("depth").alias("more")), steps
+        ahead = edge.select("page_id", F.col("include").alias("via")).join(onward, "via").filter("include <> page_id")
+        found = ahead.groupBy("page_id", "include").agg((F.min("more") + depth).alias("depth"))
+        part = stored(found.join(known.select("page_id", "include"), ["page_id", "include"], "left_anti").select("page_id", "include", "depth"))
+        depth += step
+        edge = part.filter(F.col("depth") == depth)
+        if part.isEmpty():
+            return known
+        parts.append(part)
 
 
 def least_loaded(units: DataFrame, bins: int) -> DataFrame:
