@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import stored
 from tessera.operators.storage import nodes_of
 
 _FENCE, _ITEM = r"^\s{0,3}```\s*(\S*)\s*$", r"^(\s*)([-*+]|\d+[.)])\s+(\S.*)$"
@@ -118,18 +119,28 @@ def to_storage(pages: DataFrame, text: str) -> DataFrame:
 
 def to_markdown(pages: DataFrame, storage: str) -> DataFrame:
     """(page_id, markdown) of storage texts; a text that cannot be read within the budget has none."""
-    nodes = nodes_of(pages, storage).filter("kind <> 'page'")
+    nodes = nodes_of(pages, storage)
     attr = lambda name, c="attrs": F.coalesce(F.try_element_at(c, F.lit(name)), F.lit(""))
-    children = nodes.filter("kind = 'element'").groupBy("page_id", F.col("parent").alias("at")).agg(
+    # Elements meet each other without any texts; texts then join them in the one exchange that gathers a page.
+    elements = stored(nodes.filter("kind = 'element'").select("page_id", "at", "parent", "last", "depth", "kind", "name", "attrs"))
+    is_language = (F.col("name") == "ac:parameter") & (attr("ac:name") == "language")
+    children = elements.groupBy("page_id", F.col("parent").alias("at")).agg(
         F.bool_or(F.col("name").isin("ul", "ol")).alias("has_list"), F.count_if(F.col("name") == "th").alias("ths"),
         F.min_by(F.coalesce(F.try_element_at("attrs", F.lit("ri:value")), F.try_element_at("attrs", F.lit("ri:filename"))), F.when(F.col("name").isin("ri:url", "ri:attachment"), F.col("at"))).alias("source"),
-        F.min_by("at", F.when((F.col("name") == "ac:parameter") & (attr("ac:name") == "language"), F.col("at"))).alias("parameter"),
+        F.min_by("at", F.when(is_language, F.col("at"))).alias("parameter"),
     )
-    parents = nodes.filter("kind = 'element'").select("page_id", F.col("at").alias("parent"), F.col("name").alias("parent_name"))
-    spoken = nodes.filter("kind = 'text'").select("page_id", F.col("parent").alias("parameter"), F.col("text").alias("language"))
+    parents = elements.select("page_id", F.col("at").alias("parent"), F.col("name").alias("parent_name"))
     place = F.row_number().over(Window.partitionBy("page_id", "parent", "name").orderBy("at"))
-    known = nodes.join(children, ["page_id", "at"], "left").join(parents, ["page_id", "parent"], "left").join(spoken, ["page_id", "parameter"], "left").withColumn("ordinal", place)
-    known = known.withColumn("first_list", F.min(F.when(F.col("name").isin("ul", "ol"), F.col("at"))).over(Window.partitionBy("page_id", "parent")))
+    placed = elements.join(children, ["page_id", "at"], "left").join(parents, ["page_id", "parent"], "left").withColumn("ordinal", place)
+    placed = placed.withColumn("first_list", F.min(F.when(F.col("name").isin("ul", "ol"), F.col("at"))).over(Window.partitionBy("page_id", "parent")))
+    texts = nodes.filter("kind = 'text'").select("page_id", "at", "parent", "last", "depth", "kind", "text")
+    gathered = placed.unionByName(texts, allowMissingColumns=True).repartition("page_id")
+    spoken = F.col("kind") == "text"
+    element = Window.partitionBy("page_id", F.when(spoken, F.col("parent")).otherwise(F.col("at")))
+    known = gathered.withColumn("parent_name", F.when(spoken, F.max("name").over(element)).otherwise(F.col("parent_name")))
+    # A code's language is the text below its parameter; other rows are each on their own.
+    parameter = F.when(spoken & (F.col("parent_name") == "ac:parameter"), F.col("parent")).otherwise(F.coalesce("parameter", -F.col("at")))
+    known = known.withColumn("language", F.min_by("text", F.when(spoken, F.col("at"))).over(Window.partitionBy("page_id", parameter)))
 
     name, is_text = F.col("name"), F.col("kind") == "text"
     is_code = (name == "ac:structured-macro") & (attr("ac:name") == "code")
