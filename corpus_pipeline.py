@@ -15,32 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, minhash, pii, piece_bpe, quality
-from tessera.llm.common import cut, read_table
+from tessera.llm.common import cut, read_table, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return minhash.deduplicate(docs, shingle=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    small_batches(spark)
     return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"), action="document")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked and disclosing terms generalised or removed."""
+    small_batches(spark)
     clean = pii.sanitise(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document."""
+    small_batches(spark)
     ids = piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

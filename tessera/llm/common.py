@@ -82,6 +82,23 @@ def slices(column: pa.Array, size: int = 32 << 20) -> Iterator[pa.Array]:
         begin = end
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs of about ``size`` bytes of one column, so that no more of them is held as Python objects."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Rows reach Python in Arrow batches of at most about ``size`` from now on, whatever the length of a text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def distinct_words(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The different words of texts that are split into lists, the place among them of each word, and the first word of each text."""
     words = lists.flatten().dictionary_encode()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut, text_bytes
+from tessera.llm.common import cut, drop_cut, pieces, text_bytes
 
 BANDS, ROWS = 40, 6
 #: Members that one copy of a pivot's set is compared with.
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key, band keys and text hash of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, keys, buckets = [], [], []
             for text in text_bytes(batch.column(1)):
                 s = shingles(text, shingle)
@@ -138,7 +138,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, pe
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes, key = None, None, None
-        for batch in batches:
+        for batch in pieces(batches, 0):
             keep, out = [], []
             for text, want in zip(text_bytes(batch.column(0)), batch.column(5).to_pylist()):
                 if text != last:  # the roles of a document follow one another
@@ -157,7 +157,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, pe
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, own = None, None
-        for batch in batches:
+        for batch in pieces(batches, 4):
             rows: list[tuple] = []
             for node, pivot, salt, is_member, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 other = np.frombuffer(data, np.uint64)

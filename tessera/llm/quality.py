@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_strings
+from tessera.llm.common import pieces, text_strings
 
 #: Documents that the scorer is fitted on at most (about; chosen by a hash of their text).
 SAMPLE = 4000
@@ -89,7 +89,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for text in text_strings(batch.column(0)):
                 p = pattern(text)
                 counts[p] = counts.get(p, 0) + 1
@@ -141,6 +141,8 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> La
 
 #: Characters of a piece of a token, and marks of a shape; a longer token has more pieces, more marks make more shapes.
 PIECE, MARKS = 48, 12
+#: Pieces whose shapes a worker remembers.
+REMEMBERED = 100_000
 _SHAPES: dict[str, tuple[int, ...]] = {}
 
 
@@ -175,7 +177,7 @@ def features(text: str) -> np.ndarray:
         for piece in (x,) if len(x) <= PIECE else (x[i : i + PIECE] for i in range(0, len(x), PIECE)):
             s = _SHAPES.get(piece)
             if s is None:
-                if len(_SHAPES) > 300_000:
+                if len(_SHAPES) > REMEMBERED:
                     _SHAPES.clear()
                 s = _SHAPES[piece] = _shapes(piece)
             shapes += s
@@ -228,7 +230,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     chosen = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) or 1)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             codes, at, values = [], [], []
             for text in text_strings(batch.column(0)):
                 f = features(text)
@@ -254,7 +256,7 @@ def classify(docs: DataFrame, *, sample: int = SAMPLE, keep_from: float = 0.5) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, scorer = shared.value
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = text_strings(batch.column(1))
             weak = labels.posterior(np.array([pattern(t) for t in texts], np.int64))
             score = np.array([scorer.score(t) for t in texts])
@@ -271,7 +273,7 @@ def keep_good(docs: DataFrame, *, sample: int = SAMPLE, keep_from: float = 0.5)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             good = [not t or t.isspace() or shared.value.score(t) >= keep_from for t in text_strings(batch.column(at))]
             yield batch.filter(pa.array(good))
 

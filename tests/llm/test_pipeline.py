@@ -1,11 +1,12 @@
 import re
 
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
 import public_tokenizers
 from tessera.llm import pii
-from tessera.llm.common import read_table
+from tessera.llm.common import pieces, read_table
 
 
 def test_stages_hold_their_words(spark, medium):
@@ -43,3 +44,19 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
         out = corpus_pipeline.run(spark, str(folder))
         ids = [r["doc_id"] for r in out.collect()]
         assert ({0, 1, 2} <= set(ids) and ids.count(7) <= 1) if name == "odd" else ids == []
+
+
+def test_rows_reach_python_in_small_batches(spark, medium):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(substr(sha2(cast(id AS string), 256), 1, 50), 200) AS text")
+    corpus_pipeline.near_duplicate_stage(spark, docs, medium)  # 30 MB in one partition
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 6 << 20
+
+
+def test_pieces_hold_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 40, None, "", "b" * 90, "c" * 30, None, "d" * 70])], ["doc_id", "text"])
+    got = list(pieces([batch, batch.slice(0, 0)], 1, 75))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) and [b.num_rows for b in got] == [3, 1, 2, 1]
