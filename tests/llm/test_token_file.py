@@ -56,6 +56,35 @@ def test_real_ids_take_little_more_than_a_byte():
     assert (token_file.decode_ids(data) == ids).all()
 
 
+@pytest.mark.parametrize("ids", [[7] * 9000, [1, 2] * 4096, [*range(4096)] * 2, [5] * 4095 + [6], [3, *[4] * 4095]])
+def test_shares_at_their_limits(ids):
+    assert token_file.decode_ids(token_file.encode_ids(np.array(ids))).tolist() == ids
+
+
+def test_parts_have_a_least_size(spark, tmp_path):
+    """With many shuffle partitions, texts are not dealt over more of them than hold a quarter of a part."""
+    docs = spark.range(0, 3000, 1, 4).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 200) AS text")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small partitions may be joined
+    try:
+        token_file.write(docs, PATH, str(tmp_path / "ids"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert spark.read.parquet(str(tmp_path / "ids")).count() <= 1 + 200 * 3000 * 9 // (token_file.PART >> 2)
+
+
+PIECES = st.text(alphabet="abcdeinrstthéàüß0123'.,!-", min_size=1, max_size=24)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(PIECES, min_size=1, max_size=80))
+def test_words_side_by_side_have_the_library_s_ids(words):
+    tokens = token_file.tokens(PATH)
+    found, sizes = tokens.encode(pa.array([" ".join(words), *words]))
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in (" ".join(words), *words)]
+    assert found.tolist() == sum(want, []) and sizes.tolist() == [*map(len, want)]
+
+
 def test_a_context_predicts_only_its_own_followers():
     rng = np.random.default_rng(7)
     follows = rng.permutation(3000)
